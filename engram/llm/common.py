@@ -250,3 +250,32 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], Itera
                     yield pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) and x.type == f.type else pa.array(x, f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of batches sorted by the key columns: tables of whole groups, about so many rows at a time, and the groups' first rows.
+
+    A group's rows meet in memory; the caller bounds its size.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            x = t[k].to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            at = starts(t)
+            if len(at) > 1:
+                yield t.slice(0, at[-1]), at[:-1]
+            held = t.slice(at[-1]).to_batches()
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, starts(t)
