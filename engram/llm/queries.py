@@ -42,6 +42,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns))
 
 
+def op4_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -55,7 +61,7 @@ def op6_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_sstable, op5_license_scan, op6_pivot_index, op8_packing)}
+    return {f.__name__: f for f in (op1_chat_format, op3_sstable, op4_quality_mcd, op5_license_scan, op6_pivot_index, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
