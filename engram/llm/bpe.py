@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Sequence
@@ -63,6 +64,14 @@ class WordBpe:
 
     def encode_batch(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text as bytes of little-endian unsigned 32-bit integers."""
+        # many small objects without cycles are made; searching them for cycles takes a tenth of the time
+        gc.disable()
+        try:
+            return self._encode_steps(texts)
+        finally:
+            gc.enable()
+
+    def _encode_steps(self, texts: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
         step, size = [], 0
         for text in texts:

@@ -22,6 +22,12 @@ def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sstables(shards).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -61,7 +67,7 @@ def op6_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_sstable, op4_quality_mcd, op5_license_scan, op6_pivot_index, op8_packing)}
+    return {f.__name__: f for f in (op1_chat_format, op3_sstable, op4_quality_mcd, op5_license_scan, op6_pivot_index, op7_lsh_forest, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
