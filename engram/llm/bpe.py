@@ -6,6 +6,7 @@ import gc
 import os
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -102,6 +103,7 @@ def encoder(path: str) -> WordBpe:
     return _ENCODERS[path]
 
 
+@lru_cache
 def byte_table(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
     tokenizer = encoder(path).tokenizer

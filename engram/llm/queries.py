@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import digest_kept, remove_repeats
+
+    return digest_kept(remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50))
+
+
 def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import read_sstables, write_sstables
 
@@ -35,6 +41,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_pieces(pieces)
 
 
+def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunked_bpe import encode_chunked
+
+    out = encode_chunked(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def digest_pieces(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -67,7 +80,7 @@ def op6_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_sstable, op4_quality_mcd, op5_license_scan, op6_pivot_index, op7_lsh_forest, op8_packing)}
+    return {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_sstable, op4_quality_mcd, op5_license_scan, op6_pivot_index, op7_lsh_forest, op8_packing, op10_chunked_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
