@@ -200,5 +200,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Of rows that repeat a doc_id with texts of one group, all stay: an identifier is one document.
     """
     columns = docs.columns
-    gone = near_duplicates(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
+    gone = materialize(near_duplicates(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id"), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*columns)

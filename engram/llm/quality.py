@@ -217,12 +217,10 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality() keeps, with the columns of docs. Statistics are computed again in the second
-    pass, which reads each text once more but shuffles none."""
-    columns = docs.columns
-    names = ["n_words", "n_symbols", "word_chars", "n_lines", "n_dup_lines", "n_repeat_words"]
-    slim = materialize(with_statistics(docs.select("text", *GROUP)).where(~base_failed()).select(*GROUP, *names), "statistics")
-    model = fit(with_vector(slim))
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)], F.col("text"), *[F.col(g) for g in GROUP])
-    good = judged(with_statistics(inner), model).where("kept")
-    return good.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
+    """The rows of docs that quality() keeps, with the columns of docs.
+
+    Of rows that repeat a doc_id all go if one is rejected; rows without a doc_id stay. The rejected identifiers are
+    written first, so that the planner knows their size and leaves the texts where they are while it is small.
+    """
+    gone = materialize(quality(docs).where(~F.col("kept")).select("doc_id").distinct(), "rejected")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -41,6 +41,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_pieces(pieces)
 
 
+def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import stupid_backoff
+
+    return stupid_backoff(table(spark, sf_dir, "documents"))
+
+
 def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chunked_bpe import encode_chunked
 
@@ -80,7 +86,7 @@ def op6_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_sstable, op4_quality_mcd, op5_license_scan, op6_pivot_index, op7_lsh_forest, op8_packing, op10_chunked_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_sstable, op4_quality_mcd, op5_license_scan, op6_pivot_index, op7_lsh_forest, op8_packing, op9_stupid_backoff, op10_chunked_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
