@@ -4,9 +4,9 @@ A layout is a declarative mapping, looked up by the hash of the sorted nested fi
 paths any layout knows; paths that no layout knows are ignored, so extra columns don't matter. Arrays of structs give
 ``name[].field``.
 
-Template: ``### <role>:\n<text></turn>\n`` for each turn. In roles and texts a backslash is put before each of
-``\ # < :`` (the colon in roles only), so that neither ``###`` nor ``</turn>`` can occur in them, and taken away in
-reading. The loss mask holds spans of code points: the escaped text of each assistant turn.
+Template: ``### <role>:\n<text></turn>\n`` for each turn. In roles and texts ``\`` is written ``\\``, ``#`` ``\h`` and
+``<`` ``\l``, in roles ``:`` ``\c`` too, so that neither ``###`` nor ``</turn>`` can occur in them; reading turns
+them back. The loss mask holds spans of code points: the escaped text of each assistant turn.
 """
 
 from __future__ import annotations
@@ -127,18 +127,20 @@ def canonical_turns(df: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataF
     return df.select(key, F.filter(turns, lambda t: (t["role"] != "system") | (t["text"] != "")).alias("turns"))
 
 
-ESCAPED = re.compile(r"[\\#<]")
-ESCAPED_ROLE = re.compile(r"[\\#<:]")
-UNESCAPED = re.compile(r"\\(.)", re.DOTALL)
-TURN = re.compile(r"### ((?:[^\\:]|\\.)*):\n((?:[^\\<]|\\.)*)</turn>\n", re.DOTALL)
+ESCAPES = {"\\": "\\\\", "#": "\\h", "<": "\\l"}
+MARKS = {ord(k): v for k, v in ESCAPES.items()}
+ROLE_MARKS = MARKS | {ord(":"): "\\c"}
+BACK = {"\\": "\\", "h": "#", "l": "<", "c": ":"}
+UNESCAPED = re.compile(r"\\([\\hlc])")
+TURN = re.compile(r"### ([^:]*):\n([^<]*)</turn>\n")
 
 
 def format_turns(turns: Sequence[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted conversation and the spans of its loss mask."""
     parts, spans, at = [], [], 0
     for role, text in turns:
-        head = f"### {ESCAPED_ROLE.sub(r'\\\g<0>', role)}:\n"
-        body = ESCAPED.sub(r"\\\g<0>", text)
+        head = f"### {role.translate(ROLE_MARKS)}:\n"
+        body = text.translate(MARKS)
         if role == "assistant":
             spans.append((at + len(head), at + len(head) + len(body)))
         parts += [head, body, "</turn>\n"]
@@ -147,7 +149,7 @@ def format_turns(turns: Sequence[tuple[str, str]]) -> tuple[str, list[tuple[int,
 
 
 def unescape(text: str) -> str:
-    return UNESCAPED.sub(r"\1", text)
+    return UNESCAPED.sub(lambda m: BACK[m[1]], text) if "\\" in text else text
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
