@@ -5,9 +5,9 @@ from __future__ import annotations
 import gc
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import filterfalse
 
 import numpy as np
 
@@ -20,13 +20,23 @@ WIDE = re.compile("[^\x00-\u024f]")
 SAFE_CUT = re.compile(r" (?=\S)")
 
 
+#: How a byte-level vocabulary spells bytes: printable ones as themselves, the others by characters from U+0100.
+PRINTABLE = frozenset([*range(33, 127), *range(161, 173), *range(174, 256)])
+SPELLING = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
+def safe_parts(text: str) -> list[str]:
+    parts = SAFE_CUT.split(text)
+    return [parts[0], *[" " + p for p in parts[1:]]]
+
+
 class WordBpe:
     """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
     A text is cut into the pre-tokenizer's pieces, or at safe blanks if it has wide characters or special tokens;
-    distinct pieces go through the library once, and their ids are kept as little-endian unsigned 32-bit integers. Two
-    generations of ``limit`` pieces are held at most: when the young one is full it becomes the old one, from which
-    pieces return as they are met.
+    distinct pieces go through the library's model once, and their ids are kept as little-endian unsigned 32-bit integers. Two
+    generations of about ``limit`` pieces are held: when the young one is full it becomes the old one, from which pieces
+    return as they are met.
     """
 
     def __init__(self, path: str, limit: int = 400_000, longest: int = 48):
@@ -36,31 +46,33 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = Tokenizer(Tokenizer.from_file(path).model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit, self.longest = limit, longest
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _library(self, pieces: Sequence[str]) -> list[bytes]:
-        encoded = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        ends = np.cumsum([4 * len(x) for x in encoded]).tolist()
-        flat = np.fromiter(chain.from_iterable(encoded), "<u4").tobytes()
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-    def _cut(self, text: str) -> list[str]:
-        if WIDE.search(text) or any(s in text for s in self.special):
-            parts = SAFE_CUT.split(text)
-            return [parts[0], *[" " + p for p in parts[1:]]]
-        return PIECES.findall(text)
-
-    def _ready(self, pieces: set[str]) -> list[str]:
-        """Puts the ids of these pieces into the young generation; returns those too long to stay there."""
-        missing = pieces - self.young.keys()
-        if len(self.young) + len(missing) > self.limit:
-            self.young, self.old, missing = {}, self.young, pieces
-        self.young.update((p, self.old[p]) for p in missing & self.old.keys())
-        new = list(missing - self.old.keys())
-        self.young.update(zip(new, self._library(new), strict=True))
+    def _library(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of any texts, by the whole tokenizer."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _single(self, pieces: Sequence[str]) -> Iterator[bytes]:
+        """Ids of single pieces of the pre-tokenizer, by the tokenizer's model alone, many pieces a call."""
+        for at in range(0, len(pieces), 20_000):
+            spelled = [p.encode().decode("latin-1").translate(SPELLING) for p in pieces[at : at + 20_000]]
+            found = self.model.encode(spelled, is_pretokenized=True, add_special_tokens=False)
+            flat = np.array(found.ids, "<u4").tobytes()
+            ends = 4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(spelled)))
+            last = 0
+            for end in ends.tolist():
+                yield flat[last:end]
+                last = end
+
+    def _ready(self, pieces: set[str], encode: Callable[[Sequence[str]], Iterable[bytes]]) -> list[str]:
+        """Puts the ids of pieces that the young generation lacks into it; returns those too long to stay there."""
+        self.young.update((p, self.old[p]) for p in pieces & self.old.keys())
+        new = list(pieces - self.old.keys())
+        self.young.update(zip(new, encode(new), strict=True))
         return [p for p in new if len(p) > self.longest]
 
     def encode_batch(self, texts: Sequence[str]) -> list[bytes]:
@@ -84,8 +96,15 @@ class WordBpe:
         return out + (self._encode(step) if step else [])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
-        long = self._ready(set().union(*cut))
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        wide = [bool(WIDE.search(t)) or any(s in t for s in self.special) for t in texts]
+        cut = [safe_parts(t) if w else PIECES.findall(t) for t, w in zip(texts, wide, strict=True)]
+        lacking: tuple[set[str], set[str]] = (set(), set())
+        for pieces, w in zip(cut, wide, strict=True):
+            lacking[w].update(filterfalse(self.young.__contains__, pieces))
+        long = self._ready(lacking[False], self._single)
+        long += self._ready(lacking[True].difference(self.young), self._library)
         get = self.young.__getitem__
         out = [b"".join(map(get, p)) for p in cut]
         for p in long:
@@ -107,9 +126,7 @@ def encoder(path: str) -> WordBpe:
 def byte_table(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
     tokenizer = encoder(path).tokenizer
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(printable)]
-    to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    to_byte = {SPELLING.get(b, chr(b)): b for b in range(256)}
     size = tokenizer.get_vocab_size(with_added_tokens=True)
     tokens = [tokenizer.id_to_token(i) or "" for i in range(size)]
     return [bytes(to_byte[c] for c in t) if all(c in to_byte for c in t) else t.encode() for t in tokens]
