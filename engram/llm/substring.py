@@ -160,7 +160,7 @@ def remove_repeats(docs: DataFrame, length: int = MIN_WORDS, seed: int = SEED_WO
     groups = group_count(docs)
     rows = with_group(docs.select(*columns).withColumn("doc_id", F.col("doc_id").cast("long")), groups)
     known = rows.where("doc_id is not null").select("grp", "doc_id", "text")
-    found = seeds(known, length, seed)
+    found = materialize(seeds(known, length, seed), "seeds")
     segments = found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     anchors = segments.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("last").alias("high")).where("low < high").select("anchor", "kinds")
     shared = materialize(segments.join(anchors, "anchor").select("anchor", "segment", "first", "kinds"), "segments")
