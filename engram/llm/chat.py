@@ -12,6 +12,7 @@ them back. The loss mask holds spans of code points: the escaped text of each as
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -93,6 +94,65 @@ def layout_of(schema: StructType, layouts: Sequence[Layout] = LAYOUTS) -> Layout
     return max(fitting, key=lambda x: len(x.paths))
 
 
+def value_paths(value: object, at: str = "") -> set[str]:
+    """Dotted paths of the fields of a parsed JSON value, as nested_paths gives them for a schema."""
+    if isinstance(value, dict):
+        return {p for k, v in value.items() for p in {f"{at}{k}"} | value_paths(v, f"{at}{k}.")}
+    if isinstance(value, list):
+        return {p for v in value for p in value_paths(v, f"{at[:-1]}[].")}
+    return set()
+
+
+def record_turns(record: object, layout: Layout) -> list[tuple[str, str]]:
+    """The canonical turns of one parsed record by its layout's mapping."""
+
+    def clean(x: object) -> str:
+        return "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+
+    if layout.items:
+        made = [(clean(t.get(layout.role)), clean(t.get(layout.text))) for t in record.get(layout.items) or [] if isinstance(t, dict)]
+        return [(ROLES.get(role, role), text) for role, text in made]
+    texts = [(role, "\n\n".join(x for c in columns if (x := clean(record.get(c))))) for role, columns in layout.fields]
+    return [(role, text) for role, text in texts if role != "system" or text]
+
+
+def canonical_records(df: DataFrame, record: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
+    """(conv_id, turns, layout) of JSON records of mixed layouts, a conversation each; the key is not part of the print.
+
+    Each record is looked up by the fingerprint of its own paths; one whose known paths no layout has exactly takes
+    the layout with the most paths among those it has all of. A record that is null, no JSON object or of no known
+    layout keeps its row, with null turns and layout.
+    """
+    whole = [x for x in layouts if not x.order]
+    bare = {x.name: set(x.paths) - {x.key} for x in whole}
+    known = set().union(*bare.values())
+    by_print = {fingerprint(sorted(bare[x.name])): x for x in whole}
+
+    def find(value: object) -> Layout | None:
+        if not isinstance(value, dict):
+            return None
+        have = value_paths(value) & known
+        if exact := by_print.get(fingerprint(sorted(have))):
+            return exact
+        return max((x for x in whole if bare[x.name] <= have), key=lambda x: len(x.paths), default=None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+        for batch in batches:
+            turns, names = [], []
+            for text in batch.column(1).to_pylist():
+                try:
+                    value = json.loads(text) if text else None
+                except ValueError:
+                    value = None
+                layout = find(value)
+                turns.append([{"role": r, "text": t} for r, t in record_turns(value, layout)] if layout else None)
+                names.append(layout.name if layout else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(turns, kind), pa.array(names, pa.string())], ["conv_id", "turns", "layout"])
+
+    return df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col(record).cast("string")).mapInArrow(run, f"conv_id long, turns {TURNS}, layout string")
+
+
 def canonical_turns(df: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """(conv_id, turns) of a table in any known layout; turns is an array of (role, text).
 

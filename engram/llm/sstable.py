@@ -204,6 +204,9 @@ def write_sstables(docs: DataFrame, vocabulary: str, folder: str | None = None,
         if out is not None:
             writer.close()
             out.close()
+            # a repeated task finds the file of the attempt before; not every store renames onto one
+            if fs.get_file_info(final).type != pa.fs.FileType.NotFound:
+                fs.delete_file(final)
             fs.move(held, final)
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/shard-{shard:06d}.sst", "n_docs": writer.entries, "n_tokens": writer.n_tokens}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 

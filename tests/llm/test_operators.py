@@ -86,6 +86,25 @@ def test_chat_layouts_and_round_trip(spark):
     assert chat.canonical_turns(rows.limit(0)).count() == 0
 
 
+def test_chat_records_of_mixed_layouts(spark):
+    rows = [
+        (1, '{"messages": [{"role": "user", "content": "a", "n": 1}, {"role": "assistant", "content": null}], "id": 3}'),
+        (2, '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "r"}]}'),
+        (3, '{"instruction": "do", "input": "this", "output": "done", "source": {"text": "x"}}'),
+        (4, '{"prompt": "p", "response": "r", "completion": "c"}'),
+        (5, "[1"),
+        (6, None),
+        (7, '{"other": 1}'),
+        (8, "[]"),
+    ]
+    got = {r.conv_id: (r.layout, r.turns and [tuple(t) for t in r.turns]) for r in chat.canonical_records(spark.createDataFrame(rows, "conv_id long, record string")).collect()}
+    assert got[1] == ("messages", [("user", "a"), ("assistant", "")])
+    assert got[2] == ("conversations", [("user", "q"), ("assistant", "r")])
+    assert got[3] == ("instruction with input", [("user", "do\n\nthis"), ("assistant", "done")])
+    assert got[4][0] in ("prompt and completion", "prompt and response")
+    assert all(got[i] == (None, None) for i in (5, 6, 7, 8))
+
+
 # 2
 
 
