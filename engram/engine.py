@@ -172,7 +172,10 @@ class MemoryEngine:
     def delete_fragment(self, fragment: str | None = None, regex: str | None = None, source: str | None = None) -> Change:
         if regex:
             # an invalid pattern is refused here, by the regex engine that will run it
-            self.spark._jvm.java.util.regex.Pattern.compile(f"(?iuU){regex}")
+            try:
+                self.spark._jvm.java.util.regex.Pattern.compile(f"(?iuU){regex}")
+            except Exception as e:
+                raise ValueError(f"no valid pattern: {regex}") from e
         return self._delete(audit.fragment_match(fragment, regex, source), "delete-fragment")
 
     def dedupe(self, by_source: bool = False) -> Change:
