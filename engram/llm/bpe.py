@@ -39,7 +39,7 @@ class WordBpe:
     return as they are met.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 200_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from .common import trimmed
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -150,7 +152,7 @@ def canonical_records(df: DataFrame, record: str = "record", layouts: Sequence[L
                 names.append(layout.name if layout else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(turns, kind), pa.array(names, pa.string())], ["conv_id", "turns", "layout"])
 
-    return df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col(record).cast("string")).mapInArrow(run, f"conv_id long, turns {TURNS}, layout string")
+    return df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col(record).cast("string")).mapInArrow(trimmed(run), f"conv_id long, turns {TURNS}, layout string")
 
 
 def canonical_turns(df: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
@@ -239,7 +241,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
                 loss = [[{"start": a, "end": b} for a, b in spans] for _, spans in made]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([f for f, _ in made], pa.string()), pa.array(loss, span)], ["conv_id", "formatted", "loss"])
 
-    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turns").cast(TURNS)).mapInArrow(run, FORMATTED)
+    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turns").cast(TURNS)).mapInArrow(trimmed(run), FORMATTED)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -260,4 +262,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss").mapInArrow(trimmed(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_table, encoder
-from .common import group_count, mix, pack_rows, powers, unpack_blobs, with_group
+from .common import group_count, mix, pack_rows, powers, trimmed, unpack_blobs, with_group
 
 #: Bytes that the rolling hash sees (a power of two), bits of it that must be 0 at a cut, least bytes of a chunk.
 ROLL, CUT_BITS, LEAST = 32, 9, 64
@@ -131,7 +131,7 @@ def chunk_names(rows: DataFrame) -> DataFrame:
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64() if i < 2 else pa.int32()) for i in range(3)), pa.array(list(counts.values()), pa.int64())], ["h1", "h2", "grp", "n"])
 
-    return rows.select("grp", "text").mapInArrow(run, NAMES)
+    return rows.select("grp", "text").mapInArrow(trimmed(run), NAMES)
 
 
 def encode_chunked(docs: DataFrame, vocabulary: str) -> DataFrame:

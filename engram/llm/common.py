@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -60,6 +61,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# --- memory of Python workers ----------------------------------------------------------------------------------
+
+
+def release_memory() -> None:
+    """Gives what Arrow and the allocator hold in reserve back to the system; idle workers then stay small."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Bounds the batches that go to Python by rows and bytes, as long texts make large ones; a setting of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of mapInArrow that releases memory when its partition ends."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return bounded
+
+
 # --- packed exchange of documents ------------------------------------------------------------------------------
 
 #: Bytes of raw text that a packed group holds on average.
@@ -112,11 +142,12 @@ def pack_rows(docs: DataFrame, columns: Sequence[str], flush_bytes: int = 24 <<
         if held:
             yield from flush(held)
 
-    return docs.select("grp", *columns).mapInArrow(pack, "grp int, blob binary")
+    return docs.select("grp", *columns).mapInArrow(trimmed(pack), "grp int, blob binary")
 
 
 def unpack_blobs(blobs: Sequence[bytes]) -> pa.Table:
     """The rows of packed blobs of one group as one table."""
+    release_memory()
     return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs]).combine_chunks()
 
 
@@ -126,7 +157,7 @@ def unpack_blobs(blobs: Sequence[bytes]) -> pa.Table:
 class WordHashes(dict):
     """bytes of a word to its 64-bit hash; forgets all when it holds too many words, so memory stays bounded."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -236,22 +267,6 @@ def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = new
 
 
-def arrow_map(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
-    """mapInArrow by a function from a batch to dicts of columns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    target = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for columns in rows(batch):
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) and x.type == f.type else pa.array(x, f.type) for f in target], schema=target)
-
-    return df.mapInArrow(run, schema)
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Of batches sorted by the key columns: tables of whole groups, about so many rows at a time, and the groups' first rows.
 

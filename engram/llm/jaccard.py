@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_1, BASE_2, PolyHash, connected_components, hash_words, local_components, materialize, mix, powers, signed, whole_groups
+from .common import BASE_1, BASE_2, PolyHash, connected_components, hash_words, local_components, materialize, mix, powers, signed, trimmed, whole_groups
 
 #: Words of a shingle, similarity, trees, longest prefix of a tree, recall that a pair at the similarity must reach.
 WORDS, SIMILARITY, TREES, LONGEST, RECALL = 5, 0.8, 32, 10, 0.9999
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, depth: int, trees: int = TREES, n: int = WORDS)
                     yield pa.RecordBatch.from_arrays([ids.slice(start, i + 1 - start), pa.array(signed(h1)), pa.array(signed(h2)), pa.array(counts.astype(np.int32)), listed], ["doc_id", "h1", "h2", "shingles", "keys"])
                     start, size = i + 1, 0
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(trimmed(run), SIGNED)
 
 
 def intersections(hashes: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, trees: int
     spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "class_id", "size", "block", "text")
     grouped = spread.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
-    found = materialize(grouped.mapInArrow(lambda b: verify_groups(b, similarity, words), "node long, other long, links long"), "links")
+    found = materialize(grouped.mapInArrow(trimmed(lambda b: verify_groups(b, similarity, words)), "node long, other long, links long"), "links")
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     about = classes.select("h1", "h2", "class_id", "size").join(links.withColumnRenamed("node", "class_id"), "class_id", "left").join(components.withColumnRenamed("node", "class_id"), "class_id", "left")

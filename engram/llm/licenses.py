@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Bytes that are part of a word: digits, a-z and all bytes of characters beyond ASCII.
 _WORD = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 SEPARATE = bytes(b if b in _WORD else 0x20 for b in range(256))
@@ -213,4 +215,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), *columns], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

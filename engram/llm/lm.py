@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_1, PolyHash, group_count, hash_words, mix, pack_rows, unpack_blobs, with_group
+from .common import BASE_1, PolyHash, group_count, hash_words, mix, pack_rows, trimmed, unpack_blobs, with_group
 
 #: Longest n-gram, and the factor for each step back to a shorter one.
 ORDER, BACKOFF = 3, 0.4
@@ -113,7 +113,7 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([sum(len(t.split()) for t in batch.column(0).cast(pa.binary()).to_pylist())], pa.int64())], ["n"])
 
-    words = rows.where("text is not null").select("text").mapInArrow(count_words, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    words = rows.where("text is not null").select("text").mapInArrow(trimmed(count_words), "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
     packed = pack_rows(rows, ["doc_id", "text"])
 
     def group_texts(pdf: pd.DataFrame) -> tuple[pa.Table, list[bytes]]:

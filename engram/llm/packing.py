@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialize
+from .common import materialize, trimmed
 
 ENCODED = "part int, doc_id long, before long, ids binary"
 
@@ -31,7 +31,7 @@ def encode_parts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 before += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), some.column(0), pa.array(starts), pa.array(ids, pa.binary())], ["part", "doc_id", "before", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(encode, ENCODED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(trimmed(encode), ENCODED)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0) -> DataFrame:
@@ -65,7 +65,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = 1024, end_id:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"])
 
     placed = encoded.join(bases, "part").select("doc_id", (F.col("before") + F.col("base")).alias("at"), "ids")
-    return placed.mapInArrow(cut, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(trimmed(cut), "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, local_components, materialize, whole_groups
+from .common import connected_components, local_components, materialize, trimmed, whole_groups
 
 #: Rows of the sample that pivots are chosen from, pivots, nearest pivots of a vector, vectors in a block of a list.
 SAMPLE_ROWS, PIVOTS, NEAREST, BLOCK_ROWS = 4096, 512, 7, 1000
@@ -64,7 +64,7 @@ def clean_vectors(embeddings: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["vec_id", "label", "dims", "h1", "h2", "vector"])
 
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.where("vec_id is not null and label is not null and embedding is not null").mapInArrow(clean, VECTORS)
+    return rows.where("vec_id is not null and label is not null and embedding is not null").mapInArrow(trimmed(clean), VECTORS)
 
 
 def pair_lists(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +161,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, pivots: int
                     near[i] = f
             yield pa.RecordBatch.from_arrays([table[c].combine_chunks() for c in ("label", "dims", "rep", "size", "vector")] + [pa.array(near, pa.list_(pa.int32()))], ["label", "dims", "rep", "size", "vector", "near"])
 
-    described = materialize(classes.select("label", "dims", "rep", "size", "vector").mapInArrow(describe, "label long, dims int, rep long, size long, vector binary, near array<int>"), "described")
+    described = materialize(classes.select("label", "dims", "rep", "size", "vector").mapInArrow(trimmed(describe), "label long, dims int, rep long, size long, vector binary, near array<int>"), "described")
     ordered = F.array_sort("near")
     both = F.flatten(F.transform(ordered, lambda p: F.transform(F.filter(ordered, lambda q: q > p), lambda q: F.struct(p.alias("p"), q.alias("q")))))
     alone = F.transform(ordered, lambda p: F.struct(p.alias("p"), p.alias("q")))
@@ -173,7 +173,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, pivots: int
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*lists, "rep", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     rows = entries.join(described.select("label", "dims", "rep", "size", "vector", "near"), ["label", "dims", "rep"])
     grouped = rows.repartition(*lists, "bi", "bj").sortWithinPartitions(*lists, "bi", "bj")
-    found = materialize(grouped.mapInArrow(lambda b: verify_lists(b, threshold), "node long, other long, links long"), "links")
+    found = materialize(grouped.mapInArrow(trimmed(lambda b: verify_lists(b, threshold)), "node long, other long, links long"), "links")
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     about = classes.select(*key, "rep", "size").join(links.withColumnRenamed("node", "rep"), "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")

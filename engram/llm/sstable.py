@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialize, scratch_path
+from .common import materialize, scratch_path, trimmed
 
 MAGIC = b"ENGRSST1"
 FOOTER = struct.Struct("<QQQQQIBB8s")
@@ -210,7 +210,7 @@ def write_sstables(docs: DataFrame, vocabulary: str, folder: str | None = None,
             fs.move(held, final)
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/shard-{shard:06d}.sst", "n_docs": writer.entries, "n_tokens": writer.n_tokens}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    return materialize(parted.mapInArrow(write, SHARDS), "shards")
+    return materialize(parted.mapInArrow(trimmed(write), SHARDS), "shards")
 
 
 def read_sstables(shards: DataFrame, rows_per_batch: int = 512) -> DataFrame:
@@ -235,4 +235,4 @@ def read_sstables(shards: DataFrame, rows_per_batch: int = 512) -> DataFrame:
                         keys, starts, values = [], [], []
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(values, pa.binary())], ["doc_id", "start", "ids"])
 
-    return placed.repartition(max(1, shards.count())).mapInArrow(read, "doc_id long, start long, ids binary")
+    return placed.repartition(max(1, shards.count())).mapInArrow(trimmed(read), "doc_id long, start long, ids binary")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_1, BASE_2, PolyHash, group_count, hash_words, materialize, mix, pack_rows, signed, unpack_blobs, with_group
+from .common import BASE_1, BASE_2, PolyHash, group_count, hash_words, materialize, mix, pack_rows, signed, trimmed, unpack_blobs, with_group
 
 MIN_WORDS, SEED_WORDS = 50, 12
 #: Words in memory at once. Positions take the low bits of the winnowing key.
@@ -96,7 +96,7 @@ def seeds(docs: DataFrame, length: int, seed: int) -> DataFrame:
                     if end == total:
                         break
 
-    return docs.mapInArrow(run, SEEDS)
+    return docs.mapInArrow(trimmed(run), SEEDS)
 
 
 def ranges_by_doc(pdf: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
