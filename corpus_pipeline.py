@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm.common import materialize
+from engram.llm.common import bound_batches, materialize
 from engram.llm.jaccard import keep_one
 from engram.llm.packing import pack_documents
 from engram.llm.quality import keep_good
@@ -22,21 +22,25 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a base rule or the robust distance rejects go."""
+    bound_batches(spark)
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest identifier stays."""
+    bound_batches(spark)
     return keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document has go; a text that loses nothing stays as it is."""
+    bound_batches(spark)
     return without_repeats(docs, length=50)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of the packed sequences."""
+    bound_batches(spark)
     return digest_pieces(pack_documents(docs, public_tokenizers.path(VOCABULARY), length=1024, end_id=0))
 
 
