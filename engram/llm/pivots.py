@@ -75,6 +75,15 @@ def pair_lists(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, left + 1 + np.arange(len(left)) - first[left]
 
 
+def padded(lists: pa.ChunkedArray) -> np.ndarray:
+    """Lists as rows of one width, filled up with -1."""
+    array = lists.combine_chunks()
+    size = np.diff(array.offsets.to_numpy())
+    out = np.full((len(size), size.max(initial=1)), -1, np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = array.flatten().to_numpy()
+    return out
+
+
 def verify_lists(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Inverted lists, or pairs of blocks of one, to verified links: (node, other, links).
 
@@ -86,15 +95,20 @@ def verify_lists(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
         ids, size, block = (table[c].to_numpy() for c in ("rep", "size", "block"))
         key = np.stack([table["p"].to_numpy(), table["q"].to_numpy()], 1)
         blob = table["vector"].to_pylist()
-        near = table["near"].to_pylist()
+        near = padded(table["near"])
+        bi, bj = table["bi"].to_numpy(), table["bj"].to_numpy()
         a_all, b_all = [], []
 
-        def keep(a: np.ndarray, b: np.ndarray, block=block, bi=table["bi"].to_numpy(), bj=table["bj"].to_numpy(), near=near, key=key, a_all=a_all, b_all=b_all) -> None:
+        def keep(a: np.ndarray, b: np.ndarray, block=block, bi=bi, bj=bj, near=near, key=key, a_all=a_all, b_all=b_all) -> None:
             ok = (bi[a] == bj[a]) | (block[a] != block[b])
-            a, b = a[ok], b[ok]
-            first = [sorted(set(near[i]) & set(near[j]))[:2] == list(key[i]) or len(near[i]) < 2 for i, j in zip(a, b, strict=True)]
-            a_all.append(a[np.array(first, bool)])
-            b_all.append(b[np.array(first, bool)])
+            for c in range(0, len(a), 100_000):
+                lo, hi = a[c : c + 100_000][ok[c : c + 100_000]], b[c : c + 100_000][ok[c : c + 100_000]]
+                first, second = key[lo, 0], key[lo, 1]
+                both = (near[lo][:, :, None] == near[hi][:, None, :]).any(2) & (near[lo] >= 0)
+                # of the pivots both have, only the list's first is smaller than its second
+                own = ((both & (near[lo] < second[:, None])).sum(1) == 1) | (first == second)
+                a_all.append(lo[own])
+                b_all.append(hi[own])
 
         small = [(s, e) for s, e in zip(at, ends, strict=True) if e - s <= 48]
         dims = table["dims"].to_numpy()
