@@ -39,14 +39,14 @@ class WordBpe:
     return as they are met.
     """
 
-    def __init__(self, path: str, limit: int = 200_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 400_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = Tokenizer(Tokenizer.from_file(path).model)
+        self.model = Tokenizer(self.tokenizer.model)  # the same model, not a copy
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit, self.longest = limit, longest
         self.young: dict[str, bytes] = {}

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from .bpe import encoder
 from .common import materialize, trimmed
 
-ENCODED = "part int, doc_id long, before long, ids binary"
+ENCODED = "part int, doc_id long, before long, n long, ids binary"
 
 
 def encode_parts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """First pass: (part, doc_id, before, ids); before counts the ids of earlier rows of the same input partition."""
+    """First pass: (part, doc_id, before, n, ids); n counts a row's ids, before those of earlier rows of the same input partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, before = encoder(vocabulary), TaskContext.get().partitionId(), 0
@@ -29,7 +29,7 @@ def encode_parts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), some.column(0), pa.array(starts), pa.array(ids, pa.binary())], ["part", "doc_id", "before", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), some.column(0), pa.array(starts), pa.array(sizes), pa.array(ids, pa.binary())], ["part", "doc_id", "before", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(trimmed(encode), ENCODED)
 
@@ -44,28 +44,20 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = 1024, end_id:
     Repeated doc_ids and rows are packed as they come; an empty text is its end id; an empty table gives no row.
     """
     encoded = materialize(encode_parts(docs, vocabulary, end_id), "encoded")
-    totals = encoded.groupBy("part").agg(F.max(F.col("before") + F.octet_length("ids") / 4).cast("long").alias("n"))
+    totals = encoded.groupBy("part").agg(F.sum("n").alias("n"))
     running = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     # written, so that the planner knows its size and broadcasts it only while it is below the session's threshold
     bases = materialize(totals.select("part", F.coalesce(running, F.lit(0)).alias("base")), "bases")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc_ids, at, ids = (batch.column(i).to_pylist() for i in range(3))
-            out: list[list] = [[], [], [], [], [], []]
-            for doc_id, first, data in zip(doc_ids, at, ids, strict=True):
-                total, start = len(data) // 4, 0
-                while start < total:
-                    sequence, offset = divmod(first + start, length)
-                    end = min(total, start + length - offset)
-                    for column, value in zip(out, (doc_id, start, data[4 * start : 4 * end], total, sequence, offset), strict=True):
-                        column.append(value)
-                    start = end
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    placed = encoded.join(bases, "part").select("doc_id", (F.col("before") + F.col("base")).alias("at"), "ids")
-    return placed.mapInArrow(trimmed(cut), "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    at, n = F.col("before") + F.col("base"), F.col("n")
+    placed = encoded.join(bases, "part").select("doc_id", at.alias("at"), "ids", "n")
+    first, last = F.expr(f"at div {length}"), F.expr(f"(at + n - 1) div {length}")
+    cut = placed.withColumn("sequence_id", F.explode(F.sequence(first, last)))
+    low = F.greatest("at", F.col("sequence_id") * length)
+    cut = cut.withColumns({"low": low, "high": F.least(F.col("at") + n, (F.col("sequence_id") + 1) * length)})
+    start = F.col("low") - F.col("at")
+    ids = F.substring("ids", (4 * start + 1).cast("int"), (4 * (F.col("high") - F.col("low"))).cast("int"))
+    return cut.select("doc_id", start.alias("start"), ids.alias("ids"), n.alias("doc_tokens"), "sequence_id", (F.col("low") - F.col("sequence_id") * length).alias("offset"))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
