@@ -22,6 +22,8 @@ from .common import BASE_1, PolyHash, group_count, hash_words, mix, pack_rows, t
 
 #: Longest n-gram, and the factor for each step back to a shorter one.
 ORDER, BACKOFF = 3, 0.4
+#: Bytes of text in a group: the larger, the fewer groups an n-gram travels for.
+GROUP_BYTES = 10 << 20
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -105,7 +107,7 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     mean_log_score is null for a text without words, as a null text is. One row per row of docs; rows that repeat an
     identifier are documents of their own. An empty table gives no row.
     """
-    groups = group_count(docs)
+    groups = group_count(docs, group_bytes=GROUP_BYTES)
     buckets = groups
     rows = with_group(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), groups)
 
