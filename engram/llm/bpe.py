@@ -39,7 +39,7 @@ class WordBpe:
     return as they are met.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 200_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -112,14 +112,10 @@ class WordBpe:
         return out
 
 
-_ENCODERS: dict[str, WordBpe] = {}
-
-
-def encoder(path: str) -> WordBpe:
+@lru_cache
+def encoder(path: str, remembered: int = 200_000) -> WordBpe:
     """This process's encoder for a vocabulary file; kept between tasks of a worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordBpe(path)
-    return _ENCODERS[path]
+    return WordBpe(path, remembered)
 
 
 @lru_cache

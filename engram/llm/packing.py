@@ -16,11 +16,11 @@ from .common import materialize, trimmed
 ENCODED = "part int, doc_id long, before long, n long, ids binary"
 
 
-def encode_parts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+def encode_parts(docs: DataFrame, vocabulary: str, end_id: int, remembered: int = 200_000) -> DataFrame:
     """First pass: (part, doc_id, before, n, ids); n counts a row's ids, before those of earlier rows of the same input partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, before = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        bpe, part, before = encoder(vocabulary, remembered), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -34,7 +34,7 @@ def encode_parts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(trimmed(encode), ENCODED)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0, remembered: int = 200_000) -> DataFrame:
     """Packs docs (doc_id, text; null text: empty) into sequences of length ids; each document ends with end_id.
 
     Returns one row per piece: doc_id, start (the document's ids before it), ids (little-endian 4-byte integers),
@@ -43,7 +43,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = 1024, end_id:
     folder. The second pass adds to each row the total of the partitions before its own: one row per partition.
     Repeated doc_ids and rows are packed as they come; an empty text is its end id; an empty table gives no row.
     """
-    encoded = materialize(encode_parts(docs, vocabulary, end_id), "encoded")
+    encoded = materialize(encode_parts(docs, vocabulary, end_id, remembered), "encoded")
     totals = encoded.groupBy("part").agg(F.sum("n").alias("n"))
     running = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     # written, so that the planner knows its size and broadcasts it only while it is below the session's threshold

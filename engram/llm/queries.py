@@ -12,6 +12,8 @@ from . import oracles
 from .common import bound_batches
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Pieces whose ids a worker keeps, about 200 bytes each, in each of two generations.
+REMEMBERED = 600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +30,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import read_sstables, write_sstables
 
-    shards = write_sstables(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=2)
+    shards = write_sstables(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=2, remembered=REMEMBERED)
     return read_sstables(shards).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
@@ -41,7 +43,7 @@ def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), length=1024, end_id=0)
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), length=1024, end_id=0, remembered=REMEMBERED)
     return digest_pieces(pieces)
 
 

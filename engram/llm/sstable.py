@@ -171,7 +171,7 @@ class Reader:
         return found
 
 
-def write_sstables(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_sstables(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 2, shard_bytes: int = SHARD_BYTES, remembered: int = 200_000) -> DataFrame:
     """Encodes every whole text of docs (doc_id, text; null text: empty) and appends end_id; writes shards in ascending doc_id order.
 
     Null identifiers come first; rows with one identifier stay apart, ordered by text. Returns one row per shard
@@ -186,7 +186,7 @@ def write_sstables(docs: DataFrame, vocabulary: str, folder: str | None = None,
     parted = rows.repartitionByRange(max(6, -(-total // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, shard, out = encoder(vocabulary), TaskContext.get().partitionId(), None
+        bpe, shard, out = encoder(vocabulary, remembered), TaskContext.get().partitionId(), None
         end = np.array([end_id], "<u4")
         width = 2 if max(bpe.tokenizer.get_vocab_size(True) - 1, end_id) < 1 << 16 else 4
         fs, base = pa.fs.FileSystem.from_uri(folder)
