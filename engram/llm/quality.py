@@ -23,7 +23,8 @@ WINDOW_WORDS = 8
 #: words is far; public filters commonly set the bound at one to ten.
 FEATURES = (("log_words", 0.5), ("log_word_chars", 0.08), ("symbol_share", 0.05), ("dup_line_share", 0.15), ("repeat_share", 0.12))
 GROUP = ("lang", "source")
-#: Share of a group that the estimates are made from, concentration steps, least documents of a judged group.
+#: Share of a group that the estimates are made from, concentration steps, least documents of a group that is judged by
+#: its own estimates; a smaller one is judged by those of its language or, if that is small too, of all documents.
 SUBSET, STEPS, LEAST_ROWS = 0.75, 3, 50
 #: Bins of a quantile: so many to each doubling.
 BINS = 64
@@ -113,6 +114,8 @@ def _group(name: str) -> Column:
 
 
 KEYS = [f"_{g}" for g in GROUP]
+#: Keys of the estimates: _level is 0 for a group, 1 for a language (_source empty), 2 for all documents (both empty).
+LEVEL_KEYS = ["_level", *KEYS]
 
 
 def quantile_by_bins(df: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
@@ -156,21 +159,29 @@ def distance(p: int) -> Column:
     return sum(((1 if i == j else 2) * F.col(f"p_{i}_{j}") * gap[i] * gap[j] for i in range(p) for j in range(i + 1)), F.lit(0.0))
 
 
+def leveled(vectors: DataFrame) -> DataFrame:
+    """Each vector three times, under the LEVEL_KEYS of its group, of its language and of all documents."""
+    lang, source = (_group(g) for g in GROUP)
+    none = F.lit("")
+    keys = F.array(*[F.struct(F.lit(i).alias("_level"), a.alias("_lang"), b.alias("_source")) for i, (a, b) in enumerate(((lang, source), (lang, none), (none, none)))])
+    return vectors.withColumn("_k", F.explode(keys)).select("_k.*", *[f"x{i}" for i in range(len(FEATURES))])
+
+
 def fit(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Centre and precision of each group of vectors (lang, source, x0, ...): one row for each group, written.
+    """Centre and precision of each group of vectors (lang, source, x0, ...), each language and all: a row each, written.
 
     Starts from medians and median absolute deviations; each concentration step takes the SUBSET of the group with
     the least distances and makes the centre and covariance anew from it, made consistent for a normal group.
     """
     p = len(FEATURES)
     floors = [f for _, f in FEATURES]
-    df = vectors.select(*[_group(g) for g in GROUP], *[f"x{i}" for i in range(p)])
+    df = leveled(vectors)
     # medians: one long table of (group, coordinate, value); all coordinates are at least 0
-    long = df.select(*KEYS, F.posexplode(F.array(*[f"x{i}" for i in range(p)])).alias("_j", "_x"))
-    medians = materialize(quantile_by_bins(long, [*KEYS, "_j"], "_x", 0.5), "medians")
-    spread = long.join(medians, [*KEYS, "_j"]).withColumn("_gap", F.abs(F.col("_x") - F.col("q")))
-    mads = quantile_by_bins(spread, [*KEYS, "_j"], "_gap", 0.5).withColumnRenamed("q", "mad")
-    both = medians.join(mads, [*KEYS, "_j"]).groupBy(*KEYS)
+    long = df.select(*LEVEL_KEYS, F.posexplode(F.array(*[f"x{i}" for i in range(p)])).alias("_j", "_x"))
+    medians = materialize(quantile_by_bins(long, [*LEVEL_KEYS, "_j"], "_x", 0.5), "medians")
+    spread = long.join(medians, [*LEVEL_KEYS, "_j"]).withColumn("_gap", F.abs(F.col("_x") - F.col("q")))
+    mads = quantile_by_bins(spread, [*LEVEL_KEYS, "_j"], "_gap", 0.5).withColumnRenamed("q", "mad")
+    both = medians.join(mads, [*LEVEL_KEYS, "_j"]).groupBy(*LEVEL_KEYS)
     start = both.agg(
         *[F.max(F.when(F.col("_j") == i, F.col("q"))).alias(f"m{i}") for i in range(p)],
         *[F.max(F.when(F.col("_j") == i, 1 / F.pow(F.greatest(F.col("mad") * 1.4826, F.lit(floors[i])), F.lit(2.0)))).alias(f"p_{i}_{i}") for i in range(p)],
@@ -178,12 +189,12 @@ def fit(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     model = materialize(start.withColumns({f"p_{i}_{j}": F.lit(0.0) for i in range(p) for j in range(i)}), "model")
     factor = SUBSET / gamma_p(p / 2 + 1, chi_square_quantile(SUBSET, p) / 2)
     for _ in range(steps):
-        placed = df.join(model, KEYS).withColumn("_d", distance(p))
-        radius = materialize(quantile_by_bins(placed, KEYS, "_d", SUBSET), "radius")
-        near = placed.join(radius, KEYS).where(F.col("_d") <= F.col("q"))
+        placed = df.join(model, LEVEL_KEYS).withColumn("_d", distance(p))
+        radius = materialize(quantile_by_bins(placed, LEVEL_KEYS, "_d", SUBSET), "radius")
+        near = placed.join(radius, LEVEL_KEYS).where(F.col("_d") <= F.col("q"))
         # moments about the last centre, so that no digits cancel
         gaps = {f"g{i}": F.col(f"x{i}") - F.col(f"m{i}") for i in range(p)}
-        sums = near.withColumns(gaps).groupBy(*KEYS).agg(
+        sums = near.withColumns(gaps).groupBy(*LEVEL_KEYS).agg(
             F.count("*").alias("n"),
             *[F.max(f"m{i}").alias(f"o{i}") for i in range(p)],
             *[F.avg(f"g{i}").alias(f"a{i}") for i in range(p)],
@@ -191,29 +202,42 @@ def fit(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
         )
         spreads = {f"c_{i}_{j}": factor * (F.col(f"s_{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}")) + F.lit(floors[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
         moments = sums.withColumns(spreads).withColumns({f"m{i}": F.col(f"o{i}") + F.col(f"a{i}") for i in range(p)})
-        model = materialize(precision(moments, p).select(*KEYS, "n", *[f"m{i}" for i in range(p)], *[f"p_{i}_{j}" for i in range(p) for j in range(i + 1)]), "model")
+        model = materialize(precision(moments, p).select(*LEVEL_KEYS, "n", *[f"m{i}" for i in range(p)], *[f"p_{i}_{j}" for i in range(p) for j in range(i + 1)]), "model")
     return model
 
 
-def judged(stats: DataFrame, model: DataFrame) -> DataFrame:
-    """Adds base_failed, distance and kept to rows with statistics. A group below LEAST_ROWS is not judged."""
+def chosen(stats: DataFrame, model: DataFrame) -> DataFrame:
+    """Centre and precision that judge each group of stats, written: its own estimates if they are of LEAST_ROWS documents
+    or more, else those of its language, if these are, else those of all documents, however few."""
     p = len(FEATURES)
+    values = F.struct(*[f"m{i}" for i in range(p)], *[f"p_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    enough = F.col("n") >= SUBSET * LEAST_ROWS
+    own = model.where((F.col("_level") == 0) & enough).select(*KEYS, values.alias("_own"))
+    lang = model.where((F.col("_level") == 1) & enough).select("_lang", values.alias("_of_lang"))
+    every = model.where("_level = 2").select("_level", values.alias("_of_all"))
+    groups = stats.select(*[_group(g) for g in GROUP]).distinct().withColumn("_level", F.lit(2))
+    found = groups.join(own, KEYS, "left").join(lang, "_lang", "left").join(every, "_level", "left")
+    return materialize(found.withColumn("_model", F.coalesce("_own", "_of_lang", "_of_all")).select(*KEYS, "_model.*"), "chosen")
+
+
+def judged(stats: DataFrame, model: DataFrame) -> DataFrame:
+    """Adds base_failed, distance and kept to rows with statistics; model is that of chosen()."""
     columns = stats.columns
     placed = with_vector(stats).withColumns({f"_{g}": F.coalesce(F.col(g).cast("string"), F.lit("")) for g in GROUP}).join(model, KEYS, "left")
-    far = (F.col("n") >= SUBSET * LEAST_ROWS) & (F.col("_d2") > CUT)
-    out = placed.withColumn("_d2", distance(p)).withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).withColumn("distance", F.sqrt("_d2")).select(*columns, "base_failed", "distance", "kept")
+    out = placed.withColumn("_d2", distance(len(FEATURES))).withColumn("base_failed", base_failed())
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("_d2") > CUT, F.lit(False))).withColumn("distance", F.sqrt("_d2")).select(*columns, "base_failed", "distance", "kept")
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang, source) to doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     One row per row of docs, repeated identifiers included. Documents that fail a base rule take no part in the
-    estimates. Null languages and sources count as empty ones. An empty table gives no row.
+    estimates. Null languages and sources count as empty ones. Every document is judged: one of a group below LEAST_ROWS
+    by the estimates of its language or of all documents, and distance is from these. An empty table gives no row.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     stats = materialize(with_statistics(docs.select("doc_id", "text", *GROUP)).select("doc_id", *GROUP, *names), "statistics")
-    model = fit(with_vector(stats.where(~base_failed())))
+    model = chosen(stats, fit(with_vector(stats.where(~base_failed()))))
     return judged(stats, model).select("doc_id", *[n for n in names if n != "n_lines"], "base_failed", "distance", "kept")
 
 

@@ -289,6 +289,25 @@ def test_quality_distances(spark):
         assert np.allclose([got[i].distance for i in own], want, rtol=1e-6)
 
 
+def test_quality_judges_small_groups(spark):
+    # 6 documents a source; "fr" is below LEAST_ROWS as a language too; source "none" has junk alone
+    rng = random.Random(8)
+    rows, junk = [], set()
+    for i in range(270):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(int(rng.lognormvariate(4, 0.5)) + 25)]
+        if i % 15 == 0:
+            words = [w + "###" for w in words]
+            junk.add(i)
+        rows.append((i, " ".join(words), "fr" if i >= 240 else "en" if i % 2 else None, "none" if i == 30 else f"s{i // 12 if i < 240 else i // 6}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert df.groupBy("lang", "source").count().agg(F.max("count")).first()[0] < quality.LEAST_ROWS
+    got = by_id(quality.quality(df))
+    assert len(got) == len(rows) and {i for i, r in got.items() if not r.kept} == junk
+    # a table below LEAST_ROWS as a whole
+    few = by_id(quality.quality(df.where("doc_id >= 240")))
+    assert {i for i, r in few.items() if not r.kept} == {i for i in junk if i >= 240}
+
+
 def test_quality_is_native(spark, docs):
     plan = quality.quality(docs)._jdf.queryExecution().executedPlan().toString() + quality.with_statistics(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
