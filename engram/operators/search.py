@@ -52,15 +52,16 @@ def search(points: DataFrame, query: Sequence[float], now_ts: float, limit: int
 
 
 def search_batch(points: DataFrame, queries: DataFrame, limit: int = 10, vector: str = "vector") -> DataFrame:
-    """query_id, rank, id, raw_score: the best points for each of a bounded set of queries (query_id, query).
+    """query_id, rank, id, raw_score: the best points for each row of queries (query_id, query), however many.
 
-    The queries, a stated set of small size, are collected and scored as literals against one scan each; each query
-    keeps its own best, so no pair leaves its task but a query's limit.
+    The queries are broadcast and scored against one scan of the points. Each task keeps a query's best before the
+    exchange, so no pair leaves its task but a query's limit. Points and queries without a vector or direction, and pairs
+    of different lengths, go; rows of one query_id are queries of their own. Ties by id.
     """
-    found = None
-    for row in queries.select("query_id", "query").collect():
-        best = cosine_scores(points, row["query"], vector).orderBy(F.desc("raw_score"), "id").limit(limit)
-        rank = F.row_number().over(Window.orderBy(F.desc("raw_score"), "id"))
-        one = best.select(F.lit(row["query_id"]).alias("query_id"), rank.alias("rank"), "id", "raw_score")
-        found = one if found is None else found.unionByName(one)
-    return found
+    asked = queries.select("query_id", F.col("query").alias("_query"), norm(F.col("query")).alias("_size"), F.monotonically_increasing_id().alias("_row"))
+    own = F.col(vector)
+    pairs = points.where(own.isNotNull()).withColumn("_own", norm(own)).crossJoin(F.broadcast(asked.where(F.col("_query").isNotNull())))
+    scored = pairs.where(F.size(own) == F.size("_query")).withColumn("raw_score", F.try_divide(dot(own, F.col("_query")), F.col("_own") * F.col("_size")))
+    rank = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("raw_score"), "id"))
+    best = scored.where(F.col("raw_score").isNotNull()).select("_row", "query_id", "id", "raw_score").withColumn("rank", rank)
+    return best.where(F.col("rank") <= limit).select("query_id", "rank", "id", "raw_score")

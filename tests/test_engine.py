@@ -174,3 +174,23 @@ def test_stream_ingest_is_idempotent(engine, spark, tmp_path):
         stream = spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in")
         ingest_stream(engine, stream, f"file://{tmp_path}/check").awaitTermination()
     assert engine.points.count() == 2
+
+
+def test_search_batch_scans_once(spark):
+    import numpy as np
+
+    from engram.operators.search import search_batch
+
+    vectors = np.random.default_rng(2).normal(size=(200, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    points = spark.createDataFrame([*rows, (200, None), (201, [0.0] * 8), (202, [1.0])], "id long, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([*rows[::4], (500, None), (501, [0.0] * 8)], "query_id long, query array<double>")
+    found = search_batch(points, queries, limit=7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2 and plan.count("WindowGroupLimit") == 2
+    got = {(r.query_id, r["rank"]): (r.id, r.raw_score) for r in found.collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = unit @ unit.T
+    assert set(got) == {(q, k) for q in range(0, 200, 4) for k in range(1, 8)}
+    for (q, k), (i, score) in got.items():
+        assert i == np.argsort(-scores[q])[k - 1] and abs(score - scores[q, i]) < 1e-12
