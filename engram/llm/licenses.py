@@ -54,7 +54,8 @@ FAMILIES = (
     ("bsl", "business source", r"business source licen[cs]e", ("1 0", "1 1")),
     ("unlicense", "unlicense", r"the unlicense", ()),
     ("wtfpl", "wtfpl", r"wtfpl", ("1", "2")),
-    ("python", "python", r"python software foundation licen[cs]e|psf licen[cs]e", ("2",)),
+    ("python", "python", r"python software foundation licen[cs]e", ("2",)),
+    ("python", "psf", r"psf licen[cs]e", ("2",)),
     ("php", "php", r"php licen[cs]e", ("3 0", "3 01")),
     ("ruby", "ruby", r"ruby licen[cs]e", ()),
     ("postgresql", "postgresql", r"postgresql licen[cs]e", ()),
@@ -85,6 +86,23 @@ FAMILIES = (
     ("proprietary", "confidential", r"proprietary and confidential|confidential and proprietary", ()),
 )
 
+#: Short names of the SPDX list, by label. A tag that goes on after a short name ("-only", "-or-later") has the same label.
+SPDX = {
+    "gpl": "GPL-1.0 GPL-2.0 GPL-3.0", "lgpl": "LGPL-2.0 LGPL-2.1 LGPL-3.0", "agpl": "AGPL-1.0 AGPL-3.0", "gfdl": "GFDL-1.1 GFDL-1.2 GFDL-1.3",
+    "apache": "Apache-1.0 Apache-1.1 Apache-2.0", "mit": "MIT MIT-0 MIT-CMU MIT-Modern-Variant X11", "isc": "ISC",
+    "bsd": "0BSD BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSD-Source-Code",
+    "mpl": "MPL-1.0 MPL-1.1 MPL-2.0", "epl": "EPL-1.0 EPL-2.0", "cddl": "CDDL-1.0 CDDL-1.1", "cpl": "CPL-1.0",
+    "artistic": "Artistic-1.0 Artistic-1.0-Perl Artistic-2.0", "zlib": "Zlib zlib-acknowledgement libpng-2.0", "boost": "BSL-1.0", "bsl": "BUSL-1.1",
+    "unlicense": "Unlicense", "wtfpl": "WTFPL", "python": "PSF-2.0 Python-2.0", "php": "PHP-3.0 PHP-3.01", "ruby": "Ruby", "postgresql": "PostgreSQL",
+    "openssl": "OpenSSL", "w3c": "W3C W3C-19980720 W3C-20150513", "eupl": "EUPL-1.0 EUPL-1.1 EUPL-1.2", "osl": "OSL-1.0 OSL-2.0 OSL-2.1 OSL-3.0",
+    "afl": "AFL-1.1 AFL-1.2 AFL-2.0 AFL-2.1 AFL-3.0", "ms-pl": "MS-PL", "ms-rl": "MS-RL", "ofl": "OFL-1.0 OFL-1.1", "odbl": "ODbL-1.0", "sspl": "SSPL-1.0",
+    "upl": "UPL-1.0", "cc0": "CC0-1.0", "cc-by": "CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0",
+    "cc-by-sa": "CC-BY-SA-1.0 CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-SA-4.0", "cc-by-nc": "CC-BY-NC-1.0 CC-BY-NC-2.0 CC-BY-NC-2.5 CC-BY-NC-3.0 CC-BY-NC-4.0",
+    "cc-by-nd": "CC-BY-ND-1.0 CC-BY-ND-2.0 CC-BY-ND-2.5 CC-BY-ND-3.0 CC-BY-ND-4.0",
+    "cc-by-nc-sa": "CC-BY-NC-SA-1.0 CC-BY-NC-SA-2.0 CC-BY-NC-SA-2.5 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0",
+    "cc-by-nc-nd": "CC-BY-NC-ND-1.0 CC-BY-NC-ND-2.0 CC-BY-NC-ND-2.5 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0",
+}
+
 #: Hand-written rules for grants and disclaimers: label, keyword, pattern, priority, weight.
 GRANTS = (
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 90, 1.0),
@@ -98,7 +116,7 @@ GRANTS = (
     ("mpl", "source code form", r"this source code form is subject to the terms of the mozilla public license", 95, 1.0),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 95, 1.0),
     ("zlib", "as is", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", 80, 0.9),
-    ("boost", "boost", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 92, 1.0),
+    ("boost", "permission is hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 92, 1.0),
     ("wtfpl", "what the", r"do what the fuck you want to public license", 95, 1.0),
     ("cc0", "waive", r"to the extent possible under law .{1,80}? has waived all copyright", 90, 1.0),
 )
@@ -114,7 +132,8 @@ class Rule:
 
 
 def make_rules() -> tuple[Rule, ...]:
-    """Each family's name alone, with each version, as an identifier tag and as a grant; then the hand-written grants.
+    """Each family's name alone, with each version, in an identifier tag and as a grant; each SPDX short name in an
+    identifier tag; the hand-written grants. A rule's keyword stands at the start of a word in all that its pattern matches.
 
     Ordered by falling priority, so that an earlier rule wins over a later one of equal extent.
     """
@@ -127,6 +146,8 @@ def make_rules() -> tuple[Rule, ...]:
         for v in versions:
             made.append((label, keyword, rf"(?<= )(?:{name}) (?:v|version )?{v}(?= )", 40 + v.count(" "), 0.8))
             made.append((label, keyword, rf"(?<= )(?:{name}) (?:v|version )?{v}(?: or (?:any )?later| or newer| plus)(?= )", 45, 0.85))
+    for label, names in SPDX.items():
+        made += [(label, "spdx", rf"(?<= )spdx licen[cs]e identifier {re.sub('[-.]', ' ', name.lower())}(?= )", 60, 1.0) for name in names.split()]
     made += [(label, keyword, rf"(?<= )(?:{p})(?= )", priority, weight) for label, keyword, p, priority, weight in GRANTS]
     made.sort(key=lambda r: -r[3])
     return tuple(Rule(label, keyword, re.compile(p), priority, weight) for label, keyword, p, priority, weight in made)

@@ -333,6 +333,55 @@ def test_license_scan(spark):
     assert scan_empty(df) == 0
 
 
+def firing(pattern):
+    """Texts that a pattern over words matches: one for each choice of an alternative or of an optional part."""
+    from re import _parser
+
+    def spell(parts):
+        out = [""]
+        for op, arg in parts:
+            name = str(op)
+            if name == "LITERAL":
+                some = [chr(arg)]
+            elif name == "IN":
+                some = [chr(c) for _, c in arg]
+            elif name == "ANY":
+                some = ["x"]
+            elif name == "CATEGORY" or name == "ASSERT":
+                some = [""]
+            elif name == "BRANCH":
+                some = [t for branch in arg[1] for t in spell(branch)]
+            elif name == "SUBPATTERN":
+                some = spell(arg[3])
+            else:
+                assert name in ("MAX_REPEAT", "MIN_REPEAT"), name
+                some = [t * k for k in sorted({arg[0], max(1, arg[0])}) for t in spell(arg[2])]
+            out = [a + b for a in out for b in some]
+        return out
+
+    return spell(_parser.parse(pattern.replace(r"\d", "7")))
+
+
+def test_license_rules_all_fire():
+    rules = licenses.make_rules()
+    for rule in rules:
+        texts = firing(rule.pattern.pattern)
+        assert texts
+        for text in texts:
+            assert rule.pattern.search(f" {text} ") and f" {rule.keyword}" in f" {text}", (rule, text)
+
+
+def test_license_identifiers():
+    scan = licenses.Scanner().scan
+    for label, names in licenses.SPDX.items():
+        for name in names.split():
+            *_, labels, score = scan(f"// SPDX-License-Identifier: {name}\n".encode())
+            assert label in labels and score > 0, name
+    assert scan(b"SPDX-License-Identifier: GPL-2.0-or-later")[5] == ["gpl"]
+    assert scan(b"under the PSF License")[5] == ["python"]
+    assert "boost" in scan(b"Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation")[5]
+
+
 def scan_empty(df):
     return licenses.scan_licenses(df.limit(0)).count()
 
