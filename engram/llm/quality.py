@@ -244,8 +244,12 @@ def quality(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality() keeps, with the columns of docs.
 
-    Of rows that repeat a doc_id all go if one is rejected; rows without a doc_id stay. The rejected identifiers are
-    written first, so that the planner knows their size and leaves the texts where they are while it is small.
+    Each row goes or stays by its own verdict, whatever its doc_id, null or repeated ones included. Rows are written once
+    with their statistics, so that texts are read once and no identifier is joined.
     """
-    gone = materialize(quality(docs).where(~F.col("kept")).select("doc_id").distinct(), "rejected")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", *GROUP)
+    stats = materialize(with_statistics(rows).select("_row", *GROUP, *names), "rows")
+    numbers = stats.drop("_row")
+    model = chosen(numbers, fit(with_vector(numbers.where(~base_failed()))))
+    return judged(stats, model).where("kept").select("_row.*")

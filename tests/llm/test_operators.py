@@ -308,6 +308,18 @@ def test_quality_judges_small_groups(spark):
     assert {i for i, r in few.items() if not r.kept} == {i for i in junk if i >= 240}
 
 
+def test_quality_keeps_rows_by_their_own_verdict(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(80):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(int(rng.lognormvariate(4, 0.5)) + 25)]
+        rows.append((None if i % 2 else i, " ".join(w + "###" for w in words) if i < 4 else "too few words" if i < 8 else " ".join(words), "en", "s", i))
+    rows.append((0, rows[20][1], "en", "s", 80))  # a clean row under a rejected row's identifier
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int")
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and {r.n_words for r in kept.collect()} == set(range(8, 81))
+
+
 def test_quality_is_native(spark, docs):
     plan = quality.quality(docs)._jdf.queryExecution().executedPlan().toString() + quality.with_statistics(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
