@@ -21,7 +21,7 @@ WINDOW_WORDS = 8
 #: Statistics of the vector with the least standard deviation that each is given, so that a group in which nearly all
 #: documents agree does not reject a document for a trifle. In a group without symbols, a text of one symbol to five
 #: words is far; public filters commonly set the bound at one to ten.
-FEATURES = (("log_words", 0.5), ("log_word_chars", 0.08), ("symbol_share", 0.05), ("dup_line_share", 0.15), ("repeat_share", 0.12))
+FEATURES = (("log_words", 0.5), ("log_word_chars", 0.08), ("symbol_share", 0.05), ("dup_line_share", 0.1), ("repeat_share", 0.12))
 GROUP = ("lang", "source")
 #: Share of a group that the estimates are made from, concentration steps, least documents of a group that is judged by
 #: its own estimates; a smaller one is judged by those of its language or, if that is small too, of all documents.

@@ -325,6 +325,11 @@ def test_quality_is_native(spark, docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_duplicate_lines_alone_can_reject():
+    # two thirds of the lines are duplicates, in a group in which no other document has any
+    assert 2 / 3 / dict(quality.FEATURES)["dup_line_share"] ** 2 > quality.CUT
+
+
 def test_chi_square():
     assert abs(quality.chi_square_quantile(0.95, 5) - 11.0705) < 1e-3
 
