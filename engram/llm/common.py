@@ -107,10 +107,11 @@ def with_group(docs: DataFrame, groups: int, key: str = "doc_id") -> DataFrame:
     return docs.withColumn("grp", F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).cast("int"))
 
 
-def pack_rows(docs: DataFrame, columns: Sequence[str], flush_bytes: int = 24 << 20) -> DataFrame:
+def pack_rows(docs: DataFrame, columns: Sequence[str], flush_bytes: int = 24 << 20, prepare: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
     """Rows with a grp column to (grp, blob): compressed Arrow streams of the rows of one group.
 
-    Text takes about 0.6 of the space that rows take in a shuffle, and a group is exchanged in large pieces.
+    Text takes about 0.6 of the space that rows take in a shuffle, and a group is exchanged in large pieces. prepare
+    makes the columns that are packed from those given.
     """
     columns = list(columns)
 
@@ -121,7 +122,7 @@ def pack_rows(docs: DataFrame, columns: Sequence[str], flush_bytes: int = 24 <<
             table = pa.Table.from_batches(held).sort_by("grp").combine_chunks()
             ids = table["grp"].to_numpy()
             cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            rows = table.select(columns)
+            rows = prepare(table.select(columns)) if prepare else table.select(columns)
             keys, blobs = [], []
             for start, end in zip(cuts, np.r_[cuts[1:], len(ids)], strict=True):
                 sink = pa.BufferOutputStream()

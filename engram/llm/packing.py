@@ -10,31 +10,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import binary_rows, encoder, with_end
 from .common import materialize, trimmed
 
 ENCODED = "part int, doc_id long, before long, n long, ids binary"
 
 
-def encode_parts(docs: DataFrame, vocabulary: str, end_id: int, remembered: int = 200_000) -> DataFrame:
+def encode_parts(docs: DataFrame, vocabulary: str, end_id: int, remembered: int = 1_000_000) -> DataFrame:
     """First pass: (part, doc_id, before, n, ids); n counts a row's ids, before those of earlier rows of the same input partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, before = encoder(vocabulary, remembered), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                ids = [x + end for x in bpe.encode_batch(some.column(1).to_pylist())]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = before + np.cumsum(sizes) - sizes
-                before += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), some.column(0), pa.array(starts), pa.array(sizes), pa.array(ids, pa.binary())], ["part", "doc_id", "before", "n", "ids"])
+            ids, sizes = with_end(*bpe.encode_column(batch.column(1)), end_id)
+            ends = np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(sizes), part, np.int32)), batch.column(0), pa.array(before + ends - sizes), pa.array(sizes), binary_rows(ids, sizes)], ["part", "doc_id", "before", "n", "ids"]
+            )
+            before += int(sizes.sum())
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(trimmed(encode), ENCODED)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0, remembered: int = 200_000) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0, remembered: int = 1_000_000) -> DataFrame:
     """Packs docs (doc_id, text; null text: empty) into sequences of length ids; each document ends with end_id.
 
     Returns one row per piece: doc_id, start (the document's ids before it), ids (little-endian 4-byte integers),

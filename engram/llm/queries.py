@@ -12,8 +12,8 @@ from . import oracles
 from .common import bound_batches
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces whose ids a worker keeps, about 200 bytes each, in each of two generations.
-REMEMBERED = 600_000
+#: Pieces whose ids a worker keeps, about 60 bytes each.
+REMEMBERED = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

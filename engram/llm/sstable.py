@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import encoder, with_end
 from .common import materialize, scratch_path, trimmed
 
 MAGIC = b"ENGRSST1"
@@ -36,6 +36,19 @@ BLOCK_BYTES, BITS_PER_KEY, PROBES, SHARD_BYTES = 64 << 10, 10, 7, 32 << 20
 SHARDS = "shard int, path string, n_docs long, n_tokens long"
 
 
+#: Schemes that Spark's file systems have and Arrow's know by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "dbfs": "file:///dbfs"}
+
+
+def open_folder(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """Arrow's file system and the path in it, of a folder as Spark names it; hdfs needs libhdfs on the workers."""
+    scheme, found, rest = uri.partition(":")
+    if found and scheme in SCHEMES:
+        known = SCHEMES[scheme]
+        uri = f"{known}/{rest.lstrip('/')}" if ":" in known else f"{known}:{rest}"
+    return pa.fs.FileSystem.from_uri(uri)
+
+
 def pack_key(doc_id: int | None) -> bytes:
     return b"\x00" if doc_id is None else b"\x01" + struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
 
@@ -119,8 +132,9 @@ class Reader:
     """Reads one shard: footer, index and filter at once, blocks as they are asked for."""
 
     def __init__(self, path: str):
-        fs, name = pa.fs.FileSystem.from_uri(path)
-        self.file = fs.open_input_file(name)
+        folder, _, name = path.rpartition("/")
+        fs, base = open_folder(folder)
+        self.file = fs.open_input_file(f"{base}/{name}")
         size = self.file.size()
         tail = self.file.read_at(FOOTER.size, size - FOOTER.size)
         at, bloom_at, self.bits, self.entries, self.n_tokens, blocks, self.width, _, magic = FOOTER.unpack(tail)
@@ -171,44 +185,42 @@ class Reader:
         return found
 
 
-def write_sstables(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 2, shard_bytes: int = SHARD_BYTES, remembered: int = 200_000) -> DataFrame:
+def write_sstables(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 2, shard_bytes: int = SHARD_BYTES, remembered: int = 1_000_000) -> DataFrame:
     """Encodes every whole text of docs (doc_id, text; null text: empty) and appends end_id; writes shards in ascending doc_id order.
 
-    Null identifiers come first; rows with one identifier stay apart, ordered by text. Returns one row per shard
-    (shard, path, n_docs, n_tokens), of which none is empty; shards ascend as their keys do. An empty table gives no
-    shard. Rows are dealt by ranges of doc_id into shards of about shard_bytes of text; a task streams its rows and
-    moves the finished file to its final name, so that a repeated task replaces the same file.
+    Null identifiers come first; rows with one identifier stay apart, ordered by a hash of the text, then the text.
+    Returns one row per shard (shard, path, n_docs, n_tokens), of which none is empty; shards ascend as their keys do.
+    An empty table gives no shard. Rows are dealt by ranges of (doc_id, hash, place in the input) into shards of about
+    shard_bytes of text, so that an identifier or a row repeated very often fills several shards. A task streams its
+    rows into a file named by its attempt; the returned rows, written by Spark's committer, name the files that count,
+    and files of other attempts are never read.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "sstables")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parted = rows.repartitionByRange(max(6, -(-total // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = rows.withColumns({"h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    parted = keyed.repartitionByRange(max(6, -(-total // shard_bytes)), "doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, shard, out = encoder(vocabulary, remembered), TaskContext.get().partitionId(), None
-        end = np.array([end_id], "<u4")
         width = 2 if max(bpe.tokenizer.get_vocab_size(True) - 1, end_id) < 1 << 16 else 4
-        fs, base = pa.fs.FileSystem.from_uri(folder)
-        final = f"{base}/shard-{shard:06d}.sst"
-        held = f"{base}/_{TaskContext.get().taskAttemptId()}-{shard:06d}"
+        fs, base = open_folder(folder)
+        name = f"shard-{shard:06d}-{TaskContext.get().taskAttemptId()}.sst"
         for batch in batches:
             if batch.num_rows and out is None:
                 fs.create_dir(base, recursive=True)
-                out = fs.open_output_stream(held)
+                out = fs.open_output_stream(f"{base}/{name}")
                 writer = Writer(out, width)
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                for doc_id, ids in zip(some.column(0).to_pylist(), bpe.encode_batch(some.column(1).to_pylist()), strict=True):
-                    writer.add(doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
+            ids, counts = with_end(*bpe.encode_column(batch.column(1)), end_id)
+            ids, at = ids.astype(f"<u{width}"), 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
+                writer.add(doc_id, ids[at : at + n])
+                at += n
         if out is not None:
             writer.close()
             out.close()
-            # a repeated task finds the file of the attempt before; not every store renames onto one
-            if fs.get_file_info(final).type != pa.fs.FileType.NotFound:
-                fs.delete_file(final)
-            fs.move(held, final)
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/shard-{shard:06d}.sst", "n_docs": writer.entries, "n_tokens": writer.n_tokens}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/{name}", "n_docs": writer.entries, "n_tokens": writer.n_tokens}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     return materialize(parted.mapInArrow(trimmed(write), SHARDS), "shards")
 

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -208,24 +209,51 @@ def test_chunked_bpe(docs, texts, library):
     assert chunked_bpe.encode_chunked(docs.limit(0), VOCABULARY).count() == 0
 
 
-def test_encoders_on_hostile_texts(library):
+def test_encoders_on_hostile_texts(library, monkeypatch):
     rng = random.Random(2)
-    atoms = [" ", "  ", "\n", "a", "b", "'s", "'", "<|endoftext|>", "\x1c", "　", "9", ".", "é", "日", "\t", "\r", "\n\n", " \n", "word", " the", " ", "́"]
+    atoms = [" ", "  ", "\n", "a", "b", "'s", "'", "<|endoftext|>", "\x1c", "\u3000", "9", ".", "é", "日", "\t", "\r", "\n\n", " \n", "word", " the", "\u00a0", "\u0301", "'re", "'l", "l", "²", "\x00"]
     texts = ["".join(rng.choices(atoms, k=rng.randint(0, 200))) for _ in range(1500)]
+    texts += ["".join(rng.choices(atoms[:7] + atoms[10:13] + atoms[14:20] + atoms[22:], k=rng.randint(0, 200))) for _ in range(1500)]
     texts += [a + b for a, b in zip(texts[:300], texts[300:600], strict=True)]
+    texts += ["supercalifragilistic" * 9, "".join(texts[:40]), "x" * 700 + " 's" * 300]
     want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
     small = bpe.WordBpe(VOCABULARY, limit=200)
     assert [x for i in range(0, len(texts), 50) for x in small.encode_batch(texts[i : i + 50])] == want
-    assert chunked_bpe.encode_group([t.encode() for t in texts], {}, VOCABULARY) == want
-    spell = bpe.byte_table(VOCABULARY)
-    assert [b"".join(spell[i] for i in np.frombuffer(w, "<u4")).decode() for w in want] == [library.decode(np.frombuffer(w, "<u4").tolist(), skip_special_tokens=False) for w in want]
-
-
-def test_given_cores_are_used(library):
-    text = " ".join(f"word{i}" for i in range(300)).encode()
-    part = chunked_bpe.chunks(text)[1]
-    wrong = {chunked_bpe.chunk_name(part): b""}
-    assert len(chunked_bpe.encode_group([text], wrong, VOCABULARY)[0]) < 4 * len(library.encode(text.decode()).ids)
+    monkeypatch.setattr(bpe, "STEP_BYTES", 300)  # texts cut at safe blanks
+    assert bpe.WordBpe(VOCABULARY).encode_batch(texts) == want
+    monkeypatch.undo()
+    assert chunked_bpe.encode_texts(texts, {}, VOCABULARY) == want
+    monkeypatch.setattr(chunked_bpe, "CUT_BITS", 2)  # many joins
+    monkeypatch.setattr(chunked_bpe, "LEAST", 32)
+    assert chunked_bpe.encode_texts(texts, {}, VOCABULARY) == want
+    ids = np.frombuffer(b"".join(want), "<u4")
+    assert bpe.decode_flat(ids, np.array([len(w) // 4 for w in want]), VOCABULARY) == [library.decode(np.frombuffer(w, "<u4").tolist(), skip_special_tokens=False) for w in want]
+
+
+def test_joins_of_chunks_are_repaired(library, monkeypatch):
+    # chunks encoded apart give other ids than the whole text; windows around the joins mend them
+    monkeypatch.setattr(chunked_bpe, "CUT_BITS", 3)
+    text = " ".join(f"word{i} isn't" for i in range(3000))
+    data, offsets, ends, _ = chunked_bpe.chunks_of(chunked_bpe.cut_table(pa.table({"doc_id": [1], "text": [text]})))
+    begins = np.r_[0, ends[:-1]]
+    whole = library.encode(text, add_special_tokens=False).ids
+    raw = text.encode()
+    apart = [i for a, b in zip(begins, ends, strict=True) for i in library.encode(raw[a:b].decode(), add_special_tokens=False).ids]
+    assert len(ends) > 100 and apart != whole
+    starts, until, _ = chunked_bpe.repair(data, begins, ends, begins == 0, VOCABULARY)
+    assert all(any(s < b < u for s, u in zip(starts, until, strict=True)) for b in begins[1:]) and (until[:-1] <= starts[1:]).all()
+    assert (until - starts).sum() < len(raw)
+
+
+def test_given_chunks_are_used(library):
+    text = " ".join(f"word{i}" for i in range(300))
+    data, _, ends, names = chunked_bpe.chunks_of(chunked_bpe.cut_table(pa.table({"doc_id": [1], "text": [text]})))
+    part = data[ends[0] : ends[1]].tobytes().decode()
+    ids = np.array(library.encode(part, add_special_tokens=False).ids, "<u4")
+    ids[len(ids) // 2] = library.encode("#").ids[0] if len(library.decode([int(ids[len(ids) // 2])])) == 1 else ids[len(ids) // 2]
+    got = chunked_bpe.encode_texts([text], {names[1]: ids.tobytes()}, VOCABULARY)[0]
+    middle = ids[len(ids) // 3 : 2 * len(ids) // 3].tobytes()
+    assert middle in got
 
 
 # 4
