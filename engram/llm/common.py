@@ -58,7 +58,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what materialize wrote, where nothing reads it any more."""
+    remove_path(df.sparkSession, df.scratch)
 
 
 # --- memory of Python workers ----------------------------------------------------------------------------------
@@ -102,9 +109,10 @@ def group_count(docs: DataFrame, text: str = "text", group_bytes: int = GROUP_BY
     return max(24, -(-total // group_bytes))
 
 
-def with_group(docs: DataFrame, groups: int, key: str = "doc_id") -> DataFrame:
-    """Adds grp, the packed group of a row. Null keys fall in a group as any value does."""
-    return docs.withColumn("grp", F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).cast("int"))
+def with_group(docs: DataFrame, groups: int) -> DataFrame:
+    """Adds grp, the packed group of a row of docs (doc_id, text): by both, so that rows of one identifier, or of none,
+    are dealt like others. Only rows equal in both meet in one group."""
+    return docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
 
 def pack_rows(docs: DataFrame, columns: Sequence[str], flush_bytes: int = 24 << 20, prepare: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
@@ -243,7 +251,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        edges = materialize(small_star(large_star(edges)), "edges")
+        before, edges = edges, materialize(small_star(large_star(edges)), "edges")
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
         if now == seen:
             break
