@@ -1,7 +1,14 @@
-"""Embedding near-duplicates by a pivot-permutation index: ordered nearest pivots, inverted lists, exact verification."""
+"""Embedding near-duplicates by a pivot-permutation index: ordered nearest pivots, inverted lists, exact verification.
+
+A vector's description is the permutation of its nearest pivots. Each pivot has an inverted list of the descriptions that
+hold it. Within a list the pivots that two descriptions share are counted and their ranks compared; pairs that share
+enough, at ranks close enough, are candidates. Only then are vectors fetched, for the members that have candidates, and
+cosines computed.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, local_components, materialize, trimmed, whole_groups
 
-#: Rows of the sample that pivots are chosen from, pivots, nearest pivots of a vector, vectors in a block of a list.
-SAMPLE_ROWS, PIVOTS, NEAREST, BLOCK_ROWS = 4096, 512, 7, 1000
+#: Pivots: so many times the root of the classes, within bounds; lists then grow as the root too. Rows of the sample for
+#: each pivot.
+PER_ROOT, FEWEST, MOST, SAMPLE = 4, 64, 16_384, 4
+#: Nearest pivots of a vector, pivots that two descriptions must share, the most that ranks may differ by in all.
+NEAREST, SHARED, APART_RANKS = 8, 3, 46
+#: Members of a block of a list, rows in one step of a worker.
+BLOCK_ROWS = 1000
 #: A vector of the sample closer to a chosen pivot than this is passed over, so that a crowd of copies gives one pivot.
 APART = 0.8
 
@@ -23,15 +35,16 @@ def unit_rows(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
+def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     """Unit vectors of the sample in its order, each apart from those before."""
-    chosen = np.empty((0, sample.shape[1]))
+    chosen, n = np.empty((count, sample.shape[1])), 0
     for x in sample:
-        if not len(chosen) or (chosen @ x).max() < APART:
-            chosen = np.vstack([chosen, x])
-            if len(chosen) == count:
+        if not n or (chosen[:n] @ x).max() < APART:
+            chosen[n] = x
+            n += 1
+            if n == count:
                 break
-    return chosen
+    return chosen[:n]
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
@@ -67,69 +80,87 @@ def clean_vectors(embeddings: DataFrame) -> DataFrame:
     return rows.where("vec_id is not null and label is not null and embedding is not null").mapInArrow(trimmed(clean), VECTORS)
 
 
-def pair_lists(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (left, right) of all pairs within consecutive groups of these sizes."""
-    starts = np.cumsum(sizes) - sizes
-    left = np.repeat(np.arange(sizes.sum()), np.repeat(starts + sizes, sizes) - np.arange(sizes.sum()) - 1)
-    first = np.cumsum(np.r_[0, np.bincount(left, minlength=int(sizes.sum()))[:-1]]) if len(left) else np.zeros(int(sizes.sum()), np.int64)
-    return left, left + 1 + np.arange(len(left)) - first[left]
-
-
-def padded(lists: pa.ChunkedArray) -> np.ndarray:
-    """Lists as rows of one width, filled up with -1."""
-    array = lists.combine_chunks()
-    size = np.diff(array.offsets.to_numpy())
+def lists_of(array: pa.ChunkedArray) -> np.ndarray:
+    """Descriptions as rows of one width, filled up with -1."""
+    whole = array.combine_chunks()
+    whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+    size = np.diff(whole.offsets.to_numpy())
     out = np.full((len(size), size.max(initial=1)), -1, np.int32)
-    out[np.arange(out.shape[1]) < size[:, None]] = array.flatten().to_numpy()
+    out[np.arange(out.shape[1]) < size[:, None]] = whole.flatten().to_numpy()
     return out
 
 
-def verify_lists(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Inverted lists, or pairs of blocks of one, to verified links: (node, other, links).
+def candidates(near: np.ndarray, own: int, nearest: int, shared: int, apart: int) -> np.ndarray:
+    """Which pairs of a list's descriptions are candidates that this list owns.
 
-    A row with other null adds links to node; one with other links the two in the component. A pair that several lists
-    hold counts in the first of them only: that of the two smallest pivots both descriptions have.
+    They share enough pivots, or all that the shorter one has; the sum of the differences of ranks, a pivot that one
+    lacks standing behind its last, is small enough; and no pivot below the list's own is shared, so that of the lists
+    that hold a pair one owns it.
+    """
+    m = len(near)
+    names, place = np.unique(near, return_inverse=True)
+    place = place.reshape(near.shape)
+    ranks = np.full((m, len(names)), near.shape[1], np.float32)
+    ranks[np.arange(m)[:, None], place] = np.arange(near.shape[1], dtype=np.float32)
+    has = (ranks < near.shape[1]).astype(np.float32)
+    has[:, names < 0] = 0
+    common = has @ has.T
+    early = has[:, (names >= 0) & (names < own)]
+    length = has.sum(1)
+    ok = (common >= np.minimum(shared, np.minimum(length[:, None], length[None, :]))) & (early @ early.T == 0)
+    # footrule: of each description's pivots, the distance to their ranks in the other
+    distance = np.zeros((m, m), np.float32)
+    for k in range(near.shape[1]):
+        real = near[:, k] >= 0
+        distance[real] += np.abs(ranks[:, place[real, k]].T - k)
+    both = distance + distance.T  # shared pivots are counted twice, others once
+    for p in np.flatnonzero((has.sum(0) > 1) & (names >= 0)):
+        some = np.flatnonzero(has[:, p])
+        both[np.ix_(some, some)] -= np.abs(ranks[some, p][:, None] - ranks[some, p][None, :])
+    ok &= both <= apart
+    np.fill_diagonal(ok, False)
+    return ok
+
+
+LIST = ["label", "dims", "pivot", "bi", "bj"]
+
+
+def pruned(batches: Iterator[pa.RecordBatch], nearest: int, shared: int, apart: int) -> Iterator[pa.RecordBatch]:
+    """Of inverted lists, or pairs of blocks of one, the members that have a candidate there; no vector is read."""
+    for table, at in whole_groups(batches, LIST, rows=BLOCK_ROWS):
+        near = lists_of(table["near"])
+        block, pivot, bi, bj = (table[c].to_numpy() for c in ("block", "pivot", "bi", "bj"))
+        keep = np.zeros(table.num_rows, bool)
+        for s, e in zip(at, np.r_[at[1:], table.num_rows], strict=True):
+            if e - s > 1:
+                ok = candidates(near[s:e], int(pivot[s]), nearest, shared, apart)
+                if bi[s] != bj[s]:
+                    ok &= block[s:e, None] != block[None, s:e]
+                keep[s:e] = ok.any(1)
+        yield from table.filter(pa.array(keep)).to_batches()
+
+
+FOUND = "node long, other long, links long"
+
+
+def verify_lists(batches: Iterator[pa.RecordBatch], threshold: float, nearest: int, shared: int, apart: int) -> Iterator[pa.RecordBatch]:
+    """Members of lists with their vectors to verified links: (node, other, links).
+
+    A row with other null adds linked rows to a class; one with other links the two in the component.
     """
-    for table, at in whole_groups(batches, ["label", "dims", "p", "q", "bi", "bj"]):
-        ends = np.r_[at[1:], table.num_rows]
-        ids, size, block = (table[c].to_numpy() for c in ("rep", "size", "block"))
-        key = np.stack([table["p"].to_numpy(), table["q"].to_numpy()], 1)
-        blob = table["vector"].to_pylist()
-        near = padded(table["near"])
-        bi, bj = table["bi"].to_numpy(), table["bj"].to_numpy()
-        a_all, b_all = [], []
-
-        def keep(a: np.ndarray, b: np.ndarray, block=block, bi=bi, bj=bj, near=near, key=key, a_all=a_all, b_all=b_all) -> None:
-            ok = (bi[a] == bj[a]) | (block[a] != block[b])
-            for c in range(0, len(a), 100_000):
-                lo, hi = a[c : c + 100_000][ok[c : c + 100_000]], b[c : c + 100_000][ok[c : c + 100_000]]
-                first, second = key[lo, 0], key[lo, 1]
-                both = (near[lo][:, :, None] == near[hi][:, None, :]).any(2) & (near[lo] >= 0)
-                # of the pivots both have, only the list's first is smaller than its second
-                own = ((both & (near[lo] < second[:, None])).sum(1) == 1) | (first == second)
-                a_all.append(lo[own])
-                b_all.append(hi[own])
-
-        small = [(s, e) for s, e in zip(at, ends, strict=True) if e - s <= 48]
-        dims = table["dims"].to_numpy()
-        for d in np.unique(dims[at]):
-            groups = [(s, e) for s, e in small if dims[s] == d and e - s > 1]
-            if groups:
-                rows = np.concatenate([np.arange(s, e) for s, e in groups])
-                x = unit_rows(pa.array([blob[i] for i in rows]), int(d))
-                left, right = pair_lists(np.array([e - s for s, e in groups]))
-                for c in range(0, len(left), 200_000):
-                    lo, hi = left[c : c + 200_000], right[c : c + 200_000]
-                    ok = np.einsum("ij,ij->i", x[lo], x[hi]) >= threshold
-                    keep(rows[lo[ok]], rows[hi[ok]])
-        for s, e in zip(at, ends, strict=True):
-            if e - s > 48:
-                x = unit_rows(pa.array(blob[s:e]), int(dims[s]))
-                for c in range(0, e - s, 500):
-                    i, j = np.nonzero(x[c : c + 500] @ x.T >= threshold)
-                    i += c
-                    keep(s + i[i < j], s + j[i < j])
-        a, b = np.concatenate(a_all or [np.empty(0, int)]), np.concatenate(b_all or [np.empty(0, int)])
+    for table, at in whole_groups(batches, LIST, rows=BLOCK_ROWS):
+        near = lists_of(table["near"])
+        ids, size, block, dims, pivot, bi, bj = (table[c].to_numpy() for c in ("cid", "size", "block", "dims", "pivot", "bi", "bj"))
+        blob, left, right = table["vector"], [], []
+        for s, e in zip(at, np.r_[at[1:], table.num_rows], strict=True):
+            x = unit_rows(blob.slice(s, e - s), int(dims[s]))
+            ok = candidates(near[s:e], int(pivot[s]), nearest, shared, apart) & (x @ x.T >= threshold)
+            if bi[s] != bj[s]:
+                ok &= block[s:e, None] != block[None, s:e]
+            a, b = np.nonzero(np.triu(ok))
+            left.append(s + a)
+            right.append(s + b)
+        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
         links = np.bincount(a, size[b], len(ids)) + np.bincount(b, size[a], len(ids))
         linked = np.flatnonzero(links)
         # within one call the links' components are joined, so what leaves is a forest, not the pairs
@@ -141,61 +172,66 @@ def verify_lists(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
         )
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, pivots: int = PIVOTS, nearest: int = NEAREST) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, nearest: int = NEAREST, shared: int = SHARED, apart: int = APART_RANKS) -> DataFrame:
     """One row per row of embeddings (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and their cosine, in doubles, is at least threshold. Equal vectors of a
-    label are one class, linked among themselves and looked up once. The index describes each class by its nearest
-    pivots and enters it in the inverted list of every two of them, so a list's members share two pivots at least;
-    lists of more than BLOCK_ROWS members are verified in pairs of blocks. Pivots come from the SAMPLE_ROWS classes
-    whose identifiers hash lowest; every class is indexed. No pair below the threshold links; pairs that share fewer
-    than two of their nearest pivots are missed (recall is measured in the tests).
+    label are one class, linked among themselves and looked up once, whatever their identifiers. A class enters the
+    inverted list of each of its nearest pivots; lists of more than BLOCK_ROWS members are compared in pairs of blocks.
+    No pair below the threshold links; pairs that share fewer than ``shared`` of their nearest pivots, or whose ranks
+    differ by more than ``apart`` in all, are missed (recall is measured in the tests).
+
+    The number of pivots follows the root of the number of classes, up to MOST; they come from the classes whose names
+    hash lowest, SAMPLE for each pivot, and every class is indexed.
+
     Null, zero or non-finite vectors, null labels and null identifiers link with nothing: n_links 0, kept. Rows that
-    repeat a vec_id are vectors of their own that share the identifier.
+    repeat a vec_id are vectors of their own that share the identifier. An empty table gives no row.
     """
     vectors = materialize(clean_vectors(embeddings), "vectors")
     key = ["label", "dims", "h1", "h2"]
-    classes = materialize(vectors.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vector").alias("vector")), "classes")
-    sample = classes.orderBy(F.xxhash64("rep"), "rep", "label").limit(SAMPLE_ROWS).select("dims", "vector").collect()
-    by_dims = {d: choose_pivots(unit_rows(pa.array([bytes(r.vector) for r in sample if r.dims == d]), d), pivots) for d in {r.dims for r in sample}}
-    shared = embeddings.sparkSession.sparkContext.broadcast(by_dims)
+    classes = vectors.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vector").alias("vector"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    count = min(MOST, max(FEWEST, math.ceil(PER_ROOT * math.sqrt(classes.count()))))
+    sample = classes.orderBy(F.xxhash64("h1", "h2"), "h1", "h2", "label").limit(SAMPLE * count).select("dims", "vector").collect()
+    by_dims = {d: choose_pivots(unit_rows(pa.array([bytes(r.vector) for r in sample if r.dims == d]), d), count) for d in {r.dims for r in sample}}
+    held = embeddings.sparkSession.sparkContext.broadcast(by_dims)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            dims = table["dims"].to_numpy()
+            dims = batch["dims"].to_numpy()
             near: list[list[int]] = [[]] * len(dims)
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
-                if (p := shared.value.get(int(d))) is None:
+                if (p := held.value.get(int(d))) is None:
                     found = np.zeros((len(rows), 1), np.int32)  # no vector of this length in the sample: one list
                 else:
-                    found = nearest_pivots(unit_rows(table["vector"].take(pa.array(rows)), int(d)), p, nearest)
+                    found = nearest_pivots(unit_rows(batch["vector"].take(pa.array(rows)), int(d)), p, nearest)
                 for i, f in zip(rows, found.tolist(), strict=True):
                     near[i] = f
-            yield pa.RecordBatch.from_arrays([table[c].combine_chunks() for c in ("label", "dims", "rep", "size", "vector")] + [pa.array(near, pa.list_(pa.int32()))], ["label", "dims", "rep", "size", "vector", "near"])
-
-    described = materialize(classes.select("label", "dims", "rep", "size", "vector").mapInArrow(trimmed(describe), "label long, dims int, rep long, size long, vector binary, near array<int>"), "described")
-    ordered = F.array_sort("near")
-    both = F.flatten(F.transform(ordered, lambda p: F.transform(F.filter(ordered, lambda q: q > p), lambda q: F.struct(p.alias("p"), q.alias("q")))))
-    alone = F.transform(ordered, lambda p: F.struct(p.alias("p"), p.alias("q")))
-    entries = described.select("label", "dims", "rep", F.explode(F.when(F.size("near") > 1, both).otherwise(alone)).alias("k")).select("label", "dims", "rep", "k.p", "k.q")
-    lists = ["label", "dims", "p", "q"]
+            yield pa.RecordBatch.from_arrays([batch[c] for c in ("label", "dims", "cid")] + [pa.array(near, pa.list_(pa.int32()))], ["label", "dims", "cid", "near"])
+
+    described = materialize(classes.select("label", "dims", "cid", "vector").mapInArrow(trimmed(describe), "label long, dims int, cid long, near array<int>"), "described")
+    entries = described.select("label", "dims", "cid", "near", F.explode("near").alias("pivot"))
+    lists = ["label", "dims", "pivot"]
     sizes = entries.groupBy(*lists).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).drop("n")
-    entries = entries.join(sizes, lists).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    entries = entries.join(sizes, lists).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # a member of a list of many blocks goes to each pair of blocks with its own
-    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*lists, "rep", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    rows = entries.join(described.select("label", "dims", "rep", "size", "vector", "near"), ["label", "dims", "rep"])
-    grouped = rows.repartition(*lists, "bi", "bj").sortWithinPartitions(*lists, "bi", "bj")
-    found = materialize(grouped.mapInArrow(trimmed(lambda b: verify_lists(b, threshold)), "node long, other long, links long"), "links")
+    entries = entries.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    entries = entries.select(*lists, "cid", "near", "block", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"))
+    dealt = entries.repartition(*LIST).sortWithinPartitions(*LIST)
+    kept = materialize(dealt.mapInArrow(trimmed(lambda b: pruned(b, nearest, shared, apart)), dealt.schema), "pruned")
+    rows = kept.join(classes.select("cid", "size", "vector"), "cid").repartition(*LIST).sortWithinPartitions(*LIST)
+    found = materialize(rows.mapInArrow(trimmed(lambda b: verify_lists(b, threshold, nearest, shared, apart)), FOUND), "links")
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
-    components = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    about = classes.select(*key, "rep", "size").join(links.withColumnRenamed("node", "rep"), "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    members = vectors.select("vec_id", *key).join(about, key)
-    linked = members.select("vec_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    joined = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    about = classes.select(*key, "cid", "rep", "size").join(links.withColumnRenamed("node", "cid"), "cid", "left").join(joined.withColumnRenamed("node", "cid"), "cid", "left")
+    about = materialize(about.withColumn("component", F.coalesce("component", "cid")), "about")
+    about = about.join(about.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
+    about = about.select(*key, (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    linked = vectors.select("vec_id", *key).join(about, key).select("vec_id", "n_links", "component_id")
     # vectors that cannot link are those that clean_vectors left out
     rest = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     largest = F.array_max(F.transform("embedding", lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), float("inf")).otherwise(F.abs(v))))
     unfit = F.col("vec_id").isNull() | F.col("label").isNull() | F.coalesce(largest, F.lit(0.0)).isin(0.0, float("inf"))
-    apart = rest.where(unfit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(apart).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    alone = rest.where(unfit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
