@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import quality as Q
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 CHAT = r"""WITH t AS (
@@ -51,3 +53,76 @@ b AS (SELECT *, lag(c1) OVER o AS b2, lag(c2) OVER o AS b3 FROM c WINDOW o AS (P
 s AS (SELECT doc_id, sum(CASE WHEN p2 IS NOT NULL AND c3 > 0 THEN ln(c3 / b3) WHEN p1 IS NOT NULL AND c2 > 0 THEN ln(c2 / b2) + ln(0.4)
   WHEN c1 > 0 THEN ln(c1 / others) + 2 * ln(0.4) ELSE ln(1 / (others + 1)) + 2 * ln(0.4) END) AS total FROM b GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(total, 0), 6) AS log_score, round(total / nullif(len(ws), 0), 6) AS mean_log_score FROM d LEFT JOIN s USING (doc_id)"""
+
+
+def _cholesky(p: int, columns: str, rows: str) -> str:
+    """rows (columns and c_i_j) with p_i_j, the inverse of c_i_j, and logdet. A query for each column of the factor, as
+    DuckDB writes an alias that is used in its own select list out in full."""
+    query = rows
+    for j in range(p):
+        diagonal = " - ".join([f"c_{j}_{j}", *[f"l_{j}_{k} * l_{j}_{k}" for k in range(j)]])
+        query = f"SELECT *, sqrt(greatest({diagonal}, 1e-12)) AS l_{j}_{j} FROM ({query})"
+        lower = [f"({' - '.join([f'c_{i}_{j}', *[f'l_{i}_{k} * l_{j}_{k}' for k in range(j)]])}) / l_{j}_{j} AS l_{i}_{j}" for i in range(j + 1, p)]
+        query = f"SELECT *, {', '.join(lower)} FROM ({query})" if lower else query
+    for i in range(p):
+        row = [f"({' - '.join([str(float(i == j)), *[f'l_{i}_{k} * v_{k}_{j}' for k in range(j, i)]])}) / l_{i}_{i} AS v_{i}_{j}" for j in range(i + 1)]
+        query = f"SELECT *, {', '.join(row)} FROM ({query})"
+    inverse = [f"{' + '.join(f'v_{k}_{i} * v_{k}_{j}' for k in range(i, p))} AS p_{i}_{j}" for i in range(p) for j in range(i + 1)]
+    return f"SELECT {columns}, {', '.join(inverse)}, 2 * ({' + '.join(f'ln(l_{i}_{i})' for i in range(p))}) AS logdet FROM ({query})"
+
+
+def quality_sql() -> str:
+    """The statistics, and the estimates with all their steps written out."""
+    p, floors = len(Q.FEATURES), [f for _, f in Q.FEATURES]
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    key, each = "level, lang, source", lambda f: ", ".join(f(i) for i in range(p))
+    both = lambda f: ", ".join(f(i, j) for i, j in pairs)
+    names = f"{each(lambda i: f'm{i}')}, {both(lambda i, j: f'c_{i}_{j}')}"
+    model = f"{names}, {both(lambda i, j: f'p_{i}_{j}')}, logdet"
+    bin_of = lambda x: f"CAST(floor(ln({x} + {Q.FLOOR}) * {Q.BINS}) AS BIGINT)"
+
+    def quantile(rows: str, by: str, value: str, share: float) -> str:
+        counts = f"SELECT {by}, {bin_of(value)} AS b, count(*) AS n FROM {rows} GROUP BY ALL"
+        upto = f"SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM ({counts})"
+        return f"SELECT {by}, exp((min(b) + 1) / {Q.BINS}.0) - {Q.FLOOR} AS q FROM ({upto}) WHERE upto >= ceil(total * {share}) GROUP BY ALL"
+
+    distance = lambda x, m: " + ".join(f"{1 if i == j else 2} * p_{i}_{j} * ({x}{i} - {m}{i}) * ({x}{j} - {m}{j})" for i, j in pairs)
+    corr = lambda k, i, j: f"CASE WHEN r{k}_{i}_{i} * r{k}_{j}_{j} > 0 THEN 0.9 * r{k}_{i}_{j} / sqrt(r{k}_{i}_{i} * r{k}_{j}_{j}) ELSE 0 END" if i != j else "1.0"
+    factor = Q.SUBSET / Q.gamma_p(p / 2 + 1, Q.chi_square_quantile(Q.SUBSET, p) / 2)
+    parts = [
+        "d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents)",
+        rf"b AS (SELECT *, regexp_extract_all(text, '{WORD}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d)",
+        "h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 7], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 6, 1))) AS i FROM b))",
+        "r AS (SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY doc_id, h) > 1)",
+        "k AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(8) t(k) GROUP BY doc_id)",
+        r"""s AS MATERIALIZED (SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, greatest(n_words, 1) AS w, ln(1 + n_words) AS x0, ln(1 + word_chars / w) AS x1, sqrt(n_symbols / w) AS x2,
+  sqrt(n_dup_lines / greatest(n_lines, 1)) AS x3, sqrt(n_repeat_words / w) AS x4 FROM b LEFT JOIN k USING (doc_id))""",
+        f"v AS MATERIALIZED (SELECT level, CASE WHEN level < 2 THEN lang ELSE '' END AS lang, CASE WHEN level < 1 THEN source ELSE '' END AS source, {each(lambda i: f'x{i}')} FROM s, range(3) t(level) WHERE NOT base_failed)",
+        f"x AS ({' UNION ALL '.join(f'SELECT {key}, {i} AS j, x{i} AS x FROM v' for i in range(p))})",
+        f"q AS MATERIALIZED ({quantile('x', f'{key}, j', 'x', 0.5)})",
+        f"g AS MATERIALIZED ({quantile(f'(SELECT {key}, j, abs(x - q) AS x FROM x JOIN q USING ({key}, j))', f'{key}, j', 'x', 0.5)})",
+        f"c AS MATERIALIZED (SELECT {key}, {each(lambda i: f'max(q.q) FILTER (j = {i}) AS m{i}')}, {each(lambda i: f'max(greatest(g.q * 1.4826, {floors[i]})) FILTER (j = {i}) AS s{i}')} FROM q JOIN g USING ({key}, j) GROUP BY ALL)",
+        f"z AS (SELECT {key}, {each(lambda i: f'(x{i} - m{i}) / s{i} AS z{i}')}, greatest(sqrt({' + '.join(f'z{i} * z{i}' for i in range(p))}), {Q.FLOOR}) AS len FROM v JOIN c USING ({key}))",
+        f"t AS (SELECT {key}, {both(lambda i, j: f'avg(z{i} / len * z{j} / len) AS r1_{i}_{j}, avg(tanh(z{i}) * tanh(z{j})) AS r2_{i}_{j}')} FROM z GROUP BY ALL)",
+        f"a AS (SELECT {key}, st, {each(lambda i: f'm{i}')}, {both(lambda i, j: f'(CASE st WHEN 0 THEN {float(i == j)} WHEN 1 THEN {corr(1, i, j)} ELSE {corr(2, i, j)} END) * s{i} * s{j} AS c_{i}_{j}')} FROM c JOIN t USING ({key}), range(3) u(st))",
+        f"m0 AS MATERIALIZED ({_cholesky(p, f'{key}, st, 0 AS n, {names}', 'SELECT * FROM a')})",
+    ]
+    for t in range(Q.STEPS):
+        parts += [
+            f"d{t} AS (SELECT {key}, st, {bin_of(f'({distance(chr(120), chr(109))})')} AS b, {each(lambda i: f'x{i} - m{i} AS g{i}')} FROM v JOIN m{t} USING ({key}))",
+            f"b{t} AS MATERIALIZED (SELECT {key}, st, b, count(*) AS n, {each(lambda i: f'sum(g{i}) AS a{i}')}, {both(lambda i, j: f'sum(g{i} * g{j}) AS s_{i}_{j}')} FROM d{t} GROUP BY ALL)",
+            f"r{t} AS (SELECT {key}, st, min(b) AS last, max(total) AS total FROM (SELECT *, sum(n) OVER (PARTITION BY {key}, st ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {key}, st) AS total FROM b{t}) WHERE upto >= ceil(total * {Q.SUBSET}) GROUP BY ALL)",
+            f"n{t} AS (SELECT {key}, st, max(total) AS n, {each(lambda i: f'sum(a{i}) / sum(n) AS e{i}')}, {both(lambda i, j: f'sum(s_{i}_{j}) / sum(n) AS f_{i}_{j}')} FROM b{t} JOIN r{t} USING ({key}, st) WHERE b <= last GROUP BY ALL)",
+            f"o{t} AS (SELECT {key}, st, n{t}.n AS n, {each(lambda i: f'm{i} + e{i} AS m{i}')}, {both(lambda i, j: f'{factor} * (f_{i}_{j} - e{i} * e{j}) + {floors[i] ** 2 if i == j else 0.0} AS c_{i}_{j}')} FROM n{t} JOIN m{t} USING ({key}, st))",
+            f"m{t + 1} AS MATERIALIZED ({_cholesky(p, f'{key}, st, n, {names}', f'SELECT * FROM o{t}')})",
+        ]
+    mix = lambda c: f"(coalesce(g.n, 0) * coalesce(g.{c}, 0) + {Q.HALF_WEIGHT} * ((coalesce(l.n, 0) * coalesce(l.{c}, 0) + {Q.HALF_WEIGHT} * e.{c}) / (coalesce(l.n, 0) + {Q.HALF_WEIGHT}))) / (coalesce(g.n, 0) + {Q.HALF_WEIGHT}) AS {c}"
+    parts += [
+        f"best AS MATERIALIZED (SELECT {key}, n, {model} FROM m{Q.STEPS} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY round(logdet, 6), st) = 1)",
+        f"y AS (SELECT u.lang, u.source, {each(lambda i: mix(f'm{i}'))}, {both(lambda i, j: mix(f'c_{i}_{j}'))} FROM (SELECT DISTINCT lang, source FROM s) u LEFT JOIN best g ON g.level = 0 AND g.lang = u.lang AND g.source = u.source LEFT JOIN best l ON l.level = 1 AND l.lang = u.lang LEFT JOIN best e ON e.level = 2)",
+        f"j AS MATERIALIZED ({_cholesky(p, 'lang, source, ' + each(lambda i: f'm{i}'), 'SELECT * FROM y')})",
+    ]
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({distance("x", "m")} > {Q.CUT}, false) AS kept FROM s LEFT JOIN j USING (lang, source)"""

@@ -1,8 +1,11 @@
 r"""Quality rules: text statistics, and robust multivariate outliers by minimum-covariance-determinant estimates.
 
 DataFrame functions only. A document's statistics are computed in its own row, without a shuffle. The estimates are
-made for each language and source by concentration steps over all documents; quantiles come from counts in fine bins,
-so a group of any size is summed before it is shuffled and no group meets in one task.
+made for each language and source, each language and all documents: from three deterministic starts, concentration
+steps go on until no determinant changes, and the start with the least determinant wins. Quantiles and the moments of
+the nearest documents come from sums in fine bins, so a group of any size is summed before it is shuffled, and what
+meets in one task is bounded by the bins. A group's estimate is shrunk towards its language's, and that one towards all
+documents', the more the fewer documents it has.
 """
 
 from __future__ import annotations
@@ -10,10 +13,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Words are runs of characters other than blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD, BLANK, SYMBOL = r"[^ \t-\r]+", r"[ \t-\r]", r"[#*$%&|<>]"
@@ -23,11 +26,11 @@ WINDOW_WORDS = 8
 #: words is far; public filters commonly set the bound at one to ten.
 FEATURES = (("log_words", 0.5), ("log_word_chars", 0.08), ("symbol_share", 0.05), ("dup_line_share", 0.1), ("repeat_share", 0.12))
 GROUP = ("lang", "source")
-#: Share of a group that the estimates are made from, concentration steps, least documents of a group that is judged by
-#: its own estimates; a smaller one is judged by those of its language or, if that is small too, of all documents.
-SUBSET, STEPS, LEAST_ROWS = 0.75, 3, 50
-#: Bins of a quantile: so many to each doubling.
-BINS = 64
+#: Share of a group that the estimates are made from, starts, most concentration steps, change of the logarithm of a
+#: determinant that counts as none, and the number of documents at which a group's own estimate weighs half.
+SUBSET, STARTS, STEPS, STILL, HALF_WEIGHT = 0.75, 3, 12, 1e-9, 50
+#: Bins of a quantile: so many to each factor of e, and what is added so that 0 has a bin.
+BINS, FLOOR = 92, 1e-6
 
 
 def gamma_p(a: float, x: float) -> float:
@@ -118,17 +121,32 @@ KEYS = [f"_{g}" for g in GROUP]
 LEVEL_KEYS = ["_level", *KEYS]
 
 
+def bin_of(value: str) -> Column:
+    """Bin of a value that is not negative."""
+    return F.floor(F.log(F.col(value) + FLOOR) * BINS)
+
+
+def first_bin(bins: Column, share: float) -> Column:
+    """Of sorted (bin, count) the first bin at which the share of all is reached."""
+    need = F.ceil(F.aggregate(bins, F.lit(0).cast("long"), lambda t, b: t + b["n"]) * share)
+    begin = F.struct(F.lit(0).cast("long").alias("t"), F.lit(None).cast("long").alias("b"))
+    step = lambda a, b: F.struct((a["t"] + b["n"]).alias("t"), F.coalesce(a["b"], F.when(a["t"] + b["n"] >= need, b["b"])).alias("b"))
+    return F.aggregate(bins, begin, step, lambda a: a["b"])
+
+
 def quantile_by_bins(df: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
     """keys and q: the upper edge of the first bin at which the share of a group's rows is reached; value is not negative."""
-    floor = 2.0**-20
-    bins = df.withColumn("_bin", F.floor(F.log2(F.col(value) + floor) * BINS)).groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    totals = bins.withColumn("_at", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-    return totals.where(F.col("_at") >= F.ceil(F.col("_all") * share)).groupBy(*keys).agg((F.pow(F.lit(2.0), (F.min("_bin") + 1) / BINS) - floor).alias("q"))
+    counts = df.groupBy(*keys, bin_of(value).alias("b")).agg(F.count("*").alias("n"))
+    sorted_bins = F.sort_array(F.collect_list(F.struct("b", "n")))  # bounded by the number of bins
+    return counts.groupBy(*keys).agg(sorted_bins.alias("bins")).select(*keys, (F.exp((first_bin(F.col("bins"), share) + 1) / BINS) - FLOOR).alias("q"))
+
+
+def _pairs(p: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(p) for j in range(i + 1)]
 
 
 def precision(moments: DataFrame, p: int) -> DataFrame:
-    """From covariances c_i_j (i >= j) to their inverse p_i_j, by Cholesky factors in columns."""
+    """Adds the inverse p_i_j of covariances c_i_j (i >= j), by Cholesky factors, and logdet, the logarithm of their determinant."""
     df = moments
     for j in range(p):
         s = F.col(f"c_{j}_{j}")
@@ -150,13 +168,16 @@ def precision(moments: DataFrame, p: int) -> DataFrame:
                 s = s - F.col(f"l_{i}_{k}") * F.col(f"v_{k}_{j}")
             row[f"v_{i}_{j}"] = s / F.col(f"l_{i}_{i}")
         df = df.withColumns(row)
-    return df.withColumns({f"p_{i}_{j}": sum((F.col(f"v_{k}_{i}") * F.col(f"v_{k}_{j}") for k in range(i + 1, p)), F.col(f"v_{i}_{i}") * F.col(f"v_{i}_{j}")) for i in range(p) for j in range(i + 1)})
+    inverse = {f"p_{i}_{j}": sum((F.col(f"v_{k}_{i}") * F.col(f"v_{k}_{j}") for k in range(i + 1, p)), F.col(f"v_{i}_{i}") * F.col(f"v_{i}_{j}")) for i, j in _pairs(p)}
+    logdet = sum((F.log(f"l_{i}_{i}") for i in range(1, p)), F.log("l_0_0")) * 2
+    made = df.withColumns(inverse | {"logdet": logdet})
+    return made.drop(*[f"{x}_{i}_{j}" for x in "lv" for i, j in _pairs(p)])
 
 
 def distance(p: int) -> Column:
     """Squared Mahalanobis distance of x0, x1, ... from m0, m1, ..."""
     gap = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(p)]
-    return sum(((1 if i == j else 2) * F.col(f"p_{i}_{j}") * gap[i] * gap[j] for i in range(p) for j in range(i + 1)), F.lit(0.0))
+    return sum(((1 if i == j else 2) * F.col(f"p_{i}_{j}") * gap[i] * gap[j] for i, j in _pairs(p)), F.lit(0.0))
 
 
 def leveled(vectors: DataFrame) -> DataFrame:
@@ -167,57 +188,94 @@ def leveled(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("_k", F.explode(keys)).select("_k.*", *[f"x{i}" for i in range(len(FEATURES))])
 
 
-def fit(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Centre and precision of each group of vectors (lang, source, x0, ...), each language and all: a row each, written.
-
-    Starts from medians and median absolute deviations; each concentration step takes the SUBSET of the group with
-    the least distances and makes the centre and covariance anew from it, made consistent for a normal group.
-    """
-    p = len(FEATURES)
-    floors = [f for _, f in FEATURES]
-    df = leveled(vectors)
-    # medians: one long table of (group, coordinate, value); all coordinates are at least 0
+def starts(df: DataFrame) -> DataFrame:
+    """A centre and a covariance of each group and start: medians, and median absolute deviations with no correlation,
+    with that of the directions from the centre, and with that of the deviations' hyperbolic tangents."""
+    p, floors = len(FEATURES), [f for _, f in FEATURES]
     long = df.select(*LEVEL_KEYS, F.posexplode(F.array(*[f"x{i}" for i in range(p)])).alias("_j", "_x"))
     medians = materialize(quantile_by_bins(long, [*LEVEL_KEYS, "_j"], "_x", 0.5), "medians")
     spread = long.join(medians, [*LEVEL_KEYS, "_j"]).withColumn("_gap", F.abs(F.col("_x") - F.col("q")))
     mads = quantile_by_bins(spread, [*LEVEL_KEYS, "_j"], "_gap", 0.5).withColumnRenamed("q", "mad")
-    both = medians.join(mads, [*LEVEL_KEYS, "_j"]).groupBy(*LEVEL_KEYS)
-    start = both.agg(
-        *[F.max(F.when(F.col("_j") == i, F.col("q"))).alias(f"m{i}") for i in range(p)],
-        *[F.max(F.when(F.col("_j") == i, 1 / F.pow(F.greatest(F.col("mad") * 1.4826, F.lit(floors[i])), F.lit(2.0)))).alias(f"p_{i}_{i}") for i in range(p)],
+    of = lambda j, c: F.max(F.when(F.col("_j") == j, c))
+    centre = medians.join(mads, [*LEVEL_KEYS, "_j"]).groupBy(*LEVEL_KEYS).agg(
+        *[of(i, F.col("q")).alias(f"m{i}") for i in range(p)],
+        *[of(i, F.greatest(F.col("mad") * 1.4826, F.lit(floors[i]))).alias(f"s{i}") for i in range(p)],
+    )
+    centre = materialize(centre, "centres")
+    z = df.join(centre, LEVEL_KEYS).withColumns({f"z{i}": (F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(p)})
+    z = z.withColumn("len", F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, p)), F.col("z0") * F.col("z0"))), F.lit(FLOOR)))
+    sums = z.groupBy(*LEVEL_KEYS).agg(
+        *[F.avg(F.col(f"z{i}") / F.col("len") * F.col(f"z{j}") / F.col("len")).alias(f"r1_{i}_{j}") for i, j in _pairs(p)],
+        *[F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"r2_{i}_{j}") for i, j in _pairs(p)],
     )
-    model = materialize(start.withColumns({f"p_{i}_{j}": F.lit(0.0) for i in range(p) for j in range(i)}), "model")
+
+    def correlation(k: int, i: int, j: int) -> Column:
+        if i == j or not k:
+            return F.lit(float(i == j))
+        both = F.col(f"r{k}_{i}_{i}") * F.col(f"r{k}_{j}_{j}")
+        return F.when(both > 0, 0.9 * F.col(f"r{k}_{i}_{j}") / F.sqrt(both)).otherwise(0.0)
+
+    each = F.array(*[F.struct(F.lit(k).alias("_start"), *[(correlation(k, i, j) * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c_{i}_{j}") for i, j in _pairs(p)]) for k in range(STARTS)])
+    return centre.join(sums, LEVEL_KEYS).withColumn("_s", F.explode(each)).select(*LEVEL_KEYS, "_s._start", *[f"m{i}" for i in range(p)], *[f"_s.c_{i}_{j}" for i, j in _pairs(p)])
+
+
+def fit(vectors: DataFrame, most: int = STEPS) -> DataFrame:
+    """Of each group of vectors (lang, source, x0, ...), each language and all documents: n, centre m_i, covariance c_i_j.
+
+    A concentration step takes the SUBSET of the group with the least distances and makes the centre and covariance anew
+    from it, made consistent for a normal group and with the least deviations added. One pass over the vectors gives a
+    step of all groups and starts: rows are summed in bins of their distance, and the bins up to the subset's are added.
+    """
+    p, floors = len(FEATURES), [f for _, f in FEATURES]
+    keys, centre, spread = [*LEVEL_KEYS, "_start"], [f"m{i}" for i in range(p)], [f"{x}_{i}_{j}" for x in "cp" for i, j in _pairs(p)]
+    df = leveled(vectors)
+    first = precision(starts(df), p).withColumns({"n": F.lit(0).cast("long"), "moved": F.lit(math.inf)})
+    model = materialize(first.select(*keys, "n", *centre, *spread, "logdet", "moved"), "model")
     factor = SUBSET / gamma_p(p / 2 + 1, chi_square_quantile(SUBSET, p) / 2)
-    for _ in range(steps):
+    for _ in range(most):
         placed = df.join(model, LEVEL_KEYS).withColumn("_d", distance(p))
-        radius = materialize(quantile_by_bins(placed, LEVEL_KEYS, "_d", SUBSET), "radius")
-        near = placed.join(radius, LEVEL_KEYS).where(F.col("_d") <= F.col("q"))
         # moments about the last centre, so that no digits cancel
-        gaps = {f"g{i}": F.col(f"x{i}") - F.col(f"m{i}") for i in range(p)}
-        sums = near.withColumns(gaps).groupBy(*LEVEL_KEYS).agg(
-            F.count("*").alias("n"),
-            *[F.max(f"m{i}").alias(f"o{i}") for i in range(p)],
-            *[F.avg(f"g{i}").alias(f"a{i}") for i in range(p)],
-            *[F.avg(F.col(f"g{i}") * F.col(f"g{j}")).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)],
-        )
-        spreads = {f"c_{i}_{j}": factor * (F.col(f"s_{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}")) + F.lit(floors[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
-        moments = sums.withColumns(spreads).withColumns({f"m{i}": F.col(f"o{i}") + F.col(f"a{i}") for i in range(p)})
-        model = materialize(precision(moments, p).select(*LEVEL_KEYS, "n", *[f"m{i}" for i in range(p)], *[f"p_{i}_{j}" for i in range(p) for j in range(i + 1)]), "model")
-    return model
+        placed = placed.withColumns({f"g{i}": F.col(f"x{i}") - F.col(f"m{i}") for i in range(p)})
+        products = [F.sum(F.col(f"g{i}") * F.col(f"g{j}")).alias(f"s_{i}_{j}") for i, j in _pairs(p)]
+        bins = materialize(placed.groupBy(*keys, bin_of("_d").alias("b")).agg(F.count("*").alias("n"), *[F.sum(f"g{i}").alias(f"a{i}") for i in range(p)], *products), "bins")
+        held = bins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("bins"), F.sum("n").alias("n"))
+        radius = held.select(*keys, F.col("n").alias("rows"), first_bin(F.col("bins"), SUBSET).alias("last"))
+        near = bins.join(radius, keys).where(F.col("b") <= F.col("last"))
+        sums = near.groupBy(*keys).agg(F.max("rows").alias("rows"), *[(F.sum(f"a{i}") / F.sum("n")).alias(f"a{i}") for i in range(p)], *[(F.sum(f"s_{i}_{j}") / F.sum("n")).alias(f"s_{i}_{j}") for i, j in _pairs(p)])
+        last = model.select(*keys, F.col("logdet").alias("was"), *[F.col(f"m{i}").alias(f"o{i}") for i in range(p)])
+        spreads = {f"c_{i}_{j}": factor * (F.col(f"s_{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}")) + F.lit(floors[i] ** 2 if i == j else 0.0) for i, j in _pairs(p)}
+        made = sums.join(last, keys).withColumns(spreads | {f"m{i}": F.col(f"o{i}") + F.col(f"a{i}") for i in range(p)})
+        made = precision(made, p).select(*keys, F.col("rows").alias("n"), *centre, *spread, "logdet", F.abs(F.col("logdet") - F.col("was")).alias("moved"))
+        before, model = model, materialize(made, "model")
+        discard(bins)
+        discard(before)
+        if (model.agg(F.max("moved")).first()[0] or 0.0) <= STILL:
+            break
+    values = F.struct("n", *centre, *[f"c_{i}_{j}" for i, j in _pairs(p)])
+    return materialize(model.groupBy(*LEVEL_KEYS).agg(F.min_by(values, F.struct(F.round("logdet", 6), "_start")).alias("v")).select(*LEVEL_KEYS, "v.*"), "fit")
 
 
 def chosen(stats: DataFrame, model: DataFrame) -> DataFrame:
-    """Centre and precision that judge each group of stats, written: its own estimates if they are of LEAST_ROWS documents
-    or more, else those of its language, if these are, else those of all documents, however few."""
+    """Centre and precision that judge each group of stats, written.
+
+    A group's own estimate has the weight n / (n + HALF_WEIGHT), the rest goes to its language's, which is mixed in the
+    same way with that of all documents. So a group of any size is judged, and no size switches the estimate.
+    """
     p = len(FEATURES)
-    values = F.struct(*[f"m{i}" for i in range(p)], *[f"p_{i}_{j}" for i in range(p) for j in range(i + 1)])
-    enough = F.col("n") >= SUBSET * LEAST_ROWS
-    own = model.where((F.col("_level") == 0) & enough).select(*KEYS, values.alias("_own"))
-    lang = model.where((F.col("_level") == 1) & enough).select("_lang", values.alias("_of_lang"))
-    every = model.where("_level = 2").select("_level", values.alias("_of_all"))
+    names = [*[f"m{i}" for i in range(p)], *[f"c_{i}_{j}" for i, j in _pairs(p)]]
+
+    def level(i: int, prefix: str, *keys: str) -> DataFrame:
+        return model.where(F.col("_level") == i).select(*keys, *[F.col(c).alias(f"{prefix}{c}") for c in ("n", *names)])
+
     groups = stats.select(*[_group(g) for g in GROUP]).distinct().withColumn("_level", F.lit(2))
-    found = groups.join(own, KEYS, "left").join(lang, "_lang", "left").join(every, "_level", "left")
-    return materialize(found.withColumn("_model", F.coalesce("_own", "_of_lang", "_of_all")).select(*KEYS, "_model.*"), "chosen")
+    found = groups.join(level(0, "g_", *KEYS), KEYS, "left").join(level(1, "l_", "_lang"), "_lang", "left").join(level(2, "a_", "_level"), "_level", "left")
+
+    def mixed(prefix: str, c: str, rest: Column) -> Column:
+        n = F.coalesce(F.col(f"{prefix}n"), F.lit(0)).cast("double")
+        return (n * F.coalesce(F.col(f"{prefix}{c}"), F.lit(0.0)) + HALF_WEIGHT * rest) / (n + HALF_WEIGHT)
+
+    shrunk = found.select(*KEYS, *[mixed("g_", c, mixed("l_", c, F.col(f"a_{c}"))).alias(c) for c in names])
+    return materialize(precision(shrunk, p).select(*KEYS, *names[:p], *[f"p_{i}_{j}" for i, j in _pairs(p)]), "chosen")
 
 
 def judged(stats: DataFrame, model: DataFrame) -> DataFrame:
@@ -232,8 +290,8 @@ def quality(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang, source) to doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     One row per row of docs, repeated identifiers included. Documents that fail a base rule take no part in the
-    estimates. Null languages and sources count as empty ones. Every document is judged: one of a group below LEAST_ROWS
-    by the estimates of its language or of all documents, and distance is from these. An empty table gives no row.
+    estimates. Null languages and sources count as empty ones. Every document is judged, whatever the size of its group.
+    An empty table gives no row.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     stats = materialize(with_statistics(docs.select("doc_id", "text", *GROUP)).select("doc_id", *GROUP, *names), "statistics")
@@ -245,7 +303,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality() keeps, with the columns of docs.
 
     Each row goes or stays by its own verdict, whatever its doc_id, null or repeated ones included. Rows are written once
-    with their statistics, so that texts are read once and no identifier is joined.
+    with their statistics, so that texts are read once and no identifier is joined. An empty table gives no row.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", *GROUP)
