@@ -158,7 +158,7 @@ def canonical_records(df: DataFrame, record: str = "record", layouts: Sequence[L
 def canonical_turns(df: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """(conv_id, turns) of a table in any known layout; turns is an array of (role, text).
 
-    Null texts and roles are empty. Rows by turn are ordered by turn, then role and text, so that ties and repeated
+    Null texts and roles are empty; a null list has no turns, and a null element of one is none. Rows by turn are ordered by turn, then role and text, so that ties and repeated
     rows have one result; null turns come first; null identifiers make one conversation. Roles of other layouts take
     their canonical names. A conversation's rows meet in one task, as its text is one value of the result.
     """
@@ -180,7 +180,7 @@ def canonical_turns(df: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataF
         return df.groupBy(key).agg(F.transform(sorted_rows, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     if layout.items:
         items = F.coalesce(F.col(layout.items), F.array().cast(df.schema[layout.items].dataType))
-        return df.select(key, F.transform(items, lambda t: F.struct(named(t[layout.role]).alias("role"), clean(t[layout.text]).alias("text"))).alias("turns"))
+        return df.select(key, F.transform(F.filter(items, lambda t: t.isNotNull()), lambda t: F.struct(named(t[layout.role]).alias("role"), clean(t[layout.text]).alias("text"))).alias("turns"))
     made = [
         F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[clean(F.col(c)) for c in columns]), lambda x: x != ""), "\n\n").alias("text"))
         for role, columns in layout.fields
@@ -230,22 +230,30 @@ FORMATTED = "conv_id long, formatted string, loss array<struct<start:int,end:int
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns) to (conv_id, formatted, loss): the template's text and the mask's spans of code points."""
+    """(conv_id, turns) to (conv_id, formatted, loss): the template's text and the mask's spans of code points.
+
+    Null turns, as canonical_records gives for a record of no known layout, have no text and no mask: both are null. No
+    turns give an empty text. Null roles and texts are empty, null elements are left out. One row per row of turns, rows
+    that repeat an identifier included; an empty table gives no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                made = [format_turns([(t["role"], t["text"]) for t in x]) for x in some.column(1).to_pylist()]
-                loss = [[{"start": a, "end": b} for a, b in spans] for _, spans in made]
+                made = [(None, None) if x is None else format_turns([(t["role"] or "", t["text"] or "") for t in x if t]) for x in some.column(1).to_pylist()]
+                loss = [None if spans is None else [{"start": a, "end": b} for a, b in spans] for _, spans in made]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([f for f, _ in made], pa.string()), pa.array(loss, span)], ["conv_id", "formatted", "loss"])
 
     return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turns").cast(TURNS)).mapInArrow(trimmed(run), FORMATTED)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss) to digests: turns and masked texts are read from the formatted text alone."""
+    """(conv_id, formatted, loss) to digests: turns and masked texts are read from the formatted text alone.
+
+    A null text has null digests and counts. One row per row; an empty table gives no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -254,8 +262,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
             out: list[list] = [[] for _ in names]
             for conv_id, text, loss in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 text = text.as_py()
+                if text is None:
+                    for column, value in zip(out, (conv_id.as_py(), *[None] * 5), strict=True):
+                        column.append(value)
+                    continue
                 turns = read_turns(text)
-                masked = "".join(unescape(text[s["start"] : s["end"]]) for s in loss.as_py())
+                masked = "".join(unescape(text[s["start"] : s["end"]]) for s in loss.as_py() or ())
                 whole = "".join(f"{role}\n{x}\n" for role, x in turns)
                 row = (conv_id.as_py(), len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(masked), hashlib.sha256(masked.encode()).hexdigest(), len(text))
                 for column, value in zip(out, row, strict=True):

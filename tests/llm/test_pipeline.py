@@ -26,3 +26,15 @@ def test_stages(spark):
     assert corpus_pipeline.STAGES[-1][0] == "packing"
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_stages_take_clashing_columns(spark):
+    """Extra columns, named like those that operators add, go through every stage with their values."""
+    names = ["grp", "n_words", "kept_words", "key", "labels", "cid", "kept", "x0", "_lang", "distance", "size", "th"]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = corpus_pipeline.materialize(stage(spark, at, DIR), name)
+        assert at.columns == docs.columns
+    rows = at.collect()
+    assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
