@@ -21,25 +21,37 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a base rule or the robust distance rejects go."""
+    """Documents that a base rule or the robust distance rejects go.
+
+    Each row by its own text, null and repeated identifiers included; null and empty texts fail the base rules and go.
+    Extra columns stay as they are, whatever their names; an empty table gives no row.
+    """
     bound_batches(spark)
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest identifier stays."""
+    """Of each group of near duplicates the document with the smallest identifier stays.
+
+    Rows that repeat an identifier stay or go together; rows without an identifier or without words stay. Extra columns
+    stay as they are; an empty table gives no row.
+    """
     bound_batches(spark)
     return keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that an earlier document has go; a text that loses nothing stays as it is."""
+    """Passages of 50 words and more that an earlier document has go; a text that loses nothing stays as it is.
+
+    All rows stay, with an empty text if all is lost; a null identifier neither removes nor loses words, rows that repeat
+    one don't remove from each other. n_chars is counted anew, other columns stay, whatever their names.
+    """
     bound_batches(spark)
     return without_repeats(docs, length=50)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of the packed sequences."""
+    """One row per piece of the packed sequences, of every row; a null or empty text is its end id alone."""
     bound_batches(spark)
     return digest_pieces(pack_documents(docs, public_tokenizers.path(VOCABULARY), length=1024, end_id=0))
 
