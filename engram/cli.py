@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from .config import Config
 from .engine import Change, MemoryEngine
+from .sources.registry import default_sources, ingest_all
 
 CHANGES = {"edit", "edit-payload", "update-vector", "reindex-source", "dedupe", "delete-id", "delete-source", "delete-text", "delete-fragment"}
 
@@ -15,7 +16,7 @@ CHANGES = {"edit", "edit-payload", "update-vector", "reindex-source", "dedupe",
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="engram")
     p.add_argument("--root", required=True)
-    p.add_argument("--collection", default="memory")
+    p.add_argument("--collection", help="else spark.engram.collection, ENGRAM_COLLECTION or COLLECTION_NAME")
     sub = p.add_subparsers(dest="command", required=True)
 
     def add(name: str, *arguments: tuple, **options) -> None:
@@ -29,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
 
     for name in ("setup", "stats", "sources", "find-dupes"):
         add(name)
+    ingest = [("source", {"nargs": "?"}), ("--replace", {"action": "store_true"}), ("--sequential", {"action": "store_true"})]
+    add("ingest", *ingest, *[(f"--{x}", {}) for x in ("docs", "changelog", "www-root", "proxy-dir", "unit-dir")])
     add("search", ("text",), ("limit", {"nargs": "?", "type": int}), ("--all", {"action": "store_true"}), ("--since",), ("--window", {"type": lambda s: float(s.rstrip("d"))}))
     add("store", ("text",), ("source", {"nargs": "?", "default": "manual"}))
     add("backup", ("path", {"nargs": "?"}))
@@ -47,22 +50,48 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _pairs(given: list[str], said: list[str]) -> dict[str, str]:
+    """key=value pairs; what is none is named and left out."""
+    for p in given:
+        if "=" not in p:
+            said.append(f"left out {p!r}: key=value is needed")
+    return dict(p.split("=", 1) for p in given if "=" in p)
+
+
+def _ingest(spark: SparkSession, e: MemoryEngine, a: argparse.Namespace) -> str:
+    """A line for each source. Sources are ingested one after the other, each a job of its own that holds no other's
+    rows; --sequential, by which other tools save memory, is accepted and changes nothing."""
+    said: list[str] = []
+    done = ingest_all(e, default_sources(spark, e.config), a.source, a.replace, said.append)
+    lines = [f"{name}: {n} facts" if isinstance(n, int) else f"{name}: failed: {n}" for name, n in done.items()]
+    ready = sum(isinstance(n, int) for n in done.values())
+    return "\n".join([*said, *lines, f"{ready} of {len(done)} sources ready"])
+
+
+def _hit(r) -> list[str]:
+    age = "-" if r.age_days is None else f"{r.age_days:.0f}d"
+    return [f"score={r.final_score:.3f} ({age}) ID={r.id}  src={r.source or '?'}", f"    text: {(r.text or '')[:120]}"]
+
+
 def run(spark: SparkSession, argv: list[str] | None = None) -> str:
     a = parser().parse_args(argv)
-    e = MemoryEngine(spark, a.root, Config(a.collection))
+    paths = {k: getattr(a, k, None) for k in ("docs", "changelog", "www_root", "proxy_dir", "unit_dir")}
+    e = MemoryEngine(spark, a.root, Config.from_settings(spark, collection=a.collection, **paths))
+    said: list[str] = []
     calls = {
         "setup": lambda: "made" if e.setup() else "exists",
-        "search": lambda: e.search(a.text, a.limit, not a.all, a.since, a.window),
+        "ingest": lambda: _ingest(spark, e, a),
+        "search": lambda: "\n".join(line for r in e.search(a.text, a.limit, not a.all, a.since, a.window).collect() for line in _hit(r)),
         "store": lambda: e.store(a.text, a.source),
         "backup": lambda: e.backup(a.path),
-        "show": lambda: e.show(a.id),
+        "show": lambda: "\n".join(f"{r.key}: {r.value}" for r in e.show(a.id).toLocalIterator()),
         "stats": e.stats,
         "sources": e.sources,
         "find-dupes": e.find_dupes,
         "list-source": lambda: e.list_source(a.source, a.limit),
         "find-by-file": lambda: e.find_by_file(a.path),
         "edit": lambda: e.edit(a.id, a.text),
-        "edit-payload": lambda: e.edit_payload(a.id, dict(p.split("=", 1) for p in a.pairs if "=" in p)),
+        "edit-payload": lambda: e.edit_payload(a.id, _pairs(a.pairs, said)),
         "update-vector": lambda: e.update_vector(a.id),
         "reindex-source": lambda: e.reindex_source(a.source),
         "dedupe": e.dedupe,
@@ -73,9 +102,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> str:
     }
     found = calls[a.command]()
     if isinstance(found, Change):
-        if a.yes and not a.dry_run:
-            return f"{found.commit()} points changed"
-        return f"{found.count()} points would change; --yes changes them"
+        told = f"{found.commit()} points changed" if a.yes and not a.dry_run else f"{found.count()} points would change; --yes changes them"
+        return "\n".join([*said, told])
     if isinstance(found, str):
         return found
     rows = found.drop("vector") if "vector" in found.columns else found

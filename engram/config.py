@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 
@@ -22,6 +24,10 @@ class Config:
     special_paths: dict[str, str] = field(default_factory=dict)
     path_map: dict[str, str] = field(default_factory=dict)
     www_root: str = "/var/www"
+    docs: str = "~/SERVER.md"
+    changelog: str = "CHANGELOG.md"
+    proxy_dir: str = "/etc/nginx/sites-enabled"
+    unit_dir: str = "/etc/systemd/system"
 
     def __post_init__(self):
         if not self.collection:
@@ -32,3 +38,17 @@ class Config:
     @property
     def dim(self) -> int:
         return self.base_dim + (8 if self.time_aware else 0)
+
+    @classmethod
+    def from_settings(cls, spark=None, environ: Mapping[str, str] | None = None, **given) -> Config:
+        """Settings given here, else spark.engram.<name> of the session, else ENGRAM_<NAME> of the environment, else
+        the defaults. COLLECTION_NAME names the collection too."""
+        environ = os.environ if environ is None else environ
+        found: dict[str, object] = {}
+        for name, kind in (("collection", str), ("base_dim", int), ("decay", float), ("limit", int), ("time_zone", str), ("fallback_date", str), ("www_root", str), ("docs", str), ("changelog", str), ("proxy_dir", str), ("unit_dir", str)):
+            value = (spark.conf.get(f"spark.engram.{name}", None) if spark is not None else None) or environ.get(f"ENGRAM_{name.upper()}")
+            if value is None and name == "collection":
+                value = environ.get("COLLECTION_NAME")
+            if value:
+                found[name] = kind(value)
+        return cls(**(found | {k: v for k, v in given.items() if v is not None}))

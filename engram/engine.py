@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions.embed import HashingEmbedder, Provider
-from .functions.scalars import content_ts, contains_text, point_id, resolve_path, time_features, with_time
+from .functions.scalars import content_ts, contains_text, normalize_id, point_id, resolve_path, time_features, with_time
 from .functions.scrub import scrub
 from .operators import audit
 from .operators import search as searching
@@ -43,7 +43,7 @@ class Change:
 
 class MemoryEngine:
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None, provider: Provider | None = None):
-        self.spark, self.config = spark, config or Config()
+        self.spark, self.config = spark, config or Config.from_settings(spark)
         spark.conf.set("spark.sql.session.timeZone", self.config.time_zone)
         self.store_ = Store(spark, root, self.config)
         self.provider = provider or HashingEmbedder(self.config.base_dim)
@@ -81,13 +81,13 @@ class MemoryEngine:
 
     def show(self, point_id: str) -> DataFrame:
         self._one(point_id)
-        return audit.show(self.points, point_id)
+        return audit.show(self.points, normalize_id(point_id))
 
     def backup(self, path: str | None = None) -> str:
         return self.store_.backup(self.points, "backup", path)
 
     def _one(self, point_id: str) -> DataFrame:
-        found = self.points.where(F.col("id") == point_id)
+        found = self.points.where(F.col("id") == normalize_id(point_id))
         if found.isEmpty():
             raise LookupError(f"no point {point_id}")
         return found
@@ -130,7 +130,7 @@ class MemoryEngine:
         self._one(point_id)
         new, now = scrub(F.lit(text), self.config.blacklist), self._now(now_ts)
         columns = {"text": new, "vector": self._vector(new, now)}
-        return self._replace(F.col("id") == point_id, columns | ({"ts_epoch": now} if self.config.time_aware else {}), "edit")
+        return self._replace(F.col("id") == normalize_id(point_id), columns | ({"ts_epoch": now} if self.config.time_aware else {}), "edit")
 
     def edit_payload(self, point_id: str, pairs: Mapping[str, str]) -> Change:
         """Sets keys of one point; its vector stays. Texts are scrubbed; a ts_epoch that is no number becomes null."""
@@ -139,17 +139,17 @@ class MemoryEngine:
         extra = {k.strip(): v.strip() for k, v in pairs.items() if k.strip() not in CORE_KEYS}
         for k, v in ((k.strip(), v.strip()) for k, v in pairs.items()):
             if k in CORE_KEYS:
-                columns[k] = F.expr("try_cast('" + v.replace("'", "") + "' AS bigint)") if k == "ts_epoch" else scrub(F.lit(v), self.config.blacklist) if k == "text" else F.lit(v)
+                columns[k] = F.lit(v).try_cast("bigint") if k == "ts_epoch" else scrub(F.lit(v), self.config.blacklist) if k == "text" else F.lit(v)
         if extra:
             new = F.create_map(*[x for k, v in extra.items() for x in (F.lit(k), F.lit(v))])
             old = F.map_filter(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(list(extra)))
             columns["extra"] = F.map_concat(old, new)
-        return self._replace(F.col("id") == point_id, columns, "edit-payload")
+        return self._replace(F.col("id") == normalize_id(point_id), columns, "edit-payload")
 
     def update_vector(self, point_id: str, time_mode: str = "now", now_ts: float | None = None) -> Change:
         self._one(point_id)
         ts = self._now(now_ts) if time_mode == "now" else F.coalesce("ts_epoch", self._now(now_ts))
-        return self._replace(F.col("id") == point_id, {"vector": self._vector(F.col("text"), ts)}, "update-vector")
+        return self._replace(F.col("id") == normalize_id(point_id), {"vector": self._vector(F.col("text"), ts)}, "update-vector")
 
     def reindex_source(self, source: str, preserve_ts: bool = False, now_ts: float | None = None) -> Change:
         """Embeds a source's texts again; a time-aware collection's points become fresh unless preserve_ts."""
@@ -161,7 +161,7 @@ class MemoryEngine:
         return Change(self.points.where(condition), lambda: self.points.where(~F.coalesce(condition, F.lit(False))), self.store_, name)
 
     def delete_ids(self, ids: list[str]) -> Change:
-        return self._delete(F.col("id").isin(ids), "delete-id")
+        return self._delete(F.col("id").isin([normalize_id(i) for i in ids]), "delete-id")
 
     def delete_source(self, source: str) -> Change:
         return self._delete(F.col("source") == source, "delete-source")

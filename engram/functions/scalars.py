@@ -21,6 +21,15 @@ def point_id(source: Column, text: Column) -> Column:
     return F.conv(head, 16, -10).cast("long").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
+def normalize_id(point_id: object) -> str:
+    """An identifier as points carry it: what reads as a whole number is that number, so "007" and 7 are one."""
+    text = str(point_id)
+    try:
+        return str(int(text))
+    except ValueError:
+        return text
+
+
 def text_hash(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 

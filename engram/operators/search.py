@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import UTC, datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import age_days, decay, dot, norm, point_ts
@@ -22,16 +23,20 @@ def time_filter(points: DataFrame, now_ts: float, since: str | None = None, wind
     return points if bound is None else points.where(F.expr("try_cast(ts_epoch AS bigint)") >= F.lit(bound))
 
 
+def _cosine(query: Sequence[float], vector: str) -> Column:
+    """Cosine of a column with a literal vector; null without direction, or where the lengths differ."""
+    own, size = F.col(vector), float(sum(x * x for x in query)) ** 0.5
+    return F.when(F.size(own) == len(query), F.try_divide(dot(own, F.array(*[F.lit(float(x)) for x in query])), norm(own) * F.lit(size)))
+
+
 def cosine_scores(points: DataFrame, query: Sequence[float], vector: str = "vector") -> DataFrame:
     """Adds raw_score; points without a vector, or with one of another length or without direction, go.
 
-    The query is a literal of one vector, so the scan is one stage without an exchange.
+    The query is a literal of one vector, so the scan is one stage without an exchange. The score is generated, not
+    projected, so that the filter on it doesn't evaluate it a second time.
     """
-    q = F.array(*[F.lit(float(x)) for x in query])
-    size = float(sum(x * x for x in query)) ** 0.5
-    own = F.col(vector)
-    scored = points.where(own.isNotNull() & (F.size(own) == len(query))).withColumn("raw_score", F.try_divide(dot(own, q), norm(own) * F.lit(size)))
-    return scored.where(F.col("raw_score").isNotNull())
+    some = F.filter(F.array(_cosine(query, vector)), lambda x: x.isNotNull())
+    return points.where(F.col(vector).isNotNull()).select("*", F.explode(some).alias("raw_score"))
 
 
 def search(points: DataFrame, query: Sequence[float], now_ts: float, limit: int = 10, fresh: bool = True, since: str | None = None, window_days: float | None = None, rate: float = 0.01, overshoot: int = 3, vector: str = "vector") -> DataFrame:
@@ -39,29 +44,40 @@ def search(points: DataFrame, query: Sequence[float], now_ts: float, limit: int
 
     The limit * overshoot best by cosine are candidates; these alone are decayed by age and ordered anew. A point
     without a time, in ts_epoch or its text, is not decayed; nor is one whose decay divides by zero. Ties by id.
+
+    Both orders are a top-k kept by each task, without an exchange of points. For that, points without a score are
+    ordered last and dropped behind the first limit, and age and final score are one projection.
     """
-    chosen = cosine_scores(time_filter(points, now_ts, since, window_days), query, vector)
-    candidates = chosen.orderBy(F.desc("raw_score"), "id").limit(limit * overshoot)
+    chosen = time_filter(points, now_ts, since, window_days).where(F.col(vector).isNotNull()).withColumn("raw_score", _cosine(query, vector))
+    candidates = chosen.orderBy(F.desc_nulls_last("raw_score"), "id").limit(limit * overshoot)
     age = age_days(point_ts(F.expr("try_cast(ts_epoch AS bigint)"), F.col("text")), now_ts)
-    final = F.coalesce(F.col("raw_score") * decay(F.col("age_days"), rate), F.col("raw_score")) if fresh else F.col("raw_score")
-    scored = candidates.withColumn("age_days", age).withColumn("final_score", final)
+    final = F.coalesce(F.col("raw_score") * decay(age, rate), F.col("raw_score")) if fresh else F.col("raw_score")
+    scored = candidates.select("id", final.alias("final_score"), "raw_score", age.alias("age_days"), "source", "text").where(F.col("raw_score").isNotNull())
     best = scored.orderBy(F.desc("final_score"), F.desc("raw_score"), "id").limit(limit)
     # limit rows are numbered, so one task is enough
     rank = F.row_number().over(Window.orderBy(F.desc("final_score"), F.desc("raw_score"), "id"))
     return best.select(rank.alias("rank"), "id", "final_score", "raw_score", "age_days", "source", "text")
 
 
-def search_batch(points: DataFrame, queries: DataFrame, limit: int = 10, vector: str = "vector") -> DataFrame:
+def search_batch(points: DataFrame, queries: DataFrame, limit: int = 10, vector: str = "vector", block: int = 20_000) -> DataFrame:
     """query_id, rank, id, raw_score: the best points for each row of queries (query_id, query), however many.
 
-    The queries are broadcast and scored against one scan of the points. Each task keeps a query's best before the
-    exchange, so no pair leaves its task but a query's limit. Points and queries without a vector or direction, and pairs
-    of different lengths, go; rows of one query_id are queries of their own. Ties by id.
+    Queries are dealt by hash into blocks of about block rows, the most that is broadcast at once; each block is scored
+    against one scan of the points. A task keeps a query's best before the exchange, so no pair leaves its task but a
+    query's limit. Points and queries without a vector or direction, and pairs of different lengths, go; rows of one
+    query_id are queries of their own. Ties by id.
     """
-    asked = queries.select("query_id", F.col("query").alias("_query"), norm(F.col("query")).alias("_size"), F.monotonically_increasing_id().alias("_row"))
+    asked = queries.where(F.col("query").isNotNull()).select("query_id", F.col("query").alias("_query"), norm(F.col("query")).alias("_size"), F.monotonically_increasing_id().alias("_row"))
     own = F.col(vector)
-    pairs = points.where(own.isNotNull()).withColumn("_own", norm(own)).crossJoin(F.broadcast(asked.where(F.col("_query").isNotNull())))
-    scored = pairs.where(F.size(own) == F.size("_query")).withColumn("raw_score", F.try_divide(dot(own, F.col("_query")), F.col("_own") * F.col("_size")))
+    sized = points.where(own.isNotNull()).withColumn("_own", norm(own))
     rank = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("raw_score"), "id"))
-    best = scored.where(F.col("raw_score").isNotNull()).select("_row", "query_id", "id", "raw_score").withColumn("rank", rank)
-    return best.where(F.col("rank") <= limit).select("query_id", "rank", "id", "raw_score")
+
+    def best(some: DataFrame) -> DataFrame:
+        pairs = sized.crossJoin(F.broadcast(some))
+        scored = pairs.where(F.size(own) == F.size("_query")).withColumn("raw_score", F.try_divide(dot(own, F.col("_query")), F.col("_own") * F.col("_size")))
+        ranked = scored.where(F.col("raw_score").isNotNull()).select("_row", "query_id", "id", "raw_score").withColumn("rank", rank)
+        return ranked.where(F.col("rank") <= limit).select("query_id", "rank", "id", "raw_score")
+
+    blocks = max(1, -(-queries.count() // block))
+    place = F.pmod(F.xxhash64("_row"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [best(asked.where(place == i) if blocks > 1 else asked) for i in range(blocks)])

@@ -73,13 +73,13 @@ for _name, _options, _sql in (
 @register(
     "search_batch",
     f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {cosine_sql("e.embedding", "q.embedding")} AS raw
-  FROM embeddings q, embeddings e WHERE q.vec_id < 10)
+  FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS BIGINT) AS rank, id, round(raw, 6) AS raw_score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) <= 10""",
 )
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return rounded(longs(searching.search_batch(e.withColumnRenamed("vec_id", "id"), asked, vector="embedding"), "rank"), "raw_score")
 
 
@@ -360,11 +360,11 @@ register("md_sections", _values([(f": {_TITLE}", "documentation", ""), (f"Servic
 register("changelog_facts", _values([("2026-08-10 06:20: title", "changelog-entry", "changelog"), ("2026-08-10 06:20: detail", "changelog-detail", "changelog"), ("2026-08-10 06:20: still dated by the previous header", "changelog-detail", "changelog")]))(
     _parsed(parsers.changelog_facts, ("changelog-entry", "changelog-detail"), ("/c.md", CHANGELOG))
 )
-register("proxy_routes", _values([(f"nginx: a.example b.example → {t} (port {p}) | rate limit: 10r/s", "nginx-route", "nginx") for p in ("80", "443 ssl") for t in ("http://127.0.0.1:3000", "https://127.0.0.1:4000/b")]))(
+register("proxy_routes", _values([(f"nginx: a.example b.example → {t} (port {p}) | rate limit: 10r/s", "nginx-route", "nginx-routes") for p in ("80", "443 ssl") for t in ("http://127.0.0.1:3000", "https://127.0.0.1:4000/b")]))(
     _parsed(parsers.proxy_facts, ("nginx-route",), ("/etc/a.conf", PROXY), ("/etc/none.conf", "server { server_name x; }"), ("/etc/default", PROXY))
 )
-register("service_units", _values([("systemd service web: /usr/bin/web --port 80 (Web server)", "systemd-service", "systemd")]))(
-    _parsed(parsers.service_facts, ("systemd-service",), ("/etc/web.service", UNIT), ("/etc/pre.service", "[Service]\nExecStartPre=/bin/true\n"))
+register("service_units", _values([("systemd service web: /usr/bin/web --port 80 (Web server)", "systemd", "systemd-services")]))(
+    _parsed(parsers.service_facts, ("systemd",), ("/etc/web.service", UNIT), ("/etc/pre.service", "[Service]\nExecStartPre=/bin/true\n"))
 )
 
 

@@ -94,7 +94,7 @@ def proxy_facts(files: DataFrame, source: str = "nginx-routes") -> DataFrame:
     df = df.withColumn("n", F.col("i") * F.size("targets") + F.col("j"))
     tail = F.coalesce(F.concat(F.lit(" | rate limit: "), F.col("rate")), F.lit(""))
     text = F.concat(F.lit("nginx: "), F.col("name"), F.lit(" → "), F.trim("target"), F.lit(" (port "), F.trim("listen"), F.lit(")"), tail)
-    return _fact(df, source, F.substring(text, 1, SHORT), "nginx-route", F.lit("nginx"))
+    return _fact(df, source, F.substring(text, 1, SHORT), "nginx-route", F.lit("nginx-routes"))
 
 
 def service_facts(files: DataFrame, source: str = "systemd-services") -> DataFrame:
@@ -102,9 +102,9 @@ def service_facts(files: DataFrame, source: str = "systemd-services") -> DataFra
     name = F.replace(F.element_at(F.split("path", "/"), -1), F.lit(".service"), F.lit(""))
     df = files.withColumns({"command": strip(_first(r"ExecStart=([^\n]+)")), "about": strip(_first(r"Description=([^\n]+)")), "n": F.lit(0)})
     text = F.concat(F.lit("systemd service "), name, F.lit(": "), F.col("command"), F.coalesce(F.concat(F.lit(" ("), F.col("about"), F.lit(")")), F.lit("")))
-    return _fact(df, source, F.substring(text, 1, SHORT), "systemd-service", F.lit("systemd"))
+    return _fact(df, source, F.substring(text, 1, SHORT), "systemd", F.lit("systemd-services"))
 
 
 def static_facts(spark: SparkSession, rows: list[tuple[str, str]], source: str = "infrastructure") -> DataFrame:
     """Literal facts: (section, text)."""
-    return spark.createDataFrame([(i, t, source, s, "", "infrastructure", None) for i, (s, t) in enumerate(rows)], FACT)
+    return spark.createDataFrame([(i, t, source, s, "rules", "infrastructure", None) for i, (s, t) in enumerate(rows)], FACT)
