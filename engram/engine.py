@@ -16,7 +16,7 @@ from .functions.scalars import content_ts, contains_text, normalize_id, point_id
 from .functions.scrub import scrub
 from .operators import audit
 from .operators import search as searching
-from .operators.store import Store, append_new, last_wins, upsert
+from .operators.store import MOST_SOURCES, Store, append_new, last_wins, touched
 from .schema import CORE_KEYS
 
 
@@ -25,7 +25,7 @@ class Change:
     """affected: the points a change touches, as they are. Nothing changes before commit(), which backs them up first."""
 
     affected: DataFrame
-    apply: Callable[[], DataFrame]
+    apply: Callable[[DataFrame], DataFrame]
     store: Store
     name: str
 
@@ -33,11 +33,17 @@ class Change:
         return self.affected.count()
 
     def commit(self) -> int:
-        """Backs up, writes the new version and returns the number of points touched."""
+        """Backs up, writes the rows of the sources it touches anew and returns the number of points touched."""
         n = self.count()
         if n:
             self.store.backup(self.affected, self.name)
-            self.store.publish(self.apply())
+            sources, points = touched(self.affected), self.store.points()
+            if len(sources) > MOST_SOURCES:
+                self.store.publish(self.apply(points))
+            else:
+                named = F.coalesce(F.col("source").isin([s for s in sources if s is not None]), F.lit(False))
+                own = points.where(named | F.col("source").isNull() if None in sources else named)
+                self.store.replace(sources, self.apply(own))
         return n
 
 
@@ -104,8 +110,7 @@ class MemoryEngine:
     def _replace(self, condition: Column, columns: Mapping[str, Column], name: str) -> Change:
         """Rows under a condition with new columns; the others pass by the embedding."""
 
-        def apply() -> DataFrame:
-            points = self.points
+        def apply(points: DataFrame) -> DataFrame:
             hit = F.coalesce(condition, F.lit(False))
             return points.where(~hit).unionByName(points.where(hit).withColumns(dict(columns)))
 
@@ -120,13 +125,13 @@ class MemoryEngine:
             "id", F.lit(None).cast("long").alias("id_num"), "text", "source", *[F.lit("").alias(c) for c in ("section", "file_path", "type")],
             (ts if self.config.time_aware else F.lit(None).cast("long")).alias("ts_epoch"), F.create_map().cast("map<string,string>").alias("extra"), self._vector(F.col("text"), ts).alias("vector"),
         )
-        self.store_.publish(self.points.unionByName(point))
+        self.store_.append(point)
         return new_id
 
     def edit(self, point_id: str, text: str | None = None, now_ts: float | None = None) -> Change:
         """A new text, scrubbed and embedded again; without one, a preview that changes nothing."""
         if not text:
-            return Change(self._one(point_id).limit(0), lambda: self.points, self.store_, "edit")
+            return Change(self._one(point_id).limit(0), lambda points: points, self.store_, "edit")
         self._one(point_id)
         new, now = scrub(F.lit(text), self.config.blacklist), self._now(now_ts)
         columns = {"text": new, "vector": self._vector(new, now)}
@@ -158,7 +163,7 @@ class MemoryEngine:
         return self._replace(F.col("source") == source, columns, "reindex")
 
     def _delete(self, condition: Column, name: str) -> Change:
-        return Change(self.points.where(condition), lambda: self.points.where(~F.coalesce(condition, F.lit(False))), self.store_, name)
+        return Change(self.points.where(condition), lambda points: points.where(~F.coalesce(condition, F.lit(False))), self.store_, name)
 
     def delete_ids(self, ids: list[str]) -> Change:
         return self._delete(F.col("id").isin([normalize_id(i) for i in ids]), "delete-id")
@@ -181,7 +186,7 @@ class MemoryEngine:
     def dedupe(self, by_source: bool = False) -> Change:
         gone = audit.dedupe_ranked(self.points, by_source).where(~F.col("keep"))
         affected = self.points.join(gone.select("id"), "id", "left_semi")
-        return Change(affected, lambda: self.points.join(gone.select("id"), "id", "left_anti"), self.store_, "dedupe")
+        return Change(affected, lambda points: points.join(gone.select("id"), "id", "left_anti"), self.store_, "dedupe")
 
     # ingest
 
@@ -210,10 +215,12 @@ class MemoryEngine:
             return 0
         points = self.points
         if mode == "append":
-            new = self.points_of(facts, points, mtimes)
-            merged = upsert(points, new)
+            self.store_.append(self.points_of(facts, points, mtimes))
         else:
-            new = self.points_of(facts, None, mtimes)
-            merged = upsert(points.join(facts.select("source").distinct(), "source", "left_anti"), new)
-        self.store_.publish(merged)
+            new, sources = self.points_of(facts, None, mtimes), touched(facts)
+            if len(sources) > MOST_SOURCES:
+                gone = facts.select("source").distinct().withColumnRenamed("source", "_s")
+                self.store_.publish(points.join(gone, F.col("source").eqNullSafe(F.col("_s")), "left_anti").unionByName(new))
+            else:
+                self.store_.replace(sources, new)
         return facts.select(point_id(F.col("source"), F.col("text"))).distinct().count()

@@ -1,69 +1,119 @@
-"""A collection as versioned Parquet snapshots: a version is written whole, then a pointer file names it."""
+"""A collection as Parquet parts and versions: a version is a small file that is created once and names its parts."""
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Sequence
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..schema import POINT
+from ..shared import create_file, list_names, read_file, remove_path
+
+#: Parts of a version beyond which the next write puts all points into one; the most sources that a write replaces by name.
+MOST_PARTS, MOST_SOURCES = 64, 1000
 
 
 class Store:
-    """Snapshots under root, on any file system Spark reaches. Readers see the old version until the pointer moves."""
+    """Points under root, on any file system Spark reaches.
+
+    A version lists parts, each with the sources whose rows in it no longer count. Adding points writes a part of them
+    alone; changing points writes the rows of their sources again and leaves the other sources' rows where they are.
+    Version files are created, never replaced, so a reader always finds the last whole version, a crash leaves the
+    version before, and of two writers that start from one version the second gets a RuntimeError.
+    """
 
     def __init__(self, spark: SparkSession, root: str, config: Config):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._jvm = jvm
-
-    def _write(self, name: str, text: str) -> None:
-        held, final = self._path(f"{self.root}/.{name}.new"), self._path(f"{self.root}/{name}")
-        out = self._fs.create(held, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        self._fs.delete(final, False)
-        if not self._fs.rename(held, final):
-            raise OSError(f"{name} could not be replaced")
-
-    def _read(self, name: str) -> str | None:
-        path = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(path):
-            return None
-        stream = self._fs.open(path)
-        try:
-            return str(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
 
     def setup(self) -> bool:
         """Makes an empty collection; False if there is one."""
-        if self._read("current") is not None:
-            return False
-        self._write("config.json", json.dumps({"collection": self.config.collection, "dim": self.config.dim, "metric": self.config.metric, "time_aware": self.config.time_aware}))
-        self.publish(self.spark.createDataFrame([], POINT))
-        return True
+        about = {"collection": self.config.collection, "dim": self.config.dim, "metric": self.config.metric, "time_aware": self.config.time_aware}
+        create_file(self.spark, f"{self.root}/config.json", json.dumps(about).encode())
+        return create_file(self.spark, self._version_path(0), b"[]")
+
+    def _version_path(self, version: int) -> str:
+        return f"{self.root}/versions/v{version:08d}.json"
+
+    def _state(self) -> tuple[int, list[dict]]:
+        """The last version and its parts; a version file that is being written does not count."""
+        for name in reversed([n for n in list_names(self.spark, f"{self.root}/versions") if n.startswith("v") and n.endswith(".json")]):
+            try:
+                return int(name[1:9]), json.loads(read_file(self.spark, f"{self.root}/versions/{name}") or "")
+            except ValueError:
+                continue
+        return -1, []
 
     def version(self) -> int:
-        return int(self._read("current") or -1)
+        return self._state()[0]
 
     def points(self) -> DataFrame:
-        if self.version() < 0:
+        version, parts = self._state()
+        if version < 0:
             raise LookupError("the collection is not set up")
-        return self.spark.read.schema(POINT).parquet(f"{self.root}/points/v{self.version():08d}")
+        return self._read(parts)
+
+    def _read(self, parts: Sequence[dict]) -> DataFrame:
+        """One scan for all parts that leave out the same sources."""
+        alike: dict[tuple, list[str]] = {}
+        for p in parts:
+            alike.setdefault(tuple(p["without"]), []).append(f"{self.root}/points/{p['part']}")
+        found = []
+        for without, paths in alike.items():
+            rows = self.spark.read.schema(POINT).parquet(*paths)
+            if named := [s for s in without if s is not None]:
+                rows = rows.where(~F.coalesce(F.col("source").isin(named), F.lit(False)))
+            found.append(rows.where("source is not null") if None in without else rows)
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], POINT)
+
+    def _write(self, points: DataFrame) -> dict:
+        """A new part, in ranges of source and identifier, so that reads of one source skip files and a source of any
+        size is spread."""
+        part = uuid.uuid4().hex
+        rows = points.select(*[f.split()[0] for f in POINT.split(", ")])
+        rows.repartitionByRange("source", F.xxhash64("id")).sortWithinPartitions("source").write.parquet(f"{self.root}/points/{part}")
+        return {"part": part, "without": []}
+
+    def _commit(self, version: int, parts: list[dict]) -> int:
+        if not create_file(self.spark, self._version_path(version + 1), json.dumps(parts).encode()):
+            raise RuntimeError("another writer published first; nothing has changed")
+        return version + 1
 
     def publish(self, points: DataFrame) -> int:
-        """Writes a version, clustered by source so that reads of one source skip files, and moves the pointer."""
-        version = self.version() + 1
-        rows = points.select(*[f.split()[0] for f in POINT.split(", ")])
-        rows.repartition("source", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("source").write.mode("overwrite").parquet(f"{self.root}/points/v{version:08d}")
-        self._write("current", str(version))
-        return version
+        """A version of these points alone."""
+        version = self.version()
+        return self._commit(version, [self._write(points)])
+
+    def append(self, points: DataFrame) -> int:
+        """A version with points added."""
+        version, parts = self._state()
+        if len(parts) >= MOST_PARTS:
+            return self._commit(version, [self._write(self._read(parts).unionByName(points))])
+        return self._commit(version, [*parts, self._write(points)])
+
+    def replace(self, sources: Sequence[str | None], points: DataFrame) -> int:
+        """A version with points in place of all rows of some sources."""
+        version, parts = self._state()
+        if len(sources) > MOST_SOURCES:
+            raise ValueError("too many sources to replace at once; publish all points")
+        left = [p | {"without": sorted({*p["without"], *sources}, key=lambda s: (s is not None, s or ""))} for p in parts]
+        if len(parts) >= MOST_PARTS:
+            return self._commit(version, [self._write(self._read(left).unionByName(points))])
+        return self._commit(version, [*left, self._write(points)])
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes parts that none of the last versions names; returns their number."""
+        names = [n for n in list_names(self.spark, f"{self.root}/versions")][-keep:]
+        used = {p["part"] for n in names for p in json.loads(read_file(self.spark, f"{self.root}/versions/{n}") or "[]")}
+        gone = [p for p in list_names(self.spark, f"{self.root}/points") if p not in used]
+        for part in gone:
+            remove_path(self.spark, f"{self.root}/points/{part}")
+        return len(gone)
 
     def backup(self, points: DataFrame, name: str, path: str | None = None) -> str:
         """Identifiers and payloads, without vectors, as JSON lines; returns the folder."""
@@ -72,6 +122,11 @@ class Store:
         return target
 
 
+def touched(points: DataFrame) -> list[str | None]:
+    """Sources of points, one more than MOST_SOURCES at most."""
+    return [r.source for r in points.select("source").distinct().limit(MOST_SOURCES + 1).collect()]
+
+
 def payload(points: DataFrame):
     return F.struct("text", "source", "section", "file_path", "type", "ts_epoch", "extra")
 

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Config
+from ..engine import MemoryEngine
 from ..functions import scalars
-from ..functions.embed import HashingEmbedder
 from ..functions.scrub import scrub
 from ..operators import audit, store
 from ..operators import search as searching
+from ..shared import scratch_path, write_files
 from ..sources import parsers
+from ..sources.files import read_files, skipped_files
+from ..sources.registry import STATIC, default_sources, ingest_all
 from .points import DATE_IN, DAY_OF, EPOCH_OF, NOW_TS, POINTS, QUERY_ID, SINCE, WINDOW_DAYS, cosine_sql, point_date_sql, points, query_vector, search_sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,10 +278,28 @@ def append_new_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.append_new(f.where("ord % 2 = 0"), store.last_wins(f.where("ord % 2 = 1"))).select("id", "ord", "source", "section")
 
 
-@register("append_idempotent", "SELECT CAST(0 AS BIGINT) AS added")
+def memory(spark: SparkSession, sf_dir: str) -> MemoryEngine:
+    """A time-aware collection in scratch space that holds the points of the tables, without vectors."""
+    engine = MemoryEngine(spark, scratch_path(spark, "memory"), Config("memory-v2", base_dim=64))
+    engine.setup()
+    engine.store_.publish(points(spark, sf_dir, False))
+    return engine
+
+
+@register("append_idempotent", f"SELECT (SELECT count(DISTINCT source || '|' || {SCRUB_SQL}) FROM documents) AS stored, CAST(0 AS BIGINT) AS added, (SELECT count(DISTINCT source) FROM documents) AS sources")
 def append_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = store.last_wins(_facts(table(spark, sf_dir, "documents")))
-    return store.append_new(f, f).agg(F.count("*").alias("added"))
+    """Facts ingested twice, the second time without effect."""
+    engine = MemoryEngine(spark, scratch_path(spark, "memory"), Config("memory", base_dim=16))
+    engine.setup()
+    docs = table(spark, sf_dir, "documents")
+    none = F.lit("").alias
+    facts = docs.select(F.col("doc_id").alias("ord"), "text", "source", F.col("lang").alias("section"), none("file_path"), none("type"), F.lit(None).cast("string").alias("date"))
+    engine.ingest(facts, "append")
+    first = engine.points
+    engine.ingest(facts, "append")
+    second = engine.points
+    stored = first.agg(F.count("*").alias("stored"))
+    return stored.crossJoin(second.agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))).select("stored", (F.col("n") - F.col("stored")).alias("added"), "sources")
 
 
 @register(
@@ -302,33 +324,80 @@ def replace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("edit_payload", f"WITH {POINTS} SELECT id, CASE WHEN id = '9' THEN 'moved' ELSE source END AS source, CASE WHEN id = '9' THEN 'x' END AS note FROM points")
 def edit_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = F.col("id") == "9"
-    extra = F.when(hit, F.map_concat(F.coalesce("extra", F.create_map().cast("map<string,string>")), F.create_map(F.lit("note"), F.lit("x")))).otherwise(F.col("extra"))
-    return points(spark, sf_dir, False).select("id", F.when(hit, "moved").otherwise(F.col("source")).alias("source"), extra["note"].alias("note"))
+    engine = memory(spark, sf_dir)
+    engine.edit_payload("009", {"source": "moved", "note": " x "}).commit()
+    return engine.points.select("id", "source", F.col("extra")["note"].alias("note"))
 
 
 @register("edit_text", f"WITH {POINTS} SELECT id, md5(CASE WHEN id = '9' THEN 'new text token=[REDACTED]' ELSE text END) AS text_md5, CASE WHEN id = '9' THEN {NOW_TS} ELSE ts_epoch END AS ts_epoch FROM points")
 def edit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = F.col("id") == "9"
-    text = F.when(hit, scrub(F.lit("new text token=abc"))).otherwise(F.col("text"))
-    return points(spark, sf_dir, False).select("id", F.md5(text).alias("text_md5"), F.when(hit, F.lit(NOW_TS).cast("long")).otherwise(F.col("ts_epoch")).alias("ts_epoch"))
+    engine = memory(spark, sf_dir)
+    engine.edit("9", "new text token=abc", now_ts=NOW_TS).commit()
+    return engine.points.select("id", F.md5("text").alias("text_md5"), "ts_epoch")
+
+
 
+def _time_part() -> list[Column]:
+    """The vector's last eight numbers, which the time gives."""
+    return [F.round(F.element_at("vector", i - 8).cast("double"), 5).alias(f"f{i}") for i in range(8)]
 
-@register("reindex_source", f"WITH {POINTS} SELECT id, {NOW_TS}::BIGINT AS ts_epoch, CAST(72 AS BIGINT) AS dim FROM points WHERE source = 'src6'")
+
+@register(
+    "reindex_source",
+    f"""WITH {POINTS} SELECT id, CASE WHEN source = 'src6' THEN {NOW_TS}::BIGINT ELSE ts_epoch END AS ts_epoch, CAST(CASE WHEN source = 'src6' THEN 72 ELSE 0 END AS BIGINT) AS dim,
+{", ".join(f"CASE WHEN source = 'src6' THEN round(0.3 * ({f}), 5) END AS f{i}" for i, f in enumerate(_FEATURES))} FROM points, (SELECT make_timestamp({NOW_TS}::BIGINT * 1000000) AS t)""",
+)
 def reindex_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = points(spark, sf_dir, False).where("source = 'src6'")
-    now = F.lit(NOW_TS).cast("long")
-    made = chosen.select("id", now.alias("ts_epoch"), scalars.with_time(HashingEmbedder(64).column(F.col("text")), now).alias("v"))
-    return made.select("id", "ts_epoch", F.size("v").cast("long").alias("dim"))
+    engine = memory(spark, sf_dir)
+    engine.reindex_source("src6", now_ts=NOW_TS).commit()
+    return engine.points.select("id", "ts_epoch", F.coalesce(F.size("vector"), F.lit(0)).cast("long").alias("dim"), *_time_part())
+
+
+@register("update_vector", f"WITH {POINTS} SELECT id, CAST(CASE WHEN id = '8' THEN 72 ELSE 0 END AS BIGINT) AS dim, ts_epoch FROM points")
+def update_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector of its own; time and payload stay."""
+    engine = memory(spark, sf_dir)
+    engine.update_vector("8", now_ts=NOW_TS).commit()
+    return engine.points.select("id", F.coalesce(F.size("vector"), F.lit(0)).cast("long").alias("dim"), "ts_epoch")
+
+
+@register("store_one", f"WITH {POINTS} SELECT source, count(*) AS n, CAST(max(CASE WHEN source = 'web' THEN 72 ELSE 0 END) AS BIGINT) AS dim FROM (SELECT source FROM points UNION ALL SELECT 'web') GROUP BY 1")
+def store_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = memory(spark, sf_dir)
+    engine.store("the web server listens on port 80", "web", now_ts=NOW_TS)
+    return engine.points.groupBy("source").agg(F.count("*").alias("n"), F.max(F.coalesce(F.size("vector"), F.lit(0)).cast("long")).alias("dim"))
+
+
+@register("dedupe_commit", f"WITH {DUPES} SELECT id, source FROM points WHERE id NOT IN (SELECT id FROM w WHERE rn > 1)")
+def dedupe_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = memory(spark, sf_dir)
+    engine.dedupe().commit()
+    return engine.points.select("id", "source")
+
+
+@register("delete_commit", f"WITH {POINTS} SELECT id, source FROM points WHERE NOT coalesce({FRAG_SQL} OR {RE_SQL}, false) AND source IS DISTINCT FROM 'src4' AND id <> '17'")
+def delete_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deletions one after the other: by identifier, by source, by text."""
+    engine = memory(spark, sf_dir)
+    engine.delete_ids(["17", "none"]).commit()
+    engine.delete_source("src4").commit()
+    engine.delete_fragment(FRAGMENT, REGEX).commit()
+    return engine.points.select("id", "source")
+
+
+BACKUP_SQL = f"""WITH {POINTS} SELECT '{{"id":' || to_json(id) || ',"payload":{{' || concat_ws(',', '"text":' || to_json(text), '"source":' || to_json(source), '"section":' || to_json(section), '"file_path":""', '"type":' || to_json(type), '"ts_epoch":' || ts_epoch) || '}}}}' AS value FROM points"""
+
+
+@register("backup_export", BACKUP_SQL)
+def backup_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a backup, read back from its files."""
+    return spark.read.text(memory(spark, sf_dir).backup())
 
 
-register("backup_export")(lambda s, d: store.backup_rows(points(s, d, False)))
 register("setup_dims", "SELECT * FROM (VALUES ('memory', CAST(384 AS BIGINT), false), ('memory-v2', CAST(392 AS BIGINT), true)) t(collection, dim, time_aware)")(lambda s, d: _dims(s))
 
 
 def _dims(spark: SparkSession) -> DataFrame:
-    from ..config import Config
-
     return spark.createDataFrame([(c.collection, c.dim, c.time_aware) for c in (Config("memory"), Config("memory-v2"))], "collection string, dim long, time_aware boolean")
 
 
@@ -340,32 +409,86 @@ PROXY = "server {\n listen 80;\n listen 443 ssl;\n server_name a.example b.examp
 UNIT = "[Unit]\nDescription=Web server\n[Service]\nExecStartPre=/bin/true\nExecStart=/usr/bin/web --port 80\n"
 
 
-def _values(rows: list[tuple[str, str, str]]) -> str:
+README = "# heading that is longer than thirty characters\n\na paragraph that is longer than thirty characters,\non two lines\n\nshort\n\n```\ncode that is longer than thirty characters\n"
+TREE: dict[str, str | bytes] = {
+    "docs.md": MARKDOWN, "dos.md": MARKDOWN.replace("\n", "\r\n"), "CHANGELOG.md": CHANGELOG,
+    "www/p1/README.md": README, "www/p1/node_modules/x/README.md": README, "www/p2/sub/INSTRUKCJA-a.md": README, "www/p2/notes.md": README, "www/README.md": README,
+    "proxy/a.conf": PROXY, "proxy/none.conf": "server { server_name x; }", "proxy/default": PROXY, "proxy/bad": b"listen 1; proxy_pass http://x;\xff\xfe",
+    "units/web.service": UNIT, "units/pre.service": "[Service]\nExecStartPre=/bin/true\n", "units/bad.service": b"ExecStart=\xff\xfe", "units/note.txt": UNIT,
+}
+
+
+def tree(spark: SparkSession, docs: str = "docs.md") -> tuple[str, Config]:
+    """Files written to scratch space, and the configuration that points to them."""
+    root = write_files(spark, scratch_path(spark, "tree") + "/tree", TREE)
+    plain = "/" + root.removeprefix("file:").lstrip("/") if root.startswith("file:") else root
+    return root, Config("memory", base_dim=16, docs=f"{root}/{docs}", changelog=f"{root}/CHANGELOG.md", www_root=f"{plain}/www", proxy_dir=f"{root}/proxy", unit_dir=f"{root}/units")
+
+
+def _values(rows: list[tuple[str, ...]], names: str) -> str:
     cells = ", ".join("(" + ", ".join("'" + c.replace("'", "''") + "'" for c in r) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {cells}) t(text, type, section)"
+    return f"SELECT * FROM (VALUES {cells}) t({names})"
+
 
+def _read(name: str, kinds: tuple[str, ...], docs: str = "docs.md") -> Query:
+    """A source's facts of some kinds, from its files through the registry."""
 
-def _parsed(parser: Callable[[DataFrame], DataFrame], kinds: tuple[str, ...], *files: tuple[str, str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        facts = parser(spark.createDataFrame(list(files), "path string, value string"))
-        return facts.where(F.col("type").isin(*kinds)).select("text", "type", "section")
+        source = default_sources(spark, tree(spark, docs)[1])[name]
+        facts = source.parser(source.files(spark))
+        return facts.where(F.col("type").isin(*kinds)).select("text", "type", "section", "source", F.substring_index("file_path", "/tree/", -1).alias("file"))
 
     return run
 
 
-_TITLE, _PROSE = "# A title line that is certainly longer than forty characters", "Prose that is longer than forty characters is documentation."
-register("md_table_rows", _values([("Services: web — 8080 | nginx | active", "service", "Services")]))(_parsed(parsers.markdown_facts, ("service",), ("/d.md", MARKDOWN)))
-register("md_bullets", _values([("Services: bold** item", "config", "Services")]))(_parsed(parsers.markdown_facts, ("config",), ("/d.md", MARKDOWN)))
-register("md_sections", _values([(f": {_TITLE}", "documentation", ""), (f"Services: {_PROSE}", "documentation", "Services")]))(_parsed(parsers.markdown_facts, ("documentation",), ("/d.md", MARKDOWN.replace("\n", "\r\n"))))
-register("changelog_facts", _values([("2026-08-10 06:20: title", "changelog-entry", "changelog"), ("2026-08-10 06:20: detail", "changelog-detail", "changelog"), ("2026-08-10 06:20: still dated by the previous header", "changelog-detail", "changelog")]))(
-    _parsed(parsers.changelog_facts, ("changelog-entry", "changelog-detail"), ("/c.md", CHANGELOG))
+_TITLE, _PROSE, _NAMES = "# A title line that is certainly longer than forty characters", "Prose that is longer than forty characters is documentation.", "text, type, section, source, file"
+for _name, _source, _docs, _rows in (
+    ("md_table_rows", "vps-docs", "docs.md", [("Services: web — 8080 | nginx | active", "service", "Services", "vps-docs", "docs.md")]),
+    ("md_bullets", "vps-docs", "docs.md", [("Services: bold** item", "config", "Services", "vps-docs", "docs.md")]),
+    ("md_sections", "vps-docs", "dos.md", [(f": {_TITLE}", "documentation", "", "vps-docs", "dos.md"), (f"Services: {_PROSE}", "documentation", "Services", "vps-docs", "dos.md")]),
+    ("changelog_facts", "changelog", "docs.md", [(f"2026-08-10 06:20: {t}", k, "changelog", "changelog", "CHANGELOG.md") for t, k in (("title", "changelog-entry"), ("detail", "changelog-detail"), ("still dated by the previous header", "changelog-detail"))]),
+    ("project_files", "instructions", "docs.md", [(f"[{p}] a paragraph that is longer than thirty characters, on two lines", "project-doc", p, f"project-{p}", f) for p, f in (("p1", "www/p1/README.md"), ("p2", "www/p2/sub/INSTRUKCJA-a.md"))]),
+    ("proxy_routes", "nginx", "docs.md", [(f"nginx: a.example b.example → {t} (port {p}) | rate limit: 10r/s", "nginx-route", "nginx-routes", "nginx-routes", "proxy/a.conf") for p in ("80", "443 ssl") for t in ("http://127.0.0.1:3000", "https://127.0.0.1:4000/b")]),
+    ("service_units", "systemd", "docs.md", [("systemd service web: /usr/bin/web --port 80 (Web server)", "systemd", "systemd-services", "systemd-services", "units/web.service")]),
+):
+    register(_name, _values(_rows, _NAMES))(_read(_source, tuple({r[1] for r in _rows}), _docs))
+register("static_facts", _values([(t, "infrastructure", s, "infrastructure", "rules") for s, t in STATIC], _NAMES))(
+    lambda s, d: parsers.static_facts(s, list(STATIC)).select("text", "type", "section", "source", F.col("file_path").alias("file"))
+)
+register("skipped_files", _values([("proxy/bad", "no UTF-8 text"), ("units/bad.service", "no UTF-8 text")], "file, reason"))(
+    lambda s, d: skipped_files(s, tree(s)[0], recursive=True).select(F.substring_index("path", "/tree/", -1).alias("file"), "reason")
 )
-register("proxy_routes", _values([(f"nginx: a.example b.example → {t} (port {p}) | rate limit: 10r/s", "nginx-route", "nginx-routes") for p in ("80", "443 ssl") for t in ("http://127.0.0.1:3000", "https://127.0.0.1:4000/b")]))(
-    _parsed(parsers.proxy_facts, ("nginx-route",), ("/etc/a.conf", PROXY), ("/etc/none.conf", "server { server_name x; }"), ("/etc/default", PROXY))
+
+
+@register(
+    "ingest_sources",
+    "SELECT * FROM (VALUES ('vps-docs', 4), ('changelog', 3), ('project-p1', 1), ('project-p2', 1), ('nginx-routes', 4), ('systemd-services', 1), ('infrastructure', 2)) t(source, points)",
 )
-register("service_units", _values([("systemd service web: /usr/bin/web --port 80 (Web server)", "systemd", "systemd-services")]))(
-    _parsed(parsers.service_facts, ("systemd",), ("/etc/web.service", UNIT), ("/etc/pre.service", "[Service]\nExecStartPre=/bin/true\n"))
+def ingest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources from files into a collection, twice, and one of them replaced."""
+    engine = MemoryEngine(spark, scratch_path(spark, "memory"), tree(spark)[1])
+    engine.setup()
+    sources = default_sources(spark, engine.config)
+    for only, replace in ((None, False), (None, False), ("changelog", True)):
+        done = ingest_all(engine, sources, only, replace)
+        if failed := [n for n in done.values() if not isinstance(n, int)]:
+            raise RuntimeError(failed[0])
+    return engine.points.groupBy("source").agg(F.count("*").cast("int").alias("points"))
+
+
+@register(
+    "markdown_files",
+    r"""WITH l AS (SELECT source, rtrim(unnest(regexp_split_to_array(text, '\r\n|\r|\n')), ' ' || chr(9) || chr(11) || chr(12)) AS line FROM documents WHERE text IS NOT NULL),
+k AS (SELECT source, line, CASE WHEN starts_with(line, '## ') OR starts_with(line, '### ') THEN NULL WHEN starts_with(line, '| **') THEN NULL WHEN starts_with(line, '```') OR starts_with(line, '    ') THEN NULL
+  WHEN starts_with(line, '- ') OR starts_with(line, '* ') THEN 'config' WHEN length(line) > 40 AND NOT starts_with(line, '|') THEN 'documentation' END AS type FROM l WHERE line <> '')
+SELECT source AS folder, type, count(*) AS n FROM k WHERE type IS NOT NULL GROUP BY ALL""",
 )
+def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as text files, a folder a source, read back as files and parsed line by line."""
+    root = scratch_path(spark, "files")
+    table(spark, sf_dir, "documents").where("text is not null").select("text", "source").write.partitionBy("source").text(root)
+    facts = parsers.markdown_facts(read_files(spark, root, "*.txt", recursive=True))
+    return facts.groupBy(F.regexp_extract("file_path", "source=([^/]*)/", 1).alias("folder"), "type").agg(F.count("*").alias("n"))
 
 
 @register(

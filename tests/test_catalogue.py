@@ -34,3 +34,9 @@ def test_search_reads_few_columns_and_orders_twice(spark):
     plan = catalogue.queries()["search_since"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("TakeOrderedAndProject") == 2
     assert "n_chars" not in plan
+
+
+@pytest.mark.parametrize("name", [n for n in catalogue.queries() if n.startswith("search_") and n != "search_batch"])
+def test_searches_keep_a_top_k_by_task(spark, name):
+    plan = catalogue.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 2 and "rangepartitioning" not in plan
