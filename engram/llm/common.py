@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,46 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import remove_path, scratch_path
+
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 # --- scratch space ---------------------------------------------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local master may go without the setting; then a temporary folder of this machine is used.
-    """
-    set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    found = spark.sparkContext.getCheckpointDir()
-    if set_to:
-        if not found:
-            spark.sparkContext.setCheckpointDir(set_to)
-        return set_to.rstrip("/")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="engram-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/engram-{name}-{uuid.uuid4().hex}"
-    atexit.register(remove_path, spark, path)
-    return path
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder if the session still lives."""
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)

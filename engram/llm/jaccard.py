@@ -240,8 +240,8 @@ def stars(matched: DataFrame, members: DataFrame, depth: int) -> DataFrame:
     star = materialize(matched.withColumn("node", prefix(depth)).join(nodes, ["tree", "node"]).select("head", "cid").distinct(), "stars")
     heads = star.groupBy("cid").agg(F.sort_array(F.collect_set("head")).alias("heads"))  # at most one a tree
     held = star.join(heads, "cid")
-    # the smaller head that most of a star have too
-    common = held.select("head", F.explode(F.filter("heads", lambda h: h < F.col("head"))).alias("h")).groupBy("head", "h").agg(F.count("*").alias("n"))
+    # the smaller head that most of a star have as their first
+    common = held.where(F.col("heads")[0] < F.col("head")).groupBy("head", F.col("heads")[0].alias("h")).agg(F.count("*").alias("n"))
     common = common.groupBy("head").agg(F.max_by("h", F.struct("n", "h")).alias("common"))
     held = held.join(common, "head", "left").join(members.select("cid", "shingles"), "cid")
     held = held.withColumn("apart", ~F.coalesce(F.array_contains("heads", F.col("common")), F.lit(False)))

@@ -4,7 +4,8 @@ Three relations, each row of which holds many n-grams in columns of numbers:
 
     grams   (bucket, grp, hashes, counts)  the exploded n-grams of a group of documents, with their counts in the group
     counts  (bucket, hashes, totals)       the count table, partitioned by hash: n-grams that several groups hold
-    known   (grp, bucket, places, totals)  grams joined with counts by bucket and hash, sent back to the group
+    known   (grp, bucket, totals)          grams joined with counts by bucket and hash, sent back to the group; 0 where
+                                           the count table has no row
 
 Documents are dealt into groups of bounded size, whose n-grams are summed before anything is exchanged; a group's hashes
 are cut into buckets by range. An n-gram that one group holds alone is counted there and needs no row of the count
@@ -23,12 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_1, PolyHash, group_count, hash_words, materialize, mix, pack_rows, trimmed, unpack_blobs, with_group
+from .common import BASE_1, PolyHash, group_count, hash_words, mix, pack_rows, trimmed, unpack_blobs, with_group
 
 #: Longest n-gram, and the factor for each step back to a shorter one.
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in a group: the larger, the fewer groups an n-gram travels for. Buckets for each group.
-GROUP_BYTES, BUCKETS = 10 << 20, 3
+GROUP_BYTES, BUCKETS = 13 << 20, 3
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -47,7 +48,7 @@ def unplanes(data: bytes, kind: type) -> np.ndarray:
 
 
 def rising(x: np.ndarray) -> bytes:
-    """Sorted numbers as planes of their differences."""
+    """Numbers as planes of their differences, which wrap; few bytes where numbers ascend."""
     return planes(np.diff(x, prepend=x.dtype.type(0)))
 
 
@@ -91,6 +92,13 @@ def bucket_cuts(distinct: np.ndarray, buckets: int) -> np.ndarray:
     return np.r_[np.searchsorted(distinct, edges), len(distinct)]
 
 
+def merged(grams: Grams, some: Sequence[slice]) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's hashes of all orders in one ascending run, which codes shorter than one for each, and their order."""
+    hashes = np.concatenate([d[s] for d, s in zip(grams.distinct, some, strict=True)])
+    by = np.argsort(hashes, kind="stable")
+    return hashes[by], by
+
+
 def score_texts(grams: Grams, totals: Sequence[np.ndarray], words: int, order: int, backoff: float) -> np.ndarray:
     """Sum of the logarithms of each text's scores, by counts (for each order) without the text's own."""
     n = len(grams.owner)
@@ -143,18 +151,22 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         table = unpack_blobs(packed["blob"].to_pylist())
         return table, [t or b"" for t in table["text"].cast(pa.binary()).to_pylist()]
 
-    def explode(packed: pa.Table) -> pa.Table:
-        grams = Grams(group_texts(packed)[1], order)
+    def bucket_slices(grams: Grams) -> Iterator[tuple[int, list[slice]]]:
+        """Each bucket that the group has n-grams in, with its part of each order's distinct hashes."""
         cuts = [bucket_cuts(d, buckets) for d in grams.distinct]
-        out: list[list] = [[] for _ in range(4)]
         for b in range(buckets):
             some = [slice(c[b], c[b + 1]) for c in cuts]
-            hashes = np.concatenate([d[s] for d, s in zip(grams.distinct, some, strict=True)])
-            if len(hashes):
-                counts = np.concatenate([c[s] for c, s in zip(grams.counts, some, strict=True)])
-                by = np.argsort(hashes)
-                for column, value in zip(out, (b, packed["grp"][0].as_py(), rising(hashes[by]), planes(counts[by].astype(np.uint32))), strict=True):
-                    column.append(value)
+            if any(s.start < s.stop for s in some):
+                yield b, some
+
+    def explode(packed: pa.Table) -> pa.Table:
+        grams, grp = Grams(group_texts(packed)[1], order), packed["grp"][0].as_py()
+        out: list[list] = [[] for _ in range(4)]
+        for b, some in bucket_slices(grams):
+            hashes, by = merged(grams, some)
+            counts = np.concatenate([c[s] for c, s in zip(grams.counts, some, strict=True)])
+            for column, value in zip(out, (b, grp, rising(hashes), planes(counts[by].astype(np.uint32))), strict=True):
+                column.append(value)
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["bucket", "grp", "hashes", "counts"])
 
     def bucket_rows(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
@@ -173,17 +185,15 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         return pa.table([pa.array([rows["bucket"][0].as_py()], pa.int32()), pa.array([rising(hashes[first][several])], pa.binary()), pa.array([planes(totals)], pa.binary())], ["bucket", "hashes", "totals"])
 
     def join(rows: pa.Table, counted: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in range(4)]
+        out: list[list] = [[] for _ in range(3)]
         if rows.num_rows and counted.num_rows:
-            known, totals = unrising(counted["hashes"][0].as_py(), np.uint64), unplanes(counted["totals"][0].as_py(), np.int64)
+            names, totals = unrising(counted["hashes"][0].as_py(), np.uint64), unplanes(counted["totals"][0].as_py(), np.int64)
             for grp, data in zip(rows["grp"].to_pylist(), rows["hashes"].to_pylist(), strict=True):
                 hashes = unrising(data, np.uint64)
-                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                place = np.flatnonzero(known[at] == hashes)
-                if len(place):
-                    for column, value in zip(out, (grp, rows["bucket"][0].as_py(), rising(hashes[place]), planes(totals[at[place]])), strict=True):
-                        column.append(value)
-        return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["grp", "bucket", "hashes", "totals"])
+                at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+                for column, value in zip(out, (grp, rows["bucket"][0].as_py(), planes(np.where(names[at] == hashes, totals[at], 0))), strict=True):
+                    column.append(value)
+        return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["grp", "bucket", "totals"])
 
     def score(packed: pa.Table, known: pa.Table) -> pa.Table:
         names = ["doc_id", "n_words", "log_score", "mean_log_score"]
@@ -193,19 +203,22 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         grams = Grams(texts, order)
         del texts
         totals = [c.astype(np.float64) for c in grams.counts]
-        for data, sums in zip(known["hashes"].to_pylist(), known["totals"].to_pylist(), strict=True):
-            hashes, sums = unrising(data, np.uint64), unplanes(sums, np.int64)
-            for k, distinct in enumerate(grams.distinct):
-                at = np.minimum(np.searchsorted(distinct, hashes), max(0, len(distinct) - 1))
-                hit = np.flatnonzero(distinct[at] == hashes) if len(distinct) else at[:0]
-                totals[k][at[hit]] = sums[hit]
+        known = dict(zip(known["bucket"].to_pylist(), known["totals"].to_pylist(), strict=True))
+        for b, some in bucket_slices(grams):
+            if b in known:
+                _, by = merged(grams, some)
+                sums = np.empty(len(by), np.int64)
+                sums[by] = unplanes(known[b], np.int64)
+                sums = np.split(sums, np.cumsum([s.stop - s.start for s in some])[:-1])
+                for k, s in enumerate(some):
+                    totals[k][s] = np.where(sums[k] > 0, sums[k], totals[k][s])
         total = score_texts(grams, totals, words, order, backoff)
         means = [s / n if n else None for s, n in zip(total.tolist(), grams.sizes.tolist(), strict=True)]
         return pa.table([table["doc_id"], pa.array(grams.sizes), pa.array(total), pa.array(means, pa.float64())], names)
 
     grams = packed.groupBy("grp").applyInArrow(explode, "bucket int, grp int, hashes binary, counts binary").repartition(max(least, buckets), "bucket")
-    counts = materialize(grams.groupBy("bucket").applyInArrow(add_up, "bucket int, hashes binary, totals binary"), "counts")
-    known = grams.groupBy("bucket").cogroup(counts.repartition(max(least, buckets), "bucket").groupBy("bucket")).applyInArrow(join, "grp int, bucket int, hashes binary, totals binary")
+    counts = grams.groupBy("bucket").applyInArrow(add_up, "bucket int, hashes binary, totals binary")
+    known = grams.groupBy("bucket").cogroup(counts.repartition(max(least, buckets), "bucket").groupBy("bucket")).applyInArrow(join, "grp int, bucket int, totals binary")
     scored = packed.groupBy("grp").cogroup(known.repartition(max(least, 2 * groups), "grp").groupBy("grp")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")
     none = every.where("text is null or text = ''").select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_score"), F.lit(None).cast("double").alias("mean_log_score"))
     return scored.unionByName(none)
