@@ -33,6 +33,20 @@ def discard(df: DataFrame) -> None:
     remove_path(df.sparkSession, df.scratch)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows as read from files, dealt evenly over the cores where the files come in fewer partitions than that.
+
+    A row group can't be split, so a table of one would keep one core busy. Where there are partitions for all cores, as
+    in any large table, and after any exchange, rows stay where they are; so do those of tables of about a MB.
+    """
+    plan = docs._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return docs
+    megabytes = int(plan.optimizedPlan().stats().sizeInBytes()) >> 20
+    tasks = min(docs.sparkSession.sparkContext.defaultParallelism, megabytes)
+    return docs.repartition(tasks) if plan.toRdd().getNumPartitions() < tasks else docs
+
+
 # --- memory of Python workers ----------------------------------------------------------------------------------
 
 

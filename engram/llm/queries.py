@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
-from .common import bound_batches
+from .common import bound_batches, spread
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces whose ids a worker keeps, about 60 bytes each.
@@ -18,7 +18,7 @@ REMEMBERED = 1_000_000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

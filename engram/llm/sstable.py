@@ -17,7 +17,7 @@ from __future__ import annotations
 import struct
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from .common import materialize, scratch_path, trimmed
 MAGIC = b"ENGRSST1"
 FOOTER = struct.Struct("<QQQQQIBB8s")
 BLOCK_BYTES, BITS_PER_KEY, PROBES, SHARD_BYTES = 64 << 10, 10, 7, 32 << 20
-SHARDS = "shard int, path string, n_docs long, n_tokens long"
+SHARDS = "shard int, path string, n_docs long, n_tokens long, first long, last long"
 
 
 #: Schemes that Spark's file systems have and Arrow's know by another name.
@@ -189,8 +189,8 @@ def write_sstables(docs: DataFrame, vocabulary: str, folder: str | None = None,
     """Encodes every whole text of docs (doc_id, text; null text: empty) and appends end_id; writes shards in ascending doc_id order.
 
     Null identifiers come first; rows with one identifier stay apart, ordered by a hash of the text, then the text.
-    Returns one row per shard (shard, path, n_docs, n_tokens), of which none is empty; shards ascend as their keys do.
-    An empty table gives no shard. Rows are dealt by ranges of (doc_id, hash, place in the input) into shards of about
+    Returns one row per shard (shard, path, n_docs, n_tokens, first and last doc_id), of which none is empty; shards
+    ascend as their keys do. An empty table gives no shard. Rows are dealt by ranges of (doc_id, hash, place in the input) into shards of about
     shard_bytes of text, so that an identifier or a row repeated very often fills several shards. A task streams its
     rows into a file named by its attempt; the returned rows, written by Spark's committer, name the files that count,
     and files of other attempts are never read.
@@ -220,7 +220,8 @@ def write_sstables(docs: DataFrame, vocabulary: str, folder: str | None = None,
         if out is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/{name}", "n_docs": writer.entries, "n_tokens": writer.n_tokens}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            about = {"shard": shard, "path": f"{folder}/{name}", "n_docs": writer.entries, "n_tokens": writer.n_tokens, "first": unpack_key(writer.keys[0]), "last": unpack_key(writer.last)}
+            yield pa.RecordBatch.from_pylist([about], schema=pa.schema([("shard", pa.int32()), *((c, pa.string() if c == "path" else pa.int64()) for c in list(about)[1:])]))
 
     return materialize(parted.mapInArrow(trimmed(write), SHARDS), "shards")
 
@@ -248,3 +249,25 @@ def read_sstables(shards: DataFrame, rows_per_batch: int = 512) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(values, pa.binary())], ["doc_id", "start", "ids"])
 
     return placed.repartition(max(1, shards.count())).mapInArrow(trimmed(read), "doc_id long, start long, ids binary")
+
+
+def lookup_documents(shards: DataFrame, doc_ids: Sequence[int | None]) -> DataFrame:
+    """(doc_id, ids) of every document that has one of some identifiers; identifiers that no document has give no row.
+
+    Only shards whose range of keys holds an identifier are opened; of these, only the footer, the index and the filter
+    are read, and the blocks that a binary search of the index names. Repeated identifiers are looked up once.
+    """
+    wanted = sorted(set(doc_ids), key=pack_key)
+    numbers = [i for i in wanted if i is not None]
+    # null keys come first, so a shard whose first is null reaches down to all identifiers
+    holds = F.exists(F.array(*map(F.lit, numbers)).cast("array<long>"), lambda i: (F.col("first").isNull() | (i >= F.col("first"))) & (i <= F.col("last")))
+    some = shards.where((F.col("first").isNull() if None in wanted else F.lit(False)) | holds).select("path")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                reader = Reader(path)
+                found = [(i, ids.astype("<u4").tobytes()) for i in wanted for ids in reader.lookup(i)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["doc_id", "ids"])
+
+    return some.repartition(max(1, some.count())).mapInArrow(trimmed(find), "doc_id long, ids binary")

@@ -184,6 +184,15 @@ def test_sstables(spark, docs, texts, library, tmp_path):
     for i, want in zip([None, *texts], ids, strict=True):
         assert [x.tolist() for r in readers for x in r.lookup(i)] == [want]
     assert not [x for r in readers for x in r.lookup(10**9)]
+    wanted = [None, 3, 7, 10**9, 3]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in sstable.lookup_documents(shards, wanted).collect()}
+    assert got == {i: x for i, x in zip([None, *texts], ids, strict=True) if i in wanted}
+    # one identifier, and none, under very many rows: several shards, in order
+    many = spark.range(900).select(F.when(F.col("id") % 2 == 0, 5).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    crowded = sstable.write_sstables(many, VOCABULARY, f"file://{tmp_path}/many", shard_bytes=2000)
+    assert crowded.where("first is null").count() > 2 and crowded.where("first = 5").count() > 2
+    assert sstable.lookup_documents(crowded, [5]).count() == sstable.lookup_documents(crowded, [None]).count() == 450
+    assert [r.doc_id for r in sstable.read_sstables(crowded).orderBy("start").collect()] == [None] * 450 + [5] * 450
     assert sstable.read_sstables(sstable.write_sstables(docs.limit(0), VOCABULARY)).count() == 0
 
 
