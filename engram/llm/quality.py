@@ -126,58 +126,50 @@ def bin_of(value: str) -> Column:
     return F.floor(F.log(F.col(value) + FLOOR) * BINS)
 
 
-def first_bin(bins: Column, share: float) -> Column:
-    """Of sorted (bin, count) the first bin at which the share of all is reached."""
-    need = F.ceil(F.aggregate(bins, F.lit(0).cast("long"), lambda t, b: t + b["n"]) * share)
-    begin = F.struct(F.lit(0).cast("long").alias("t"), F.lit(None).cast("long").alias("b"))
-    step = lambda a, b: F.struct((a["t"] + b["n"]).alias("t"), F.coalesce(a["b"], F.when(a["t"] + b["n"] >= need, b["b"])).alias("b"))
+def first_bin(bins: Column, rows: Column, share: float) -> Column:
+    """Of sorted (bin, count) of so many rows the first bin at which the share is reached."""
+    # what the steps compare with goes along in the state, as a lambda's free expression is computed at each element
+    begin = F.struct(F.lit(0).cast("long").alias("t"), F.lit(None).cast("long").alias("b"), F.ceil(rows * share).alias("need"))
+    step = lambda a, x: F.struct((a["t"] + x["n"]).alias("t"), F.when(a["t"] < a["need"], x["b"]).otherwise(a["b"]).alias("b"), a["need"].alias("need"))
     return F.aggregate(bins, begin, step, lambda a: a["b"])
 
 
+def sums_of_nearest(bins: Column, rows: Column, share: float, size: int) -> Column:
+    """Of sorted (bin, count, array of so many sums) of so many rows, the sums of the first bins that reach the share."""
+    begin = F.struct(F.lit(0).cast("long").alias("t"), F.ceil(rows * share).alias("need"), F.array(*[F.lit(0.0)] * size).alias("v"))
+    added = lambda a, x: F.struct((a["t"] + x["n"]).alias("t"), a["need"].alias("need"), F.zip_with(a["v"], x["v"], lambda p, q: p + q).alias("v"))
+    return F.aggregate(bins, begin, lambda a, x: F.when(a["t"] < a["need"], added(a, x)).otherwise(a), lambda a: a["v"])
+
+
 def quantile_by_bins(df: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
     """keys and q: the upper edge of the first bin at which the share of a group's rows is reached; value is not negative."""
     counts = df.groupBy(*keys, bin_of(value).alias("b")).agg(F.count("*").alias("n"))
     sorted_bins = F.sort_array(F.collect_list(F.struct("b", "n")))  # bounded by the number of bins
-    return counts.groupBy(*keys).agg(sorted_bins.alias("bins")).select(*keys, (F.exp((first_bin(F.col("bins"), share) + 1) / BINS) - FLOOR).alias("q"))
+    held = counts.groupBy(*keys).agg(sorted_bins.alias("bins"), F.sum("n").alias("rows"))
+    return held.select(*keys, (F.exp((first_bin(F.col("bins"), F.col("rows"), share) + 1) / BINS) - FLOOR).alias("q"))
 
 
 def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i + 1)]
 
 
-def precision(moments: DataFrame, p: int) -> DataFrame:
-    """Adds the inverse p_i_j of covariances c_i_j (i >= j), by Cholesky factors, and logdet, the logarithm of their determinant."""
-    df = moments
+def factored(moments: DataFrame, p: int) -> DataFrame:
+    """Adds the Cholesky factor l_i_j of covariances c_i_j (i >= j), and logdet, the logarithm of their determinant."""
+    made = []
     for j in range(p):
-        s = F.col(f"c_{j}_{j}")
-        for k in range(j):
-            s = s - F.col(f"l_{j}_{k}") * F.col(f"l_{j}_{k}")
-        df = df.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(s, F.lit(1e-12))))
-        lower = {}
-        for i in range(j + 1, p):
-            s = F.col(f"c_{i}_{j}")
-            for k in range(j):
-                s = s - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            lower[f"l_{i}_{j}"] = s / F.col(f"l_{j}_{j}")
-        df = df.withColumns(lower) if lower else df
-    for i in range(p):
-        row = {}
-        for j in range(i + 1):
-            s = F.lit(1.0 if i == j else 0.0)
-            for k in range(j, i):
-                s = s - F.col(f"l_{i}_{k}") * F.col(f"v_{k}_{j}")
-            row[f"v_{i}_{j}"] = s / F.col(f"l_{i}_{i}")
-        df = df.withColumns(row)
-    inverse = {f"p_{i}_{j}": sum((F.col(f"v_{k}_{i}") * F.col(f"v_{k}_{j}") for k in range(i + 1, p)), F.col(f"v_{i}_{i}") * F.col(f"v_{i}_{j}")) for i, j in _pairs(p)}
+        rest = [F.col(f"c_{i}_{j}") - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0)) for i in range(j, p)]
+        made.append(F.sqrt(F.greatest(rest[0], F.lit(1e-12))).alias(f"l_{j}_{j}"))
+        made += [(r / F.col(f"l_{j}_{j}")).alias(f"l_{i}_{j}") for i, r in enumerate(rest[1:], j + 1)]
     logdet = sum((F.log(f"l_{i}_{i}") for i in range(1, p)), F.log("l_0_0")) * 2
-    made = df.withColumns(inverse | {"logdet": logdet})
-    return made.drop(*[f"{x}_{i}_{j}" for x in "lv" for i, j in _pairs(p)])
+    return moments.select("*", *made, logdet.alias("logdet"))
 
 
-def distance(p: int) -> Column:
-    """Squared Mahalanobis distance of x0, x1, ... from m0, m1, ..."""
-    gap = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(p)]
-    return sum(((1 if i == j else 2) * F.col(f"p_{i}_{j}") * gap[i] * gap[j] for i, j in _pairs(p)), F.lit(0.0))
+def with_distance(df: DataFrame, p: int, name: str) -> DataFrame:
+    """Adds the gaps g_i of x0, x1, ... from m0, m1, ..., and the squared Mahalanobis distance under the factor l_i_j."""
+    gaps = [(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"g{i}") for i in range(p)]
+    solved = [((F.col(f"g{i}") - sum((F.col(f"l_{i}_{k}") * F.col(f"_z{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l_{i}_{i}")).alias(f"_z{i}") for i in range(p)]
+    square = sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(1, p)), F.col("_z0") * F.col("_z0"))
+    return df.select("*", *gaps, *solved, square.alias(name)).drop(*[f"_z{i}" for i in range(p)])
 
 
 def leveled(vectors: DataFrame) -> DataFrame:
@@ -227,27 +219,24 @@ def fit(vectors: DataFrame, most: int = STEPS) -> DataFrame:
     step of all groups and starts: rows are summed in bins of their distance, and the bins up to the subset's are added.
     """
     p, floors = len(FEATURES), [f for _, f in FEATURES]
-    keys, centre, spread = [*LEVEL_KEYS, "_start"], [f"m{i}" for i in range(p)], [f"{x}_{i}_{j}" for x in "cp" for i, j in _pairs(p)]
+    keys, centre, spread = [*LEVEL_KEYS, "_start"], [f"m{i}" for i in range(p)], [f"{x}_{i}_{j}" for x in "cl" for i, j in _pairs(p)]
     df = leveled(vectors)
-    first = precision(starts(df), p).withColumns({"n": F.lit(0).cast("long"), "moved": F.lit(math.inf)})
+    first = factored(starts(df), p).withColumns({"n": F.lit(0).cast("long"), "moved": F.lit(math.inf)})
     model = materialize(first.select(*keys, "n", *centre, *spread, "logdet", "moved"), "model")
     factor = SUBSET / gamma_p(p / 2 + 1, chi_square_quantile(SUBSET, p) / 2)
+    # moments about the last centre, so that no digits cancel: count, sums of gaps, sums of their products
+    moments = [F.sum(f"g{i}") for i in range(p)] + [F.sum(F.col(f"g{i}") * F.col(f"g{j}")) for i, j in _pairs(p)]
     for _ in range(most):
-        placed = df.join(model, LEVEL_KEYS).withColumn("_d", distance(p))
-        # moments about the last centre, so that no digits cancel
-        placed = placed.withColumns({f"g{i}": F.col(f"x{i}") - F.col(f"m{i}") for i in range(p)})
-        products = [F.sum(F.col(f"g{i}") * F.col(f"g{j}")).alias(f"s_{i}_{j}") for i, j in _pairs(p)]
-        bins = materialize(placed.groupBy(*keys, bin_of("_d").alias("b")).agg(F.count("*").alias("n"), *[F.sum(f"g{i}").alias(f"a{i}") for i in range(p)], *products), "bins")
-        held = bins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("bins"), F.sum("n").alias("n"))
-        radius = held.select(*keys, F.col("n").alias("rows"), first_bin(F.col("bins"), SUBSET).alias("last"))
-        near = bins.join(radius, keys).where(F.col("b") <= F.col("last"))
-        sums = near.groupBy(*keys).agg(F.max("rows").alias("rows"), *[(F.sum(f"a{i}") / F.sum("n")).alias(f"a{i}") for i in range(p)], *[(F.sum(f"s_{i}_{j}") / F.sum("n")).alias(f"s_{i}_{j}") for i, j in _pairs(p)])
-        last = model.select(*keys, F.col("logdet").alias("was"), *[F.col(f"m{i}").alias(f"o{i}") for i in range(p)])
-        spreads = {f"c_{i}_{j}": factor * (F.col(f"s_{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}")) + F.lit(floors[i] ** 2 if i == j else 0.0) for i, j in _pairs(p)}
-        made = sums.join(last, keys).withColumns(spreads | {f"m{i}": F.col(f"o{i}") + F.col(f"a{i}") for i in range(p)})
-        made = precision(made, p).select(*keys, F.col("rows").alias("n"), *centre, *spread, "logdet", F.abs(F.col("logdet") - F.col("was")).alias("moved"))
+        placed = with_distance(df.join(model.drop("n", "moved", *spread[: len(spread) // 2]), LEVEL_KEYS), p, "_d")
+        constant = [F.max(c).alias(c) for c in (*centre, "logdet")]
+        bins = placed.groupBy(*keys, bin_of("_d").alias("b")).agg(F.count("*").alias("n"), F.array(F.count("*").cast("double"), *moments).alias("v"), *constant)
+        held = bins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("b", "n", "v"))).alias("bins"), F.sum("n").alias("n"), *constant)
+        near = held.withColumn("v", sums_of_nearest(F.col("bins"), F.col("n"), SUBSET, 1 + len(moments)))
+        mean = {f"a{i}": F.col("v")[1 + i] / F.col("v")[0] for i in range(p)} | {f"s_{i}_{j}": F.col("v")[1 + p + k] / F.col("v")[0] for k, (i, j) in enumerate(_pairs(p))}
+        spreads = [(factor * (F.col(f"s_{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}")) + F.lit(floors[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in _pairs(p)]
+        made = near.withColumns(mean).select(*keys, "n", F.col("logdet").alias("was"), *[(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(p)], *spreads)
+        made = factored(made, p).select(*keys, "n", *centre, *spread, "logdet", F.abs(F.col("logdet") - F.col("was")).alias("moved"))
         before, model = model, materialize(made, "model")
-        discard(bins)
         discard(before)
         if (model.agg(F.max("moved")).first()[0] or 0.0) <= STILL:
             break
@@ -256,7 +245,7 @@ def fit(vectors: DataFrame, most: int = STEPS) -> DataFrame:
 
 
 def chosen(stats: DataFrame, model: DataFrame) -> DataFrame:
-    """Centre and precision that judge each group of stats, written.
+    """Centre and factored covariance that judge each group of stats, written.
 
     A group's own estimate has the weight n / (n + HALF_WEIGHT), the rest goes to its language's, which is mixed in the
     same way with that of all documents. So a group of any size is judged, and no size switches the estimate.
@@ -275,15 +264,15 @@ def chosen(stats: DataFrame, model: DataFrame) -> DataFrame:
         return (n * F.coalesce(F.col(f"{prefix}{c}"), F.lit(0.0)) + HALF_WEIGHT * rest) / (n + HALF_WEIGHT)
 
     shrunk = found.select(*KEYS, *[mixed("g_", c, mixed("l_", c, F.col(f"a_{c}"))).alias(c) for c in names])
-    return materialize(precision(shrunk, p).select(*KEYS, *names[:p], *[f"p_{i}_{j}" for i, j in _pairs(p)]), "chosen")
+    return materialize(factored(shrunk, p).select(*KEYS, *names[:p], *[f"l_{i}_{j}" for i, j in _pairs(p)]), "chosen")
 
 
 def judged(stats: DataFrame, model: DataFrame) -> DataFrame:
     """Adds base_failed, distance and kept to rows with statistics; model is that of chosen()."""
-    columns = stats.columns
-    placed = with_vector(stats).withColumns({f"_{g}": F.coalesce(F.col(g).cast("string"), F.lit("")) for g in GROUP}).join(model, KEYS, "left")
-    out = placed.withColumn("_d2", distance(len(FEATURES))).withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("_d2") > CUT, F.lit(False))).withColumn("distance", F.sqrt("_d2")).select(*columns, "base_failed", "distance", "kept")
+    row = stats.select(F.struct(*stats.columns).alias("_stats"), *[c for c in stats.columns if c != "_row"])
+    placed = with_vector(row).withColumns({f"_{g}": F.coalesce(F.col(g).cast("string"), F.lit("")) for g in GROUP}).join(model, KEYS, "left")
+    out = with_distance(placed, len(FEATURES), "_d2").select("_stats", "_d2", base_failed().alias("base_failed"))
+    return out.select("_stats.*", "base_failed", F.sqrt("_d2").alias("distance"), (~F.col("base_failed") & ~F.coalesce(F.col("_d2") > CUT, F.lit(False))).alias("kept"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
