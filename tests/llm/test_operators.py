@@ -691,13 +691,14 @@ def test_jaccard_prefixes_are_shortened(spark, monkeypatch):
             rows.append((n + 1 + k, " ".join(w)))
         n += 4
     seen = []
-    kept = jaccard.verify_stars
     monkeypatch.setattr(jaccard, "materialize", lambda df, name, f=jaccard.materialize: (lambda out: (seen.append((name, out.count())) if name == "stars" else None, out)[1])(f(df, name)))
     got = by_id(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
     sets, links = jaccard_by_force(dict(rows))
     assert all(got[i].n_links == len(links[i]) and got[i].component_id == reach(links, i) for i in sets)
+    # half the groups have links at 0.8 to 0.9, which whole prefixes miss at times; the others are settled at once, so the
+    # stars of the shortest prefixes, which are wider, hold fewer classes
     sizes = [n for _, n in seen]
-    assert len(sizes) == jaccard.LEVELS - jaccard.least_depth() + 1 and sizes[1] < sizes[0] and kept is jaccard.verify_stars
+    assert len(sizes) == jaccard.LEVELS - jaccard.least_depth() + 1 and sizes[-1] < sizes[0]
 
 
 def test_prefix_reaches_recall():
