@@ -194,3 +194,73 @@ def test_search_batch_scans_once(spark):
     assert set(got) == {(q, k) for q in range(0, 200, 4) for k in range(1, 8)}
     for (q, k), (i, score) in got.items():
         assert i == np.argsort(-scores[q])[k - 1] and abs(score - scores[q, i]) < 1e-12
+
+
+def test_versions_are_created_once(engine, spark):
+    store = engine.store_
+    engine.ingest(facts(spark, ("a", "x", None), ("b", "y", None), ("c", None, None)))
+    version, parts = store._state()
+    engine.store("d", "z", now_ts=NOW)  # adds a part, leaves the others
+    assert store._state()[1][: len(parts)] == parts and store.version() == version + 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._commit(version, parts)
+    before = engine.points
+    engine.delete_source("x").commit()  # only that source's rows go
+    assert all(p["without"] == ["x"] for p in store._state()[1][:-1])
+    assert {r.text for r in engine.points.collect()} == {"b", "c", "d"} and before.count() == 4
+    engine.delete_text("c").commit()
+    assert {r.text for r in engine.points.collect()} == {"b", "d"}
+    # a version file that is being written doesn't count
+    from engram.shared import create_file
+
+    create_file(spark, store._version_path(store.version() + 1), b"[{")
+    assert {r.text for r in engine.points.collect()} == {"b", "d"}
+
+
+def test_parts_are_put_together(engine, spark, monkeypatch):
+    from engram.operators import store
+
+    monkeypatch.setattr(store, "MOST_PARTS", 3)
+    for i in range(6):
+        engine.store(f"text {i}", "s", now_ts=NOW)
+    assert engine.points.count() == 6 and len(engine.store_._state()[1]) <= 3
+    assert engine.store_.vacuum(1) > 0 and engine.points.count() == 6
+
+
+def test_identifiers_are_normalized(engine, spark):
+    assert [scalars.normalize_id(x) for x in ("007", 7, " 7", "7a", "-1")] == ["7", "7", "7", "7a", "-1"]
+    engine.ingest(facts(spark, ("a", "x", None)))
+    row = engine.points.first()
+    assert engine.show(f"0{row.id}").count() > 3 and engine.delete_ids([f"0{row.id}"]).commit() == 1
+
+
+def test_settings(spark):
+    spark.conf.set("spark.engram.collection", "notes-v2")
+    try:
+        assert Config.from_settings(spark, {"ENGRAM_LIMIT": "3", "ENGRAM_COLLECTION": "other"}) == Config("notes-v2", limit=3)
+        assert Config.from_settings(spark, {}, collection="given").collection == "given"
+    finally:
+        spark.conf.unset("spark.engram.collection")
+    assert Config.from_settings(spark, {"COLLECTION_NAME": "c"}).collection == "c" and Config.from_settings(spark, {}).collection == "memory"
+
+
+def test_cli_ingests_and_prints(engine, spark, tmp_path):
+    (tmp_path / "www/p1").mkdir(parents=True)
+    (tmp_path / "www/p1/README.md").write_text("a paragraph that is longer than thirty characters")
+    (tmp_path / "units").mkdir()
+    (tmp_path / "units/bad.service").write_bytes(b"ExecStart=\xff")
+    (tmp_path / "units/web.service").write_text("ExecStart=/bin/w")
+    (tmp_path / "log.md").write_text("## 2026-08-10 \u2014 title\n- detail\n")
+    root = ["--root", engine.store_.root, "--collection", "memory-v2"]
+    paths = ["--www-root", f"{tmp_path}/www", "--unit-dir", f"{tmp_path}/units", "--changelog", f"{tmp_path}/log.md", "--docs", f"{tmp_path}/none.md", "--proxy-dir", f"{tmp_path}/none"]
+    said = run(spark, [*root, "ingest", *paths])
+    assert "skipped" in said and "bad.service" in said and "systemd: 1 facts" in said and "instructions: 1 facts" in said and "vps-docs: failed" in said and "4 of 6 sources ready" in said
+    assert run(spark, [*root, "ingest", "changelog", "--replace", *paths]).startswith("changelog: 2 facts")
+    with pytest.raises(KeyError):
+        run(spark, [*root, "ingest", "nothing", *paths])
+    hits = run(spark, [*root, "search", "paragraph longer characters", "1"]).split("\n")
+    assert len(hits) == 2 and hits[0].startswith("score=") and "src=project-p1" in hits[0] and hits[1].strip().startswith("text: [p1]")
+    one = engine.points.where("source = 'changelog'").first().id
+    told = run(spark, [*root, "edit-payload", one, "section=x", "nonsense", "--yes"])
+    assert "nonsense" in told and told.endswith("1 points changed")
+    assert "section: x" in run(spark, [*root, "show", one])
