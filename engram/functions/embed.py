@@ -57,10 +57,12 @@ class ModelEmbedder:
     """Any function from a list of texts to vectors, made once in a worker by load()."""
 
     def __init__(self, load, dim: int = 384):
-        self.load, self.dim = load, dim
+        self.load, self.dim, self._model = load, dim, None
 
     def vector(self, text: str) -> list[float]:
-        return list(self.load()([text])[0])
+        if self._model is None:
+            self._model = self.load()
+        return list(self._model([text])[0])
 
     def column(self, text: Column) -> Column:
         load = self.load
