@@ -55,6 +55,19 @@ s AS (SELECT doc_id, sum(CASE WHEN p2 IS NOT NULL AND c3 > 0 THEN ln(c3 / b3) WH
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(total, 0), 6) AS log_score, round(total / nullif(len(ws), 0), 6) AS mean_log_score FROM d LEFT JOIN s USING (doc_id)"""
 
 
+_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+LEAKS = rf"""WITH d AS (SELECT doc_id, {_FOLDED} AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_FOLDED} AS ws FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(10, len(ws)) AS k, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS win FROM b, unnest(range(1, greatest(2, len(ws) - 8))) r(i) WHERE len(ws) > 0),
+g AS (SELECT DISTINCT k, win FROM p),
+x AS (SELECT doc_id, i, k, array_to_string(ws[i : i + k - 1], ' ') AS win FROM d, (SELECT DISTINCT k FROM g), unnest(range(1, len(ws) - k + 2)) r(i)),
+h AS (SELECT doc_id, i, k, win FROM x JOIN g USING (k, win)),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, unnest(range(k)) r(j) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h JOIN p USING (k, win)) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def _cholesky(p: int, columns: str, rows: str) -> str:
     """rows (columns and c_i_j) with p_i_j, the inverse of c_i_j, and logdet. A query for each column of the factor, as
     DuckDB writes an alias that is used in its own select list out in full."""

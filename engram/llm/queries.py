@@ -92,10 +92,16 @@ def op6_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fmindex import contaminated_spans, digest_hits
+
+    return digest_hits(contaminated_spans(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_sstable, op4_quality_mcd, op5_license_scan, op6_pivot_index, op7_lsh_forest, op8_packing, op9_stupid_backoff, op10_chunked_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_sstable, op4_quality_mcd, op5_license_scan, op6_pivot_index, op7_lsh_forest, op8_packing, op9_stupid_backoff, op10_chunked_bpe, op11_fm_index)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Rules by regex and byte-pair encoding have none; their operators are tested by brute force."""
-    return {"op1_chat_format": oracles.CHAT, "op2_substring_dedup": oracles.SUBSTRING, "op4_quality_mcd": oracles.quality_sql(), "op6_pivot_index": oracles.EMBEDDINGS, "op7_lsh_forest": oracles.JACCARD, "op9_stupid_backoff": oracles.BACKOFF}
+    return {"op1_chat_format": oracles.CHAT, "op2_substring_dedup": oracles.SUBSTRING, "op4_quality_mcd": oracles.quality_sql(), "op6_pivot_index": oracles.EMBEDDINGS, "op7_lsh_forest": oracles.JACCARD, "op9_stupid_backoff": oracles.BACKOFF, "op11_fm_index": oracles.LEAKS}
