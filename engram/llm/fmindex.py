@@ -46,7 +46,7 @@ def suffix_order(s: np.ndarray, symbols: int) -> np.ndarray:
     """
     n = len(s)
     bits = max(1, int(symbols - 1).bit_length())
-    depth = 63 // bits
+    depth = min(63 // bits, n)
     key = np.zeros(n, np.int64)
     for i in range(depth):
         key <<= bits
@@ -370,9 +370,9 @@ def merge_parts(parts: pa.Table) -> pa.Table:
     spans = pc.list_flatten(parts["spans"]).combine_chunks()
     order = np.argsort(start := spans.field("start").to_numpy(), kind="stable")
     start, end = start[order], np.maximum.accumulate(spans.field("end").to_numpy()[order])
-    new = np.ones(len(start), bool)
-    new[1:] = start[1:] > end[:-1]
-    merged = [{"start": a, "end": b} for a, b in zip(start[new].tolist(), end[np.append(new[1:], True)].tolist(), strict=True)]
+    first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]][: len(start)])
+    last = np.r_[first[1:], len(end)][: len(first)] - 1
+    merged = [{"start": a, "end": b} for a, b in zip(start[first].tolist(), end[last].tolist(), strict=True)]
     # a part comes once for each block of phrases
     words = parts.group_by("start").aggregate([("n_words", "max")])["n_words_max"]
     values = {"doc_id": parts["doc_id"][0].as_py(), "n_words": pc.sum(words).as_py(), "spans": merged, "items": sorted(set(pc.list_flatten(parts["items"]).to_pylist()))}
@@ -402,9 +402,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     columns = ("doc_id", "n_words", "spans", "items")
     if blocks == 1:
-        found = search_shards(shards, phrases(0))
-        # few texts are longer than a shard
-        whole, several = found.where("pieces = 1").select(*columns), found.where("pieces > 1")
+        asked, cut = phrases(0), F.exists("parts", lambda p: p["pieces"] > 1)
+        whole = search_shards(shards, asked).where("pieces = 1").select(*columns)
+        # few texts are longer than a shard, so few shards are searched for them
+        several = search_shards(shards.where(cut), asked).where("pieces > 1")
     else:
         found = reduce(DataFrame.unionByName, [materialize(search_shards(shards, phrases(b)), "found") for b in range(blocks)])
         whole, several = None, found
@@ -415,3 +416,26 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 def digest_hits(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+_IS_WORD = np.array([FOLD[b] != 0x20 for b in range(256)])
+
+
+def cut_spans(found: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """found with the words of its spans, and what stands between them in a span, cut out of its text; null spans cut nothing."""
+
+    def cut(value: bytes, ranges: list[dict]) -> bytes:
+        edges = np.flatnonzero(np.diff(_IS_WORD[np.frombuffer(value, np.uint8)].view(np.int8), prepend=0, append=0))
+        out, at = [], 0
+        for r in ranges:
+            out.append(value[at : edges[2 * r["start"]]])
+            at = int(edges[2 * r["end"] - 1])
+        return b"".join([*out, value[at:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [cut(t.as_py(), r.as_py()) if t.is_valid and r.is_valid and len(r) else t.as_py() for t, r in zip(batch[text].cast(pa.binary()), batch[spans], strict=True)]
+            at = batch.schema.get_field_index(text)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(values, pa.binary()).cast(batch.schema.field(at).type))
+
+    return found.mapInArrow(trimmed(run), found.schema)

@@ -98,8 +98,14 @@ def op11_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_hits(contaminated_spans(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periods import digest_runs, periodic_runs, with_planted_tails
+
+    return digest_runs(periodic_runs(with_planted_tails(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_sstable, op4_quality_mcd, op5_license_scan, op6_pivot_index, op7_lsh_forest, op8_packing, op9_stupid_backoff, op10_chunked_bpe, op11_fm_index)}
+    return {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_sstable, op4_quality_mcd, op5_license_scan, op6_pivot_index, op7_lsh_forest, op8_packing, op9_stupid_backoff, op10_chunked_bpe, op11_fm_index, op12_lyndon_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
