@@ -104,8 +104,14 @@ def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_runs(periodic_runs(with_planted_tails(table(spark, sf_dir, "documents"))))
 
 
+def op13_spelling_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants, with_slips, word_counts
+
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), edit=with_slips))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_sstable, op4_quality_mcd, op5_license_scan, op6_pivot_index, op7_lsh_forest, op8_packing, op9_stupid_backoff, op10_chunked_bpe, op11_fm_index, op12_lyndon_runs)}
+    return {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_sstable, op4_quality_mcd, op5_license_scan, op6_pivot_index, op7_lsh_forest, op8_packing, op9_stupid_backoff, op10_chunked_bpe, op11_fm_index, op12_lyndon_runs, op13_spelling_automata)}
 
 
 def oracle_sql() -> dict[str, str]:

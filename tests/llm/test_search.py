@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from engram.llm import fmindex, periods
+from engram.llm import fmindex, periods, spelling
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 FOLDED = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -222,3 +222,88 @@ def test_digest_of_planted_tails(spark):
         assert r.runs_sha256 == sha("".join(f"{a},{k},{p}\n" for a, k, p in runs))
         assert r.collapsed_sha256 == sha(" ".join(x for i, x in enumerate(w) if i not in gone))
     assert changed > 5
+
+
+# 13
+
+
+def edits(word, alphabet):
+    out = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    out |= {word[:i] + c + word[i:] for i in range(len(word) + 1) for c in alphabet}
+    out |= {word[:i] + c + word[i + 1 :] for i in range(len(word)) for c in alphabet}
+    return out - {word}
+
+
+def variants(n, ratio=2):
+    """word to (form, root, n, n_near, form_n)."""
+    alphabet, form, near = set("".join(n)), {}, {}
+    for w in n:
+        near[w] = [v for v in edits(w, alphabet) if v in n]
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= ratio * n[w] else None
+    out = {}
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n[w], len(near[w]), n.get(form[w]))
+    return out
+
+
+def small_vocabulary(rng, alphabet="ab\u00e9", size=300):
+    n = {}
+    for _ in range(size):
+        n["".join(rng.choices(alphabet, k=rng.randint(5, 9)))] = rng.choice([3, 4, 6, 7, 12, 50, 100])
+    return n
+
+
+@pytest.mark.parametrize(("bucket_rows", "most_alike"), [(30_000, 20_000), (50, 20_000), (200, 10)])
+def test_spelling_variants(spark, bucket_rows, most_alike):
+    """One automaton a direction; many; halves that many words share, in blocks."""
+    n = small_vocabulary(random.Random(4)) | {"aaaaa": 9, "aaaaaa": 9, "aaaaaaa": 18, "x" * 300: 5, "x" * 299: 11}
+    rows = [(w, k, 0) for w, k in n.items()] + [("abc", 50, 0), ("rarer", 2, 0), (None, 9, 0)]
+    counts = spark.createDataFrame(rows, "word string, n long, root int").repartition(3)
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.spelling_variants(counts, bucket_rows=bucket_rows, most_alike=most_alike).collect()}
+    assert got == variants(n)
+
+
+def test_spelling_long_chains_and_empty(spark):
+    chain = ["abcdefghijklmnopqrst"[:i] for i in range(5, 20)]
+    counts = spark.createDataFrame([(w, 3 * 2**i) for i, w in enumerate(chain)], "word string, n long")
+    assert {r.root for r in spelling.spelling_variants(counts).collect()} == {chain[-1]}
+    assert spelling.spelling_variants(counts.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        spelling.spelling_variants(counts, ratio=1)
+
+
+def test_word_counts_with_slips(spark):
+    rng = random.Random(5)
+    words = ["Abcde", "\u00c9t\u00e9s", "na\u00efve", "stra\u00dfe", "x\u00d7y", "\u0141\u00f3d\u017a", "don't", "b\u00c0\u00c0b"]
+    rows = [(i % 300 if i % 50 else None, " ".join(rng.choices(words, k=12)) + ",\n1x2") for i in range(400)] + [(1, None), (2, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, word int").repartition(3)
+    want, slips = collections.Counter(), 0
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            w = run.translate(LOWER)
+            h = zlib.crc32(f"{doc_id}:{w}".encode()) if doc_id is not None else 1
+            if h % 97 == 0:
+                w, slips = w[: h % len(w)] + w[h % len(w) + 1 :], slips + 1
+            if w:
+                want[w] += 1
+    assert slips > 10
+    got = [(r.word, r.n) for r in spelling.word_counts(docs, edit=spelling.with_slips).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_automaton_is_minimal_and_numbers_words():
+    rng = random.Random(6)
+    words = sorted(small_vocabulary(rng, "ab", 60))
+    automaton = spelling.Automaton(words)
+    for i, w in enumerate(words):
+        state, number = automaton.read(w)
+        assert number == i and automaton.final[state]
+        for exact in range(len(w) + 1):
+            assert {words[x] for x in automaton.near(w, exact)} == {v for v in edits(w, "ab") if v in words and v[:exact] == w[:exact]}
+    # as many states as there are different sets of endings
+    endings = {w[:i]: frozenset(v[i:] for v in words if v.startswith(w[:i])) for w in words for i in range(len(w) + 1)}
+    assert len(automaton.final) == len(set(endings.values()))
