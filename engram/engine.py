@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
@@ -16,34 +16,50 @@ from .functions.scalars import content_ts, contains_text, normalize_id, point_id
 from .functions.scrub import scrub
 from .operators import audit
 from .operators import search as searching
-from .operators.store import MOST_SOURCES, Store, append_new, last_wins, touched
+from .operators.store import COLUMNS, MOST_SOURCES, PLACE, Snapshot, Store, append_new, last_wins, touched, with_ids
+from .operators.vectors import VectorTable
 from .schema import CORE_KEYS
+from .shared import remove_path, scratch_path
+
+#: Points that are written in one task, without an exchange.
+FEW = 1000
 
 
 @dataclass
 class Change:
-    """affected: the points a change touches, as they are. Nothing changes before commit(), which backs them up first."""
+    """A plan over the version it was made on: located, the points it touches, with their places. Nothing changes before
+    commit(), which backs them up first and is refused if another writer has published meanwhile.
+
+    renew gives what takes their place; without it they go. A source that goes as a whole is left out by name.
+    """
 
-    affected: DataFrame
-    apply: Callable[[DataFrame], DataFrame]
+    located: DataFrame
     store: Store
+    base: Snapshot
     name: str
+    renew: Callable[[DataFrame], DataFrame] | None = None
+    source: str | None = None
+
+    @property
+    def affected(self) -> DataFrame:
+        return self.located.select(*COLUMNS)
 
     def count(self) -> int:
-        return self.affected.count()
+        return self.located.count()
 
     def commit(self) -> int:
-        """Backs up, writes the rows of the sources it touches anew and returns the number of points touched."""
-        n = self.count()
+        """Backs up, marks the rows dead, writes those in their place and returns the number of points touched."""
+        path, seen = scratch_path(self.store.spark, "change"), Observation()
+        self.located.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        n = seen.get["n"]
         if n:
-            self.store.backup(self.affected, self.name)
-            sources, points = touched(self.affected), self.store.points()
-            if len(sources) > MOST_SOURCES:
-                self.store.publish(self.apply(points))
+            rows = self.store.spark.read.schema(self.located.schema).parquet(path)
+            self.store.backup(rows, self.name)
+            if self.source is not None:
+                self.store.replace([self.source], None, self.base)
             else:
-                named = F.coalesce(F.col("source").isin([s for s in sources if s is not None]), F.lit(False))
-                own = points.where(named | F.col("source").isNull() if None in sources else named)
-                self.store.replace(sources, self.apply(own))
+                self.store.change(rows, self.renew(rows.drop(*PLACE)) if self.renew else None, self.base, few=n <= FEW)
+        remove_path(self.store.spark, path)
         return n
 
 
@@ -53,6 +69,7 @@ class MemoryEngine:
         spark.conf.set("spark.sql.session.timeZone", self.config.time_zone)
         self.store_ = Store(spark, root, self.config)
         self.provider = provider or HashingEmbedder(self.config.base_dim)
+        self.vectors = VectorTable(spark, root, self.provider)
 
     # reads
 
@@ -68,7 +85,8 @@ class MemoryEngine:
         query = self.provider.vector(text)
         if self.config.time_aware:
             query = query + list(self.spark.range(1).select(time_features(F.lit(int(now)))).first()[0])
-        return searching.search(self.points, query, now, limit or self.config.limit, fresh, since, window_days, self.config.decay if rate is None else rate, self.config.overshoot)
+        points = self.store_.points(since=searching.time_bound(now, since, window_days, self.config.time_zone))
+        return searching.search(points, query, now, limit or self.config.limit, fresh, since, window_days, self.config.decay if rate is None else rate, self.config.overshoot, time_zone=self.config.time_zone)
 
     def stats(self) -> DataFrame:
         return audit.stats(self.points).orderBy("source")
@@ -100,21 +118,18 @@ class MemoryEngine:
 
     # changes
 
-    def _vector(self, text: Column, ts: Column) -> Column:
-        made = self.provider.column(text)
-        return with_time(made, ts) if self.config.time_aware else made
+    def _embedded(self, rows: DataFrame, ts: Column, few: bool = False) -> DataFrame:
+        """rows with the vectors of their texts in place of vector."""
+        made = self.vectors.embed(rows.withColumn("_ts", ts), few)
+        vector = with_time(F.col("made"), F.col("_ts")) if self.config.time_aware else F.col("made")
+        return made.withColumn("vector", vector).select(*COLUMNS)
 
     def _now(self, now_ts: float | None) -> Column:
         return F.lit(int(time.time() if now_ts is None else now_ts)).cast("long")
 
-    def _replace(self, condition: Column, columns: Mapping[str, Column], name: str) -> Change:
-        """Rows under a condition with new columns; the others pass by the embedding."""
-
-        def apply(points: DataFrame) -> DataFrame:
-            hit = F.coalesce(condition, F.lit(False))
-            return points.where(~hit).unionByName(points.where(hit).withColumns(dict(columns)))
-
-        return Change(self.points.where(condition), apply, self.store_, name)
+    def _change(self, condition: Column, name: str, renew: Callable[[DataFrame], DataFrame] | None = None) -> Change:
+        base = self.store_.snapshot()
+        return Change(self.store_.located(base).where(condition), self.store_, base, name, renew)
 
     def store(self, text: str, source: str = "manual", now_ts: float | None = None) -> str:
         """Adds one point under a new identifier; equal texts are not merged."""
@@ -123,19 +138,19 @@ class MemoryEngine:
         ts = self._now(now_ts)
         point = row.select(
             "id", F.lit(None).cast("long").alias("id_num"), "text", "source", *[F.lit("").alias(c) for c in ("section", "file_path", "type")],
-            (ts if self.config.time_aware else F.lit(None).cast("long")).alias("ts_epoch"), F.create_map().cast("map<string,string>").alias("extra"), self._vector(F.col("text"), ts).alias("vector"),
+            (ts if self.config.time_aware else F.lit(None).cast("long")).alias("ts_epoch"), F.create_map().cast("map<string,string>").alias("extra"),
         )
-        self.store_.append(point)
+        self.store_.append(self._embedded(point, ts, few=True), few=True)
         return new_id
 
     def edit(self, point_id: str, text: str | None = None, now_ts: float | None = None) -> Change:
         """A new text, scrubbed and embedded again; without one, a preview that changes nothing."""
-        if not text:
-            return Change(self._one(point_id).limit(0), lambda points: points, self.store_, "edit")
         self._one(point_id)
+        if not text:
+            return self._change(F.lit(False), "edit")
         new, now = scrub(F.lit(text), self.config.blacklist), self._now(now_ts)
-        columns = {"text": new, "vector": self._vector(new, now)}
-        return self._replace(F.col("id") == normalize_id(point_id), columns | ({"ts_epoch": now} if self.config.time_aware else {}), "edit")
+        columns = {"text": new} | ({"ts_epoch": now} if self.config.time_aware else {})
+        return self._change(F.col("id") == normalize_id(point_id), "edit", lambda rows: self._embedded(rows.withColumns(columns), now, few=True))
 
     def edit_payload(self, point_id: str, pairs: Mapping[str, str]) -> Change:
         """Sets keys of one point; its vector stays. Texts are scrubbed; a ts_epoch that is no number becomes null."""
@@ -149,30 +164,32 @@ class MemoryEngine:
             new = F.create_map(*[x for k, v in extra.items() for x in (F.lit(k), F.lit(v))])
             old = F.map_filter(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(list(extra)))
             columns["extra"] = F.map_concat(old, new)
-        return self._replace(F.col("id") == normalize_id(point_id), columns, "edit-payload")
+        return self._change(F.col("id") == normalize_id(point_id), "edit-payload", lambda rows: rows.withColumns(columns))
 
     def update_vector(self, point_id: str, time_mode: str = "now", now_ts: float | None = None) -> Change:
         self._one(point_id)
         ts = self._now(now_ts) if time_mode == "now" else F.coalesce("ts_epoch", self._now(now_ts))
-        return self._replace(F.col("id") == normalize_id(point_id), {"vector": self._vector(F.col("text"), ts)}, "update-vector")
+        return self._change(F.col("id") == normalize_id(point_id), "update-vector", lambda rows: self._embedded(rows, ts, few=True))
 
     def reindex_source(self, source: str, preserve_ts: bool = False, now_ts: float | None = None) -> Change:
         """Embeds a source's texts again; a time-aware collection's points become fresh unless preserve_ts."""
         now = F.coalesce("ts_epoch", self._now(now_ts)) if preserve_ts else self._now(now_ts)
-        columns = {"vector": self._vector(F.col("text"), now)} | ({"ts_epoch": now} if self.config.time_aware else {})
-        return self._replace(F.col("source") == source, columns, "reindex")
 
-    def _delete(self, condition: Column, name: str) -> Change:
-        return Change(self.points.where(condition), lambda points: points.where(~F.coalesce(condition, F.lit(False))), self.store_, name)
+        def renew(rows: DataFrame) -> DataFrame:
+            return self._embedded(rows.withColumn("ts_epoch", now) if self.config.time_aware else rows, now)
+
+        return self._change(F.col("source") == source, "reindex", renew)
 
     def delete_ids(self, ids: list[str]) -> Change:
-        return self._delete(F.col("id").isin([normalize_id(i) for i in ids]), "delete-id")
+        base = self.store_.snapshot()
+        return Change(with_ids(self.store_.located(base), [normalize_id(i) for i in ids]), self.store_, base, "delete-id")
 
     def delete_source(self, source: str) -> Change:
-        return self._delete(F.col("source") == source, "delete-source")
+        base = self.store_.snapshot()
+        return Change(self.store_.located(base).where(F.col("source") == source), self.store_, base, "delete-source", source=source)
 
     def delete_text(self, fragment: str) -> Change:
-        return self._delete(contains_text(F.col("text"), fragment), "delete-text")
+        return self._change(contains_text(F.col("text"), fragment), "delete-text")
 
     def delete_fragment(self, fragment: str | None = None, regex: str | None = None, source: str | None = None) -> Change:
         if regex:
@@ -181,46 +198,53 @@ class MemoryEngine:
                 self.spark._jvm.java.util.regex.Pattern.compile(f"(?iuU){regex}")
             except Exception as e:
                 raise ValueError(f"no valid pattern: {regex}") from e
-        return self._delete(audit.fragment_match(fragment, regex, source), "delete-fragment")
+        return self._change(audit.fragment_match(fragment, regex, source), "delete-fragment")
 
     def dedupe(self, by_source: bool = False) -> Change:
-        gone = audit.dedupe_ranked(self.points, by_source).where(~F.col("keep"))
-        affected = self.points.join(gone.select("id"), "id", "left_semi")
-        return Change(affected, lambda points: points.join(gone.select("id"), "id", "left_anti"), self.store_, "dedupe")
+        base = self.store_.snapshot()
+        points = self.store_.located(base)
+        gone = audit.dedupe_ranked(points.select(*COLUMNS), by_source).where(~F.col("keep"))
+        return Change(points.join(gone.select("id"), "id", "left_semi"), self.store_, base, "dedupe")
 
     # ingest
 
-    def points_of(self, facts: DataFrame, existing: DataFrame | None = None, mtimes: DataFrame | None = None) -> DataFrame:
-        """Facts scrubbed, named by content, the last of equal ones kept, those that exist left out, then embedded."""
+    def named(self, facts: DataFrame) -> DataFrame:
+        """Facts scrubbed and named by content, of equal ones the last."""
         named = facts.withColumn("text", scrub(F.col("text"), self.config.blacklist)).withColumn("id_num", point_id(F.col("source"), F.col("text")))
-        named = last_wins(named.withColumn("id", F.col("id_num").cast("string")))
-        if existing is not None:
-            named = append_new(existing, named)
-        path = resolve_path(F.col("file_path"), self.config.special_paths, self.config.path_map)
-        named = named.withColumn("_path", path)
+        return last_wins(named.withColumn("id", F.col("id_num").cast("string")))
+
+    def points_of(self, named: DataFrame, mtimes: DataFrame | None = None, few: bool = False) -> DataFrame:
+        """Points of named facts, with the times of their content and their vectors."""
+        named = named.withColumn("_path", resolve_path(F.col("file_path"), self.config.special_paths, self.config.path_map))
         if mtimes is not None:
             named = named.join(mtimes.select(F.col("path").alias("_path"), F.unix_timestamp("mtime").alias("_mtime")), "_path", "left")
         else:
             named = named.withColumn("_mtime", F.lit(None).cast("long"))
-        ts = content_ts(F.col("date"), F.col("text"), F.col("_mtime"), self.config.fallback_date)
-        named = named.withColumn("_ts", ts)
-        return named.select(
-            "id", "id_num", "text", "source", "section", "file_path", "type", (F.col("_ts") if self.config.time_aware else F.lit(None).cast("long")).alias("ts_epoch"),
-            F.create_map().cast("map<string,string>").alias("extra"), self._vector(F.col("text"), F.col("_ts")).alias("vector"),
-        )
+        ts = content_ts(F.col("date"), F.col("text"), F.col("_mtime"), self.config.fallback_date, self.config.time_zone)
+        dated = named.withColumns({"_at": ts, "extra": F.create_map().cast("map<string,string>")})
+        return self._embedded(dated.withColumn("ts_epoch", F.col("_at") if self.config.time_aware else F.lit(None).cast("long")), F.col("_at"), few)
 
     def ingest(self, facts: DataFrame, mode: str = "replace", mtimes: DataFrame | None = None) -> int:
-        """Stores facts: replace clears the facts' sources first, append adds those that are new. No facts: no change."""
-        if facts.isEmpty():
-            return 0
-        points = self.points
-        if mode == "append":
-            self.store_.append(self.points_of(facts, points, mtimes))
-        else:
-            new, sources = self.points_of(facts, None, mtimes), touched(facts)
-            if len(sources) > MOST_SOURCES:
-                gone = facts.select("source").distinct().withColumnRenamed("source", "_s")
-                self.store_.publish(points.join(gone, F.col("source").eqNullSafe(F.col("_s")), "left_anti").unionByName(new))
+        """Stores facts: replace clears the facts' sources first, append adds those that are new. No facts: no change.
+
+        Returns the number of different facts. These are written to the shared folder once, and all that follows reads
+        them there; it ends in a commit on the version that stood when it began, or in none.
+        """
+        base, path, seen = self.store_.snapshot(), scratch_path(self.spark, "facts"), Observation()
+        named = self.named(facts).observe(seen, F.count(F.lit(1)).alias("n"))
+        named.write.parquet(path)
+        n = seen.get["n"]
+        if n:
+            named, few = self.spark.read.schema(named.schema).parquet(path), n <= FEW
+            if mode == "append":
+                self.store_.append(self.points_of(append_new(self.store_.points(base), named), mtimes, few), base, few)
             else:
-                self.store_.replace(sources, new)
-        return facts.select(point_id(F.col("source"), F.col("text"))).distinct().count()
+                sources = touched(named)
+                new = self.points_of(named, mtimes, few)
+                if len(sources) > MOST_SOURCES:
+                    gone = named.select("source").distinct().withColumnRenamed("source", "_s")
+                    self.store_.publish(self.store_.points(base).join(gone, F.col("source").eqNullSafe(F.col("_s")), "left_anti").unionByName(new), base)
+                else:
+                    self.store_.replace(sources, new, base, few)
+        remove_path(self.spark, path)
+        return n

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import UTC, datetime
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,13 +96,13 @@ def resolve_path(path: Column, special: Mapping[str, str], prefixes: Mapping[str
     return F.when(F.coalesce(path, F.lit("")) != "", out)
 
 
-def content_ts(date: Column, text: Column, mtime: Column, fallback_date: str = "2026-05-01") -> Column:
+def content_ts(date: Column, text: Column, mtime: Column, fallback_date: str = "2026-05-01", time_zone: str = "UTC") -> Column:
     """Epoch of a fact's content: its date with the minute, its date, the greatest date in its text, the file's time,
-    then a fixed day. A step that does not parse falls to the next."""
+    then midnight of a fixed day in a time zone. A step that does not parse falls to the next."""
     minute = F.regexp_extract(date, DATE_TIME, 0)
     day = F.regexp_extract(date, DATE, 0)
     steps = [F.unix_timestamp(F.try_to_timestamp(minute, F.lit("yyyy-MM-dd HH:mm"))), _midnight(day), _midnight(extract_date(text)), mtime.cast("long")]
-    fixed = int(datetime.strptime(fallback_date, "%Y-%m-%d").replace(tzinfo=UTC).timestamp())
+    fixed = int(datetime.strptime(fallback_date, "%Y-%m-%d").replace(tzinfo=ZoneInfo(time_zone)).timestamp())
     return F.coalesce(*steps, F.lit(fixed).cast("long"))
 
 

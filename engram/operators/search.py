@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import UTC, datetime
+from datetime import datetime
 from functools import reduce
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,14 +13,19 @@ from pyspark.sql import functions as F
 from ..functions.scalars import age_days, decay, dot, norm, point_ts
 
 
-def since_epoch(day: str) -> int:
-    """Midnight of a day YYYY-MM-DD; ValueError for anything else."""
-    return int(datetime.strptime(day, "%Y-%m-%d").replace(tzinfo=UTC).timestamp())
+def since_epoch(day: str, time_zone: str = "UTC") -> int:
+    """Midnight of a day YYYY-MM-DD where the time zone is; ValueError for anything else."""
+    return int(datetime.strptime(day, "%Y-%m-%d").replace(tzinfo=ZoneInfo(time_zone)).timestamp())
 
 
-def time_filter(points: DataFrame, now_ts: float, since: str | None = None, window_days: float | None = None) -> DataFrame:
-    """Points at or after a bound. A window overrides since; 0 is no window. Points without ts_epoch don't match a bound."""
-    bound = now_ts - window_days * 86400 if window_days else since_epoch(since) if since else None
+def time_bound(now_ts: float, since: str | None = None, window_days: float | None = None, time_zone: str = "UTC") -> float | None:
+    """The least ts_epoch that counts: a window overrides since; 0 is no window."""
+    return now_ts - window_days * 86400 if window_days else since_epoch(since, time_zone) if since else None
+
+
+def time_filter(points: DataFrame, now_ts: float, since: str | None = None, window_days: float | None = None, time_zone: str = "UTC") -> DataFrame:
+    """Points at or after a bound. Points without ts_epoch don't match a bound."""
+    bound = time_bound(now_ts, since, window_days, time_zone)
     return points if bound is None else points.where(F.expr("try_cast(ts_epoch AS bigint)") >= F.lit(bound))
 
 
@@ -39,7 +45,7 @@ def cosine_scores(points: DataFrame, query: Sequence[float], vector: str = "vect
     return points.where(F.col(vector).isNotNull()).select("*", F.explode(some).alias("raw_score"))
 
 
-def search(points: DataFrame, query: Sequence[float], now_ts: float, limit: int = 10, fresh: bool = True, since: str | None = None, window_days: float | None = None, rate: float = 0.01, overshoot: int = 3, vector: str = "vector") -> DataFrame:
+def search(points: DataFrame, query: Sequence[float], now_ts: float, limit: int = 10, fresh: bool = True, since: str | None = None, window_days: float | None = None, rate: float = 0.01, overshoot: int = 3, vector: str = "vector", time_zone: str = "UTC") -> DataFrame:
     """rank, id, final_score, raw_score, age_days, source, text of the best points.
 
     The limit * overshoot best by cosine are candidates; these alone are decayed by age and ordered anew. A point
@@ -48,7 +54,7 @@ def search(points: DataFrame, query: Sequence[float], now_ts: float, limit: int
     Both orders are a top-k kept by each task, without an exchange of points. For that, points without a score are
     ordered last and dropped behind the first limit, and age and final score are one projection.
     """
-    chosen = time_filter(points, now_ts, since, window_days).where(F.col(vector).isNotNull()).withColumn("raw_score", _cosine(query, vector))
+    chosen = time_filter(points, now_ts, since, window_days, time_zone).where(F.col(vector).isNotNull()).withColumn("raw_score", _cosine(query, vector))
     candidates = chosen.orderBy(F.desc_nulls_last("raw_score"), "id").limit(limit * overshoot)
     age = age_days(point_ts(F.expr("try_cast(ts_epoch AS bigint)"), F.col("text")), now_ts)
     final = F.coalesce(F.col("raw_score") * decay(age, rate), F.col("raw_score")) if fresh else F.col("raw_score")

@@ -5,27 +5,53 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..schema import POINT
-from ..shared import create_file, list_names, read_file, remove_path
+from ..shared import age_seconds, create_file, list_names, read_file, remove_path
 
-#: Parts of a version beyond which the next write puts all points into one; the most sources that a write replaces by name.
-MOST_PARTS, MOST_SOURCES = 64, 1000
+#: Parts of a version beyond which the next write puts the smaller ones together; sources that a write replaces by name;
+#: sets of dead rows of a part beyond which the next change puts them into one.
+MOST_PARTS, MOST_SOURCES, MOST_DEAD = 64, 1000, 64
+#: Identifiers that are looked up as literals, which reach the scan; more are joined.
+MOST_LITERALS = 10
+#: How long a part may be in the making before vacuum takes it for a crashed writer's.
+STALE_SECONDS = 86_400
+#: Rows of a set of dead rows that share a bitmap.
+BITMAP_ROWS = 32_768
+
+COLUMNS = [f.split()[0] for f in POINT.split(", ")]
+PLACE = ("_part", "_file", "_row")
+DEAD = "file string, bucket long, bits binary"
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """A version and its parts; a plan that is made on one is committed on it or not at all."""
+
+    version: int
+    parts: list[dict]
 
 
 class Store:
     """Points under root, on any file system Spark reaches.
 
-    A version lists parts, each with the sources whose rows in it no longer count. Adding points writes a part of them
-    alone; changing points writes the rows of their sources again and leaves the other sources' rows where they are.
-    Version files are created, never replaced, so a reader always finds the last whole version, a crash leaves the
-    version before, and of two writers that start from one version the second gets a RuntimeError.
+    A version lists parts, each with the sources whose rows in it no longer count, and with sets of dead rows: bitmaps by
+    file and run of rows. Adding points writes a part of them alone. Changing points marks their rows dead and writes the
+    new rows, so one point of a source with many costs one row. Version files are created whole and never replaced, so a
+    reader always finds the last whole version, a crash leaves the version before, and of two writers that start from one
+    version the second gets a RuntimeError.
+
+    Rows of a part are in ranges of source and identifier, with Bloom filters on the identifier and short pages: a lookup
+    by identifier or source skips files, row groups and pages. A part's bounds of ts_epoch are in the version, so a search
+    with a bound on time doesn't open parts beyond it.
     """
 
     def __init__(self, spark: SparkSession, root: str, config: Config):
@@ -37,82 +63,188 @@ class Store:
         create_file(self.spark, f"{self.root}/config.json", json.dumps(about).encode())
         return create_file(self.spark, self._version_path(0), b"[]")
 
+    # versions
+
     def _version_path(self, version: int) -> str:
         return f"{self.root}/versions/v{version:08d}.json"
 
+    def _versions(self) -> list[int]:
+        """Numbers of all version files, torn ones too."""
+        names = list_names(self.spark, f"{self.root}/versions")
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json") and n[1:-5].isdigit())
+
+    def _parts_of(self, version: int) -> list[dict] | None:
+        """None for a torn file."""
+        try:
+            return json.loads(read_file(self.spark, self._version_path(version)) or "")
+        except ValueError:
+            return None
+
     def _state(self) -> tuple[int, list[dict]]:
-        """The last version and its parts; a version file that is being written does not count."""
-        for name in reversed([n for n in list_names(self.spark, f"{self.root}/versions") if n.startswith("v") and n.endswith(".json")]):
-            try:
-                return int(name[1:9]), json.loads(read_file(self.spark, f"{self.root}/versions/{name}") or "")
-            except ValueError:
-                continue
+        """The last whole version and its parts; torn version files don't count."""
+        for version in reversed(self._versions()):
+            parts = self._parts_of(version)
+            if parts is not None:
+                return version, parts
         return -1, []
 
     def version(self) -> int:
         return self._state()[0]
 
-    def points(self) -> DataFrame:
-        version, parts = self._state()
-        if version < 0:
+    def snapshot(self) -> Snapshot:
+        found = Snapshot(*self._state())
+        if found.version < 0:
             raise LookupError("the collection is not set up")
-        return self._read(parts)
+        return found
+
+    def _commit(self, version: int, parts: list[dict]) -> int:
+        """The version after this one, past the names of torn files; the parts are no longer in the making."""
+        later = [v for v in self._versions() if v > version]
+        target = max([version, *later]) + 1
+        try:
+            if any(self._parts_of(v) is not None for v in later) or not create_file(self.spark, self._version_path(target), json.dumps(parts).encode()):
+                raise RuntimeError("another writer published first; nothing has changed")
+        finally:
+            for name in {n for p in parts for n in (p["part"], *p.get("dead", []))} & set(list_names(self.spark, f"{self.root}/writing")):
+                remove_path(self.spark, f"{self.root}/writing/{name}")
+        return target
 
-    def _read(self, parts: Sequence[dict]) -> DataFrame:
-        """One scan for all parts that leave out the same sources."""
+    def _new(self) -> str:
+        """A name for a part or set in the making, which vacuum leaves alone."""
+        name = uuid.uuid4().hex
+        create_file(self.spark, f"{self.root}/writing/{name}", b"")
+        return name
+
+    # reading
+
+    def points(self, base: Snapshot | None = None, since: float | None = None) -> DataFrame:
+        """All points; with since those of parts that may hold a ts_epoch at or after it."""
+        return self._read((base or self.snapshot()).parts, since=since).select(*COLUMNS)
+
+    def located(self, base: Snapshot | None = None) -> DataFrame:
+        """Points with the part, file and row they are in."""
+        return self._read((base or self.snapshot()).parts, located=True)
+
+    def _read(self, parts: Sequence[dict], located: bool = False, since: float | None = None) -> DataFrame:
+        """One scan of the parts without dead rows and one of those with some."""
+        if since is not None:
+            parts = [p for p in parts if "ts" not in p or (p["ts"] and p["ts"][1] >= since)]
+        found = [self._scan(some, located) for some in ([p for p in parts if not p.get("dead")], [p for p in parts if p.get("dead")]) if some]
+        if not found:
+            return self.spark.createDataFrame([], POINT + ", _part string, _file string, _row long" if located else POINT)
+        return reduce(DataFrame.unionByName, found)
+
+    def _scan(self, parts: Sequence[dict], located: bool) -> DataFrame:
+        rows = self.spark.read.schema(POINT).parquet(*[f"{self.root}/points/{p['part']}" for p in parts])
+        part = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
         alike: dict[tuple, list[str]] = {}
         for p in parts:
-            alike.setdefault(tuple(p["without"]), []).append(f"{self.root}/points/{p['part']}")
-        found = []
-        for without, paths in alike.items():
-            rows = self.spark.read.schema(POINT).parquet(*paths)
+            alike.setdefault(tuple(p["without"]), []).append(p["part"])
+        dead = sorted({d for p in parts for d in p.get("dead", [])})
+        if located or dead:
+            rows = rows.select(*COLUMNS, part.alias("_part"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+            part = F.col("_part")
+        for without, names in alike.items():
+            gone = F.lit(False)
             if named := [s for s in without if s is not None]:
-                rows = rows.where(~F.coalesce(F.col("source").isin(named), F.lit(False)))
-            found.append(rows.where("source is not null") if None in without else rows)
-        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], POINT)
-
-    def _write(self, points: DataFrame) -> dict:
-        """A new part, in ranges of source and identifier, so that reads of one source skip files and a source of any
-        size is spread."""
-        part = uuid.uuid4().hex
-        rows = points.select(*[f.split()[0] for f in POINT.split(", ")])
-        rows.repartitionByRange("source", F.xxhash64("id")).sortWithinPartitions("source").write.parquet(f"{self.root}/points/{part}")
-        return {"part": part, "without": []}
-
-    def _commit(self, version: int, parts: list[dict]) -> int:
-        if not create_file(self.spark, self._version_path(version + 1), json.dumps(parts).encode()):
-            raise RuntimeError("another writer published first; nothing has changed")
-        return version + 1
-
-    def publish(self, points: DataFrame) -> int:
+                gone = F.coalesce(F.col("source").isin(named), F.lit(False))
+            if None in without:
+                gone = gone | F.col("source").isNull()
+            if without:
+                rows = rows.where(~(gone if len(alike) == 1 else part.isin(names) & gone))
+        if dead:
+            rows = self._alive(rows, dead)
+        return rows.select(*COLUMNS, *PLACE) if located else rows.select(*COLUMNS)
+
+    def _dead(self, names: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(DEAD).parquet(*[f"{self.root}/dead/{n}" for n in names])
+
+    def _alive(self, rows: DataFrame, names: Sequence[str]) -> DataFrame:
+        """Rows whose bit is not set; a bitmap is small beside the rows it stands for, the planner sees to the join."""
+        bits = self._dead(names).groupBy("file", "bucket").agg(F.bitmap_or_agg("bits").alias("_bits"))
+        bucket, at = F.expr(f"_row div {BITMAP_ROWS}"), F.col("_row") % BITMAP_ROWS
+        byte = F.conv(F.hex(F.substring("_bits", (F.expr(f"(_row % {BITMAP_ROWS}) div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        is_set = F.getbit(byte.cast("long"), (at % 8).cast("int")) == 1
+        keyed = bits.withColumnsRenamed({"file": "_dead_file", "bucket": "_dead_bucket"})
+        joined = rows.join(keyed, (F.col("_file") == F.col("_dead_file")) & (bucket == F.col("_dead_bucket")), "left")
+        return joined.where(F.col("_bits").isNull() | ~is_set)
+
+    # writing
+
+    def _write(self, points: DataFrame, few: bool = False) -> dict:
+        """A new part with its number of rows and bounds of time, taken as it is written."""
+        name, seen = self._new(), Observation()
+        rows = points.select(*COLUMNS)
+        # so that a source of any size is spread; a few rows need no exchange by samples
+        rows = rows.coalesce(1) if few else rows.repartitionByRange("source", "id")
+        counted = rows.sortWithinPartitions("source", "id").observe(seen, F.count(F.lit(1)).alias("rows"), F.min("ts_epoch").alias("low"), F.max("ts_epoch").alias("high"))
+        options = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.page.row.count.limit": "2000", "parquet.block.size": str(16 << 20)}
+        counted.write.options(**options).parquet(f"{self.root}/points/{name}")
+        got = seen.get
+        return {"part": name, "without": [], "rows": got["rows"], "ts": None if got["low"] is None else [got["low"], got["high"]]}
+
+    def _add(self, parts: list[dict], points: DataFrame | None, few: bool = False) -> list[dict]:
+        """parts and points; where there are too many, the smaller half of the parts is written together with the points."""
+        if points is None:
+            return parts
+        if len(parts) < MOST_PARTS:
+            part = self._write(points, few)
+            return [*parts, part] if part["rows"] else parts
+        small = sorted(parts, key=lambda p: p.get("rows", 0))[: max(2, len(parts) // 2)]
+        kept = [p for p in parts if p not in small]
+        return [*kept, self._write(self._read(small).unionByName(points.select(*COLUMNS)))]
+
+    def publish(self, points: DataFrame, base: Snapshot | None = None) -> int:
         """A version of these points alone."""
-        version = self.version()
-        return self._commit(version, [self._write(points)])
+        base = base or Snapshot(*self._state())
+        return self._commit(base.version, [self._write(points)])
 
-    def append(self, points: DataFrame) -> int:
+    def append(self, points: DataFrame, base: Snapshot | None = None, few: bool = False) -> int:
         """A version with points added."""
-        version, parts = self._state()
-        if len(parts) >= MOST_PARTS:
-            return self._commit(version, [self._write(self._read(parts).unionByName(points))])
-        return self._commit(version, [*parts, self._write(points)])
+        base = base or self.snapshot()
+        return self._commit(base.version, self._add(base.parts, points, few))
 
-    def replace(self, sources: Sequence[str | None], points: DataFrame) -> int:
+    def replace(self, sources: Sequence[str | None], points: DataFrame | None, base: Snapshot | None = None, few: bool = False) -> int:
         """A version with points in place of all rows of some sources."""
-        version, parts = self._state()
+        base = base or self.snapshot()
         if len(sources) > MOST_SOURCES:
             raise ValueError("too many sources to replace at once; publish all points")
-        left = [p | {"without": sorted({*p["without"], *sources}, key=lambda s: (s is not None, s or ""))} for p in parts]
-        if len(parts) >= MOST_PARTS:
-            return self._commit(version, [self._write(self._read(left).unionByName(points))])
-        return self._commit(version, [*left, self._write(points)])
+        left = [p | {"without": sorted({*p["without"], *sources}, key=lambda s: (s is not None, s or ""))} for p in base.parts]
+        return self._commit(base.version, self._add(left, points, few))
+
+    def change(self, gone: DataFrame, points: DataFrame | None, base: Snapshot, few: bool = False) -> int:
+        """A version without the rows of gone (located in base) and with points added."""
+        touched = {r[0] for r in gone.select("_part").distinct().collect()}  # parts of a version are few
+        name = self._new()
+        at = F.col("_row") % BITMAP_ROWS
+        dead = gone.groupBy(F.col("_file").alias("file"), F.expr(f"_row div {BITMAP_ROWS}").alias("bucket")).agg(F.bitmap_construct_agg(at).alias("bits"))
+        old = {p["part"]: p.get("dead", []) for p in base.parts if p["part"] in touched}
+        together = any(len(d) >= MOST_DEAD for d in old.values())
+        if together:
+            before = sorted({d for ds in old.values() for d in ds})
+            dead = dead.unionByName(self._dead(before)).groupBy("file", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+        dead.write.parquet(f"{self.root}/dead/{name}")
+        parts = [p | {"dead": [name] if together else [*p.get("dead", []), name]} if p["part"] in touched else p for p in base.parts]
+        return self._commit(base.version, self._add(parts, points, few))
 
     def vacuum(self, keep: int = 2) -> int:
-        """Removes parts that none of the last versions names; returns their number."""
-        names = [n for n in list_names(self.spark, f"{self.root}/versions")][-keep:]
-        used = {p["part"] for n in names for p in json.loads(read_file(self.spark, f"{self.root}/versions/{n}") or "[]")}
+        """Removes parts and sets of dead rows that none of the last whole versions names; returns the number of parts.
+
+        What a writer has in the making stays; if it hasn't published within STALE_SECONDS, it is taken for dead.
+        """
+        whole = [p for v in reversed(self._versions()) if (p := self._parts_of(v)) is not None][:keep]
+        used = {n for parts in whole for p in parts for n in (p["part"], *p.get("dead", []))}
+        for name in list_names(self.spark, f"{self.root}/writing"):
+            if age_seconds(self.spark, f"{self.root}/writing/{name}") < STALE_SECONDS:
+                used.add(name)
+            else:
+                remove_path(self.spark, f"{self.root}/writing/{name}")
         gone = [p for p in list_names(self.spark, f"{self.root}/points") if p not in used]
         for part in gone:
-            remove_path(self.spark, f"{self.root}/points/{part}")
+            for kept in ("points", "terms", "codes"):
+                remove_path(self.spark, f"{self.root}/{kept}/{part}")
+        for name in set(list_names(self.spark, f"{self.root}/dead")) - used:
+            remove_path(self.spark, f"{self.root}/dead/{name}")
         return len(gone)
 
     def backup(self, points: DataFrame, name: str, path: str | None = None) -> str:
@@ -122,6 +254,17 @@ class Store:
         return target
 
 
+def with_ids(points: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Rows with one of these identifiers: literals that reach the scan if they are few, a join with a table if many."""
+    if len(ids) <= MOST_LITERALS:
+        return points.where(F.col("id").isin(list(ids)))
+    return points.join(id_table(points.sparkSession, ids), "id", "left_semi")
+
+
+def id_table(spark: SparkSession, ids: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame(pa.table({"id": pa.array(sorted(set(ids)), pa.string())}))
+
+
 def touched(points: DataFrame) -> list[str | None]:
     """Sources of points, one more than MOST_SOURCES at most."""
     return [r.source for r in points.select("source").distinct().limit(MOST_SOURCES + 1).collect()]
@@ -153,7 +296,8 @@ def append_new(base: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def delete_ids(points: DataFrame, ids: list[str]) -> DataFrame:
-    return points.where(~F.coalesce(F.col("id").isin(ids), F.lit(False)))
+    """Rows without these identifiers, however many."""
+    return points.join(id_table(points.sparkSession, ids), "id", "left_anti")
 
 
 def delete_source(points: DataFrame, source: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 from collections.abc import Mapping
 
@@ -51,21 +52,42 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def create_file(spark: SparkSession, path: str, data: bytes) -> bool:
-    """Writes a small file that must not be there yet; False if it is."""
+    """Writes a small file that must not be there yet; False if it is.
+
+    The bytes are written under another name first, so a crash leaves no half of a file under its own. Then that name is
+    taken: by a hard link on a local file system and by a rename that doesn't overwrite elsewhere, of which one of two
+    writers alone succeeds where the file system's rename is atomic, as HDFS has it. On an object store the rename checks
+    first and copies then: there, one writer at a time must be seen to.
+    """
     fs, where = file_system(spark, path)
     if fs.exists(where):
         return False
+    draft = spark._jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{where.getName()}-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(data))
+    out.close()
     try:
-        out = fs.create(where, False)
+        if fs.getScheme() == "file":
+            files, plain = spark._jvm.java.nio.file.Files, lambda p: spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+            files.createLink(plain(where), plain(draft))
+        else:
+            context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            context.rename(draft, where, spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
     except Exception as e:
         if "AlreadyExists" in str(e):
             return False
         raise
-    out.write(bytearray(data))
-    out.close()
+    finally:
+        fs.delete(draft, False)
     return True
 
 
+def age_seconds(spark: SparkSession, path: str) -> float:
+    """Seconds since a file or folder last changed; 0 if there is none."""
+    fs, where = file_system(spark, path)
+    return max(0.0, time.time() - fs.getFileStatus(where).getModificationTime() / 1000) if fs.exists(where) else 0.0
+
+
 def read_file(spark: SparkSession, path: str) -> str | None:
     fs, where = file_system(spark, path)
     if not fs.exists(where):
@@ -78,9 +100,9 @@ def read_file(spark: SparkSession, path: str) -> str | None:
 
 
 def list_names(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the files in a folder, sorted; none if there is no folder."""
+    """Names of the files in a folder, sorted, without hidden ones; none if there is no folder."""
     fs, where = file_system(spark, folder)
-    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+    return sorted(n for f in fs.listStatus(where) if not (n := f.getPath().getName()).startswith(".")) if fs.exists(where) else []
 
 
 def write_files(spark: SparkSession, root: str, files: Mapping[str, str | bytes]) -> str:
