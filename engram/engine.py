@@ -17,6 +17,7 @@ from .functions.scrub import scrub
 from .operators import audit
 from .operators import search as searching
 from .operators.store import COLUMNS, MOST_SOURCES, PLACE, Snapshot, Store, append_new, last_wins, touched, with_ids
+from .operators.terms import Need, TextIndex, need_of
 from .operators.vectors import VectorTable
 from .schema import CORE_KEYS
 from .shared import remove_path, scratch_path
@@ -69,7 +70,7 @@ class MemoryEngine:
         spark.conf.set("spark.sql.session.timeZone", self.config.time_zone)
         self.store_ = Store(spark, root, self.config)
         self.provider = provider or HashingEmbedder(self.config.base_dim)
-        self.vectors = VectorTable(spark, root, self.provider)
+        self.vectors, self.texts = VectorTable(spark, root, self.provider), TextIndex(self.store_)
 
     # reads
 
@@ -189,7 +190,7 @@ class MemoryEngine:
         return Change(self.store_.located(base).where(F.col("source") == source), self.store_, base, "delete-source", source=source)
 
     def delete_text(self, fragment: str) -> Change:
-        return self._change(contains_text(F.col("text"), fragment), "delete-text")
+        return self._matching(contains_text(F.col("text"), fragment), need_of(fragment), "delete-text")
 
     def delete_fragment(self, fragment: str | None = None, regex: str | None = None, source: str | None = None) -> Change:
         if regex:
@@ -198,7 +199,12 @@ class MemoryEngine:
                 self.spark._jvm.java.util.regex.Pattern.compile(f"(?iuU){regex}")
             except Exception as e:
                 raise ValueError(f"no valid pattern: {regex}") from e
-        return self._change(audit.fragment_match(fragment, regex, source), "delete-fragment")
+        return self._matching(audit.fragment_match(fragment, regex, source), need_of(fragment, regex), "delete-fragment")
+
+    def _matching(self, condition: Column, need: Need, name: str) -> Change:
+        """A deletion by text: what the text index finds is looked at, and every row of parts that have none."""
+        base = self.store_.snapshot()
+        return Change(self.texts.located(need, base).where(condition), self.store_, base, name)
 
     def dedupe(self, by_source: bool = False) -> Change:
         base = self.store_.snapshot()

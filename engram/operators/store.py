@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import reduce
@@ -125,17 +125,21 @@ class Store:
         """Points with the part, file and row they are in."""
         return self._read((base or self.snapshot()).parts, located=True)
 
-    def _read(self, parts: Sequence[dict], located: bool = False, since: float | None = None) -> DataFrame:
-        """One scan of the parts without dead rows and one of those with some."""
+    def _read(self, parts: Sequence[dict], located: bool = False, since: float | None = None, files: Collection[str] | None = None) -> DataFrame:
+        """One scan of the parts without dead rows and one of those with some; of some of their files, if named."""
         if since is not None:
             parts = [p for p in parts if "ts" not in p or (p["ts"] and p["ts"][1] >= since)]
+        if files is not None:
+            held = {p["part"]: [n for n in list_names(self.spark, f"{self.root}/points/{p['part']}") if n in files] for p in parts}
+            parts = [p | {"files": held[p["part"]]} for p in parts if held[p["part"]]]
         found = [self._scan(some, located) for some in ([p for p in parts if not p.get("dead")], [p for p in parts if p.get("dead")]) if some]
         if not found:
             return self.spark.createDataFrame([], POINT + ", _part string, _file string, _row long" if located else POINT)
         return reduce(DataFrame.unionByName, found)
 
     def _scan(self, parts: Sequence[dict], located: bool) -> DataFrame:
-        rows = self.spark.read.schema(POINT).parquet(*[f"{self.root}/points/{p['part']}" for p in parts])
+        paths = [f"{self.root}/points/{p['part']}{'/' if f else ''}{f}" for p in parts for f in p.get("files", [""])]
+        rows = self.spark.read.schema(POINT).parquet(*paths)
         part = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
         alike: dict[tuple, list[str]] = {}
         for p in parts:

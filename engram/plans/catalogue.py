@@ -385,6 +385,20 @@ def delete_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.points.select("id", "source")
 
 
+@register("delete_fragment_indexed", f"WITH {POINTS} SELECT id, source FROM points WHERE NOT coalesce({FRAG_SQL} OR {RE_SQL}, false) AND NOT contains(lower(coalesce(text, '')), 'password')")
+def delete_fragment_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletions by text over a collection with a text index; the points of a second part come without one."""
+    engine = MemoryEngine(spark, scratch_path(spark, "memory"), Config("memory-v2", base_dim=64))
+    engine.setup()
+    p = points(spark, sf_dir, False)
+    engine.store_.append(p.where("id_num % 10 <> 3"))
+    engine.texts.build()
+    engine.store_.append(p.where("id_num % 10 = 3"))
+    engine.delete_text("password").commit()
+    engine.delete_fragment(FRAGMENT, REGEX).commit()
+    return engine.points.select("id", "source")
+
+
 BACKUP_SQL = f"""WITH {POINTS} SELECT '{{"id":' || to_json(id) || ',"payload":{{' || concat_ws(',', '"text":' || to_json(text), '"source":' || to_json(source), '"section":' || to_json(section), '"file_path":""', '"type":' || to_json(type), '"ts_epoch":' || ts_epoch) || '}}}}' AS value FROM points"""
 
 

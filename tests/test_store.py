@@ -45,7 +45,7 @@ def many(spark, n, sources=1, step=1):
 
 
 def rows_read(df):
-    """Rows that the scans of a DataFrame give, once it has run."""
+    """Points that the scans of a DataFrame give, once it has run."""
     df.collect()
     plan = df._jdf.queryExecution().executedPlan()
     found, todo = 0, [plan]
@@ -57,7 +57,7 @@ def rows_read(df):
         elif name.endswith("QueryStage"):
             todo.append(node.plan())
         else:
-            if name.startswith("Scan parquet"):
+            if name.startswith("Scan parquet") and "/points/" in node.relation().location().rootPaths().mkString():
                 found += node.metrics().get("numOutputRows").get().value()
             todo += [node.children().apply(i) for i in range(node.children().size())]
     return found
