@@ -16,6 +16,7 @@ from .functions.scalars import content_ts, contains_text, normalize_id, point_id
 from .functions.scrub import scrub
 from .operators import audit
 from .operators import search as searching
+from .operators.codes import VectorIndex
 from .operators.store import COLUMNS, MOST_SOURCES, PLACE, Snapshot, Store, append_new, last_wins, touched, with_ids
 from .operators.terms import Need, TextIndex, need_of
 from .operators.vectors import VectorTable
@@ -70,7 +71,8 @@ class MemoryEngine:
         spark.conf.set("spark.sql.session.timeZone", self.config.time_zone)
         self.store_ = Store(spark, root, self.config)
         self.provider = provider or HashingEmbedder(self.config.base_dim)
-        self.vectors, self.texts = VectorTable(spark, root, self.provider), TextIndex(self.store_)
+        self.vectors = VectorTable(spark, root, self.provider)
+        self.texts, self.codes = TextIndex(self.store_), VectorIndex(self.store_)
 
     # reads
 
@@ -81,13 +83,18 @@ class MemoryEngine:
     def setup(self) -> bool:
         return self.store_.setup()
 
-    def search(self, text: str, limit: int | None = None, fresh: bool = True, since: str | None = None, window_days: float | None = None, rate: float | None = None, now_ts: float | None = None) -> DataFrame:
+    def search(self, text: str, limit: int | None = None, fresh: bool = True, since: str | None = None, window_days: float | None = None, rate: float | None = None, now_ts: float | None = None, indexed: bool = False) -> DataFrame:
+        """The best points for a text; indexed: among the candidates of the vector index, instead of all."""
         now = time.time() if now_ts is None else now_ts
         query = self.provider.vector(text)
         if self.config.time_aware:
             query = query + list(self.spark.range(1).select(time_features(F.lit(int(now)))).first()[0])
-        points = self.store_.points(since=searching.time_bound(now, since, window_days, self.config.time_zone))
-        return searching.search(points, query, now, limit or self.config.limit, fresh, since, window_days, self.config.decay if rate is None else rate, self.config.overshoot, time_zone=self.config.time_zone)
+        limit, bound = limit or self.config.limit, searching.time_bound(now, since, window_days, self.config.time_zone)
+        if indexed:
+            points = self.codes.candidates(query, limit * self.config.overshoot, self.store_.snapshot(), bound)
+        else:
+            points = self.store_.points(since=bound)
+        return searching.search(points, query, now, limit, fresh, since, window_days, self.config.decay if rate is None else rate, self.config.overshoot, time_zone=self.config.time_zone)
 
     def stats(self) -> DataFrame:
         return audit.stats(self.points).orderBy("source")

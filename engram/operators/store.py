@@ -140,14 +140,17 @@ class Store:
     def _scan(self, parts: Sequence[dict], located: bool) -> DataFrame:
         paths = [f"{self.root}/points/{p['part']}{'/' if f else ''}{f}" for p in parts for f in p.get("files", [""])]
         rows = self.spark.read.schema(POINT).parquet(*paths)
-        part = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        if located or any(p.get("dead") for p in parts):
+            rows = rows.select(*COLUMNS, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("_part"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        rows = self.counting(rows, parts)
+        return rows.select(*COLUMNS, *PLACE) if located else rows.select(*COLUMNS)
+
+    def counting(self, rows: DataFrame, parts: Sequence[dict]) -> DataFrame:
+        """Rows of parts (with source; with _file and _row where rows are dead) that count."""
+        part = F.col("_part") if "_part" in rows.columns else F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
         alike: dict[tuple, list[str]] = {}
         for p in parts:
             alike.setdefault(tuple(p["without"]), []).append(p["part"])
-        dead = sorted({d for p in parts for d in p.get("dead", [])})
-        if located or dead:
-            rows = rows.select(*COLUMNS, part.alias("_part"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-            part = F.col("_part")
         for without, names in alike.items():
             gone = F.lit(False)
             if named := [s for s in without if s is not None]:
@@ -156,9 +159,8 @@ class Store:
                 gone = gone | F.col("source").isNull()
             if without:
                 rows = rows.where(~(gone if len(alike) == 1 else part.isin(names) & gone))
-        if dead:
-            rows = self._alive(rows, dead)
-        return rows.select(*COLUMNS, *PLACE) if located else rows.select(*COLUMNS)
+        dead = sorted({d for p in parts for d in p.get("dead", [])})
+        return self._alive(rows, dead) if dead else rows
 
     def _dead(self, names: Sequence[str]) -> DataFrame:
         return self.spark.read.schema(DEAD).parquet(*[f"{self.root}/dead/{n}" for n in names])

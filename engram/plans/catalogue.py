@@ -87,6 +87,20 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(longs(searching.search_batch(e.withColumnRenamed("vec_id", "id"), asked, vector="embedding"), "rank"), "raw_score")
 
 
+@register("search_indexed", search_sql())
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search among the candidates of a vector index; a second part comes after the index is made, a third without codes."""
+    engine = MemoryEngine(spark, scratch_path(spark, "memory"), Config("memory", base_dim=64))
+    engine.setup()
+    p = points(spark, sf_dir)
+    for part in (p.where("id_num % 10 < 6"), p.where("id_num % 10 in (6, 7)"), p.where("id_num % 10 > 7")):
+        engine.codes.build()
+        engine.store_.append(part)
+    query = query_vector(spark, sf_dir)
+    found = searching.search(engine.codes.candidates(query, 30, engine.store_.snapshot()), query, NOW_TS)
+    return rounded(longs(found, "rank"), "final_score", "raw_score", "age_days")
+
+
 @register("cosine_scores", f"SELECT e.vec_id AS id, round({cosine_sql('e.embedding', 'q.embedding')}, 6) AS raw_score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {QUERY_ID}) q")
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
