@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -157,19 +157,17 @@ def factored(moments: DataFrame, p: int) -> DataFrame:
     """Adds the Cholesky factor l_i_j of covariances c_i_j (i >= j), and logdet, the logarithm of their determinant."""
     made = []
     for j in range(p):
-        rest = [F.col(f"c_{i}_{j}") - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0)) for i in range(j, p)]
-        made.append(F.sqrt(F.greatest(rest[0], F.lit(1e-12))).alias(f"l_{j}_{j}"))
-        made += [(r / F.col(f"l_{j}_{j}")).alias(f"l_{i}_{j}") for i, r in enumerate(rest[1:], j + 1)]
-    logdet = sum((F.log(f"l_{i}_{i}") for i in range(1, p)), F.log("l_0_0")) * 2
-    return moments.select("*", *made, logdet.alias("logdet"))
+        rest = [" - ".join([f"c_{i}_{j}", *[f"l_{i}_{k} * l_{j}_{k}" for k in range(j)]]) for i in range(j, p)]
+        made.append(f"sqrt(greatest({rest[0]}, 1e-12D)) AS l_{j}_{j}")
+        made += [f"({r}) / l_{j}_{j} AS l_{i}_{j}" for i, r in enumerate(rest[1:], j + 1)]
+    return moments.selectExpr("*", *made, f"2 * ({' + '.join(f'ln(l_{i}_{i})' for i in range(p))}) AS logdet")
 
 
 def with_distance(df: DataFrame, p: int, name: str) -> DataFrame:
     """Adds the gaps g_i of x0, x1, ... from m0, m1, ..., and the squared Mahalanobis distance under the factor l_i_j."""
-    gaps = [(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"g{i}") for i in range(p)]
-    solved = [((F.col(f"g{i}") - sum((F.col(f"l_{i}_{k}") * F.col(f"_z{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l_{i}_{i}")).alias(f"_z{i}") for i in range(p)]
-    square = sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(1, p)), F.col("_z0") * F.col("_z0"))
-    return df.select("*", *gaps, *solved, square.alias(name)).drop(*[f"_z{i}" for i in range(p)])
+    gaps = [f"x{i} - m{i} AS g{i}" for i in range(p)]
+    solved = [f"({' - '.join([f'g{i}', *[f'l_{i}_{k} * _z{k}' for k in range(i)]])}) / l_{i}_{i} AS _z{i}" for i in range(p)]
+    return df.selectExpr("*", *gaps, *solved, f"{' + '.join(f'_z{i} * _z{i}' for i in range(p))} AS {name}").drop(*[f"_z{i}" for i in range(p)])
 
 
 def leveled(vectors: DataFrame) -> DataFrame:
@@ -194,53 +192,73 @@ def starts(df: DataFrame) -> DataFrame:
         *[of(i, F.greatest(F.col("mad") * 1.4826, F.lit(floors[i]))).alias(f"s{i}") for i in range(p)],
     )
     centre = materialize(centre, "centres")
-    z = df.join(centre, LEVEL_KEYS).withColumns({f"z{i}": (F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(p)})
-    z = z.withColumn("len", F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, p)), F.col("z0") * F.col("z0"))), F.lit(FLOOR)))
+    scaled = [f"(x{i} - m{i}) / s{i} AS z{i}" for i in range(p)]
+    z = df.join(centre, LEVEL_KEYS).selectExpr(*LEVEL_KEYS, *scaled, f"greatest(sqrt({' + '.join(f'z{i} * z{i}' for i in range(p))}), {FLOOR!r}D) AS len")
     sums = z.groupBy(*LEVEL_KEYS).agg(
-        *[F.avg(F.col(f"z{i}") / F.col("len") * F.col(f"z{j}") / F.col("len")).alias(f"r1_{i}_{j}") for i, j in _pairs(p)],
-        *[F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"r2_{i}_{j}") for i, j in _pairs(p)],
+        *[F.expr(f"avg(z{i} / len * z{j} / len) AS r1_{i}_{j}") for i, j in _pairs(p)],
+        *[F.expr(f"avg(tanh(z{i}) * tanh(z{j})) AS r2_{i}_{j}") for i, j in _pairs(p)],
     )
 
-    def correlation(k: int, i: int, j: int) -> Column:
+    def correlation(k: int, i: int, j: int) -> str:
         if i == j or not k:
-            return F.lit(float(i == j))
-        both = F.col(f"r{k}_{i}_{i}") * F.col(f"r{k}_{j}_{j}")
-        return F.when(both > 0, 0.9 * F.col(f"r{k}_{i}_{j}") / F.sqrt(both)).otherwise(0.0)
+            return f"{float(i == j)}D"
+        both = f"r{k}_{i}_{i} * r{k}_{j}_{j}"
+        return f"CASE WHEN {both} > 0 THEN 0.9D * r{k}_{i}_{j} / sqrt({both}) ELSE 0D END"
 
-    each = F.array(*[F.struct(F.lit(k).alias("_start"), *[(correlation(k, i, j) * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c_{i}_{j}") for i, j in _pairs(p)]) for k in range(STARTS)])
-    return centre.join(sums, LEVEL_KEYS).withColumn("_s", F.explode(each)).select(*LEVEL_KEYS, "_s._start", *[f"m{i}" for i in range(p)], *[f"_s.c_{i}_{j}" for i, j in _pairs(p)])
+    each = ", ".join(f"named_struct('_start', {k}, {', '.join(f"'c_{i}_{j}', {correlation(k, i, j)} * s{i} * s{j}" for i, j in _pairs(p))})" for k in range(STARTS))
+    return centre.join(sums, LEVEL_KEYS).selectExpr(*LEVEL_KEYS, *[f"m{i}" for i in range(p)], f"explode(array({each})) AS _s").select(*LEVEL_KEYS, "_s._start", *[f"m{i}" for i in range(p)], *[f"_s.c_{i}_{j}" for i, j in _pairs(p)])
+
+
+class Step:
+    """A concentration step: takes the SUBSET of each group with the least distances and makes centre and covariance anew
+    from it, made consistent for a normal group and with the least deviations added.
+
+    One pass over the vectors gives a step of all groups and starts: rows are summed in bins of their distance, and the
+    bins up to the subset's are added. Its expressions are made once for all steps.
+    """
+
+    def __init__(self, p: int, floors: Sequence[float]):
+        self.p, self.keys = p, [*LEVEL_KEYS, "_start"]
+        self.centre, self.factor = [f"m{i}" for i in range(p)], [f"l_{i}_{j}" for i, j in _pairs(p)]
+        self.spread = [f"c_{i}_{j}" for i, j in _pairs(p)]
+        scale = SUBSET / gamma_p(p / 2 + 1, chi_square_quantile(SUBSET, p) / 2)
+        # moments about the last centre, so that no digits cancel: count, sums of gaps, sums of their products
+        moments = ["cast(count(*) AS double)", *[f"sum(g{i})" for i in range(p)], *[f"sum(g{i} * g{j})" for i, j in _pairs(p)]]
+        constant = [F.expr(f"max({c}) AS {c}") for c in (*self.centre, "logdet")]
+        self.binned = [F.expr("count(*) AS n"), F.expr(f"array({', '.join(moments)}) AS v"), *constant]
+        self.held = [F.sort_array(F.collect_list(F.struct("b", "n", "v"))).alias("bins"), F.sum("n").alias("n"), *constant]
+        self.bin, self.sums = bin_of("_d").alias("b"), sums_of_nearest(F.col("bins"), F.col("n"), SUBSET, len(moments))
+        self.means = [*[f"v[{1 + i}] / v[0] AS a{i}" for i in range(p)], *[f"v[{1 + p + k}] / v[0] AS s_{i}_{j}" for k, (i, j) in enumerate(_pairs(p))]]
+        self.anew = [f"m{i} + a{i} AS m{i}" for i in range(p)]
+        self.anew += [f"{scale!r}D * (s_{i}_{j} - a{i} * a{j}) + {floors[i] ** 2 if i == j else 0.0!r}D AS c_{i}_{j}" for i, j in _pairs(p)]
+        self.columns = [*self.keys, "n", *self.centre, *self.spread, *self.factor, "logdet"]
+
+    def __call__(self, df: DataFrame, model: DataFrame) -> DataFrame:
+        placed = with_distance(df.join(model.select(*self.keys, *self.centre, *self.factor, "logdet"), LEVEL_KEYS), self.p, "_d")
+        near = placed.groupBy(*self.keys, self.bin).agg(*self.binned).groupBy(*self.keys).agg(*self.held).withColumn("v", self.sums)
+        made = near.selectExpr(*self.keys, "n", "logdet AS was", *self.centre, *self.means).selectExpr(*self.keys, "n", "was", *self.anew)
+        return factored(made, self.p).selectExpr(*self.columns, "abs(logdet - was) AS moved")
 
 
 def fit(vectors: DataFrame, most: int = STEPS) -> DataFrame:
     """Of each group of vectors (lang, source, x0, ...), each language and all documents: n, centre m_i, covariance c_i_j.
 
-    A concentration step takes the SUBSET of the group with the least distances and makes the centre and covariance anew
-    from it, made consistent for a normal group and with the least deviations added. One pass over the vectors gives a
-    step of all groups and starts: rows are summed in bins of their distance, and the bins up to the subset's are added.
+    Steps are taken by twos. Groups and starts whose determinant no longer moves are left as they are, the others go on,
+    up to most steps; where a determinant still moves then, the estimate is that of the last step.
     """
-    p, floors = len(FEATURES), [f for _, f in FEATURES]
-    keys, centre, spread = [*LEVEL_KEYS, "_start"], [f"m{i}" for i in range(p)], [f"{x}_{i}_{j}" for x in "cl" for i, j in _pairs(p)]
+    step = Step(len(FEATURES), [f for _, f in FEATURES])
     df = leveled(vectors)
-    first = factored(starts(df), p).withColumns({"n": F.lit(0).cast("long"), "moved": F.lit(math.inf)})
-    model = materialize(first.select(*keys, "n", *centre, *spread, "logdet", "moved"), "model")
-    factor = SUBSET / gamma_p(p / 2 + 1, chi_square_quantile(SUBSET, p) / 2)
-    # moments about the last centre, so that no digits cancel: count, sums of gaps, sums of their products
-    moments = [F.sum(f"g{i}") for i in range(p)] + [F.sum(F.col(f"g{i}") * F.col(f"g{j}")) for i, j in _pairs(p)]
-    for _ in range(most):
-        placed = with_distance(df.join(model.drop("n", "moved", *spread[: len(spread) // 2]), LEVEL_KEYS), p, "_d")
-        constant = [F.max(c).alias(c) for c in (*centre, "logdet")]
-        bins = placed.groupBy(*keys, bin_of("_d").alias("b")).agg(F.count("*").alias("n"), F.array(F.count("*").cast("double"), *moments).alias("v"), *constant)
-        held = bins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("b", "n", "v"))).alias("bins"), F.sum("n").alias("n"), *constant)
-        near = held.withColumn("v", sums_of_nearest(F.col("bins"), F.col("n"), SUBSET, 1 + len(moments)))
-        mean = {f"a{i}": F.col("v")[1 + i] / F.col("v")[0] for i in range(p)} | {f"s_{i}_{j}": F.col("v")[1 + p + k] / F.col("v")[0] for k, (i, j) in enumerate(_pairs(p))}
-        spreads = [(factor * (F.col(f"s_{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}")) + F.lit(floors[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in _pairs(p)]
-        made = near.withColumns(mean).select(*keys, "n", F.col("logdet").alias("was"), *[(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(p)], *spreads)
-        made = factored(made, p).select(*keys, "n", *centre, *spread, "logdet", F.abs(F.col("logdet") - F.col("was")).alias("moved"))
-        before, model = model, materialize(made, "model")
+    first = factored(starts(df), step.p).withColumns({"n": F.lit(0).cast("long"), "moved": F.lit(math.inf)})
+    model = materialize(first.select(*step.columns, "moved"), "model")
+    for _ in range(0, most, 2):
+        moving = f"moved > {STILL!r}D"
+        seen, before = Observation(), model
+        made = step(df, step(df, model.where(moving))).unionByName(model.where(f"NOT {moving}"))
+        model = materialize(made.observe(seen, F.max("moved").alias("most")), "model")
         discard(before)
-        if (model.agg(F.max("moved")).first()[0] or 0.0) <= STILL:
+        if (seen.get["most"] or 0.0) <= STILL:
             break
-    values = F.struct("n", *centre, *[f"c_{i}_{j}" for i, j in _pairs(p)])
+    values = F.struct("n", *step.centre, *step.spread)
     return materialize(model.groupBy(*LEVEL_KEYS).agg(F.min_by(values, F.struct(F.round("logdet", 6), "_start")).alias("v")).select(*LEVEL_KEYS, "v.*"), "fit")
 
 
@@ -259,11 +277,11 @@ def chosen(stats: DataFrame, model: DataFrame) -> DataFrame:
     groups = stats.select(*[_group(g) for g in GROUP]).distinct().withColumn("_level", F.lit(2))
     found = groups.join(level(0, "g_", *KEYS), KEYS, "left").join(level(1, "l_", "_lang"), "_lang", "left").join(level(2, "a_", "_level"), "_level", "left")
 
-    def mixed(prefix: str, c: str, rest: Column) -> Column:
-        n = F.coalesce(F.col(f"{prefix}n"), F.lit(0)).cast("double")
-        return (n * F.coalesce(F.col(f"{prefix}{c}"), F.lit(0.0)) + HALF_WEIGHT * rest) / (n + HALF_WEIGHT)
+    def mixed(prefix: str, c: str, rest: str) -> str:
+        n = f"coalesce({prefix}n, 0L)"
+        return f"({n} * coalesce({prefix}{c}, 0D) + {HALF_WEIGHT} * {rest}) / ({n} + {HALF_WEIGHT})"
 
-    shrunk = found.select(*KEYS, *[mixed("g_", c, mixed("l_", c, F.col(f"a_{c}"))).alias(c) for c in names])
+    shrunk = found.selectExpr(*KEYS, *[f"{mixed('g_', c, mixed('l_', c, f'a_{c}'))} AS {c}" for c in names])
     return materialize(factored(shrunk, p).select(*KEYS, *names[:p], *[f"l_{i}_{j}" for i, j in _pairs(p)]), "chosen")
 
 
