@@ -8,8 +8,10 @@ cosines computed.
 
 from __future__ import annotations
 
+import collections
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,15 @@ PER_ROOT, FEWEST, MOST, SAMPLE = 4, 64, 16_384, 4
 NEAREST, SHARED, APART_RANKS = 8, 3, 46
 #: Members of a block of a list, rows in one step of a worker.
 BLOCK_ROWS = 1000
-#: A vector of the sample closer to a chosen pivot than this is passed over, so that a crowd of copies gives one pivot.
-APART = 0.8
+#: A vector of the sample closer to a chosen pivot than this is passed over, so that a crowd of copies gives one pivot;
+#: where that leaves too few pivots, the next bound holds.
+APART = (0.8, 0.9, 0.95, 0.99)
+#: Bytes of the sample of all lengths; the pivots are at most a part of SAMPLE of that.
+SAMPLE_BYTES = 64 << 20
+#: The longest descriptions.
+MOST_NEAREST = 64
+#: Vectors of the sample that are moved to the threshold to see how their descriptions change, and the part that may be missed.
+TRIED, MISSED = 2000, 0.005
 
 
 def unit_rows(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -35,22 +44,75 @@ def unit_rows(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def centred(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Directions of unit vectors as seen from the centre, zero for one that lies there."""
+    y = x - centre
+    return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+
+
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
-    """Unit vectors of the sample in its order, each apart from those before."""
-    chosen, n = np.empty((count, sample.shape[1])), 0
-    for x in sample:
-        if not n or (chosen[:n] @ x).max() < APART:
-            chosen[n] = x
-            n += 1
+    """Unit vectors of the sample in its order, each apart from those before; by the widest bound that gives so many."""
+    chosen, n, left = np.empty((count, sample.shape[1])), 0, np.arange(len(sample))
+    for bound in APART:
+        passed = []
+        for i in left:
             if n == count:
                 break
+            if not n or (chosen[:n] @ sample[i]).max() < bound:
+                chosen[n] = sample[i]
+                n += 1
+            else:
+                passed.append(i)
+        left = passed
     return chosen[:n]
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
     """The description of each row: its nearest pivots in order; ties go to the earlier pivot."""
     m = min(nearest, len(pivots))
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :m].astype(np.int32)
+    far = -(x @ pivots.T)
+    some = np.sort(np.argpartition(far, m - 1, axis=1)[:, :m], axis=1)
+    order = np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable")
+    return np.take_along_axis(some, order, 1).astype(np.int32)
+
+
+class Rule(NamedTuple):
+    """How many pivots describe a vector, how many two descriptions must share, how much their ranks may differ in all."""
+
+    nearest: int
+    shared: int
+    apart: int
+
+
+def changes(x: np.ndarray, centre: np.ndarray, pivots: np.ndarray, threshold: float, nearest: int) -> tuple[int, int]:
+    """Pivots that all but MISSED of the vectors share with another one at the threshold from them, in any direction, and the
+    difference of ranks that all but so many keep to."""
+    rng = np.random.default_rng(1)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
+    near = nearest_pivots(centred(x, centre), pivots, nearest)
+    moved = nearest_pivots(centred(threshold * x + np.sqrt(1 - threshold**2) * side, centre), pivots, nearest)
+    same = near[:, :, None] == moved[:, None, :]
+    width = np.arange(near.shape[1])
+    behind = (near.shape[1] - width)[None]
+    apart = (same * np.abs(width[:, None] - width[None, :])).sum((1, 2)) + (~same.any(2) * behind).sum(1) + (~same.any(1) * behind).sum(1)
+    return int(np.quantile(same.sum((1, 2)), MISSED, method="lower")), int(np.quantile(apart, 1 - MISSED, method="higher"))
+
+
+def settle(x: np.ndarray, centre: np.ndarray, pivots: np.ndarray, threshold: float, rule: Rule) -> Rule:
+    """The rule, where vectors at the threshold from those of the sample keep to it; else with longer descriptions.
+
+    Where vectors gather, the threshold is far for their spread, and a few pivots don't tell; more of them do.
+    """
+    shared, apart = changes(x, centre, pivots, threshold, rule.nearest)
+    if shared >= min(rule.shared, len(pivots)):
+        return rule._replace(apart=max(rule.apart, apart))
+    nearest = rule.nearest
+    while shared < rule.shared and nearest < min(MOST_NEAREST, len(pivots)):
+        nearest *= 2
+        shared, apart = changes(x, centre, pivots, threshold, nearest)
+    return Rule(nearest, max(1, shared), apart)
 
 
 VECTORS = "vec_id long, label long, dims int, h1 long, h2 long, vector binary"
@@ -125,15 +187,15 @@ def candidates(near: np.ndarray, own: int, nearest: int, shared: int, apart: int
 LIST = ["label", "dims", "pivot", "bi", "bj"]
 
 
-def pruned(batches: Iterator[pa.RecordBatch], nearest: int, shared: int, apart: int) -> Iterator[pa.RecordBatch]:
+def pruned(batches: Iterator[pa.RecordBatch], rules: Mapping[int, Rule]) -> Iterator[pa.RecordBatch]:
     """Of inverted lists, or pairs of blocks of one, the members that have a candidate there; no vector is read."""
     for table, at in whole_groups(batches, LIST, rows=BLOCK_ROWS):
         near = lists_of(table["near"])
-        block, pivot, bi, bj = (table[c].to_numpy() for c in ("block", "pivot", "bi", "bj"))
+        block, dims, pivot, bi, bj = (table[c].to_numpy() for c in ("block", "dims", "pivot", "bi", "bj"))
         keep = np.zeros(table.num_rows, bool)
         for s, e in zip(at, np.r_[at[1:], table.num_rows], strict=True):
             if e - s > 1:
-                ok = candidates(near[s:e], int(pivot[s]), nearest, shared, apart)
+                ok = candidates(near[s:e, : rules[int(dims[s])].nearest], int(pivot[s]), *rules[int(dims[s])])
                 if bi[s] != bj[s]:
                     ok &= block[s:e, None] != block[None, s:e]
                 keep[s:e] = ok.any(1)
@@ -143,7 +205,7 @@ def pruned(batches: Iterator[pa.RecordBatch], nearest: int, shared: int, apart:
 FOUND = "node long, other long, links long"
 
 
-def verify_lists(batches: Iterator[pa.RecordBatch], threshold: float, nearest: int, shared: int, apart: int) -> Iterator[pa.RecordBatch]:
+def verify_lists(batches: Iterator[pa.RecordBatch], threshold: float, rules: Mapping[int, Rule]) -> Iterator[pa.RecordBatch]:
     """Members of lists with their vectors to verified links: (node, other, links).
 
     A row with other null adds linked rows to a class; one with other links the two in the component.
@@ -154,7 +216,8 @@ def verify_lists(batches: Iterator[pa.RecordBatch], threshold: float, nearest: i
         blob, left, right = table["vector"], [], []
         for s, e in zip(at, np.r_[at[1:], table.num_rows], strict=True):
             x = unit_rows(blob.slice(s, e - s), int(dims[s]))
-            ok = candidates(near[s:e], int(pivot[s]), nearest, shared, apart) & (x @ x.T >= threshold)
+            rule = rules[int(dims[s])]
+            ok = candidates(near[s:e, : rule.nearest], int(pivot[s]), *rule) & (x @ x.T >= threshold)
             if bi[s] != bj[s]:
                 ok &= block[s:e, None] != block[None, s:e]
             a, b = np.nonzero(np.triu(ok))
@@ -181,8 +244,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, nearest: int
     No pair below the threshold links; pairs that share fewer than ``shared`` of their nearest pivots, or whose ranks
     differ by more than ``apart`` in all, are missed (recall is measured in the tests).
 
-    The number of pivots follows the root of the number of classes, up to MOST; they come from the classes whose names
-    hash lowest, SAMPLE for each pivot, and every class is indexed.
+    The number of pivots follows the root of the number of classes, up to MOST and to SAMPLE_BYTES; they come from the
+    classes whose names hash lowest, SAMPLE for each pivot, and every class is indexed. Descriptions are of directions as
+    seen from the sample's centre, so that vectors which all point much the same way are told apart too. Where these lie so
+    close that the threshold is far for them, descriptions grow longer and the rule follows, as vectors of the sample that
+    are moved to the threshold show. A length that the sample lacks, so a rare one, has one list.
 
     Null, zero or non-finite vectors, null labels and null identifiers link with nothing: n_links 0, kept. Rows that
     repeat a vec_id are vectors of their own that share the identifier. An empty table gives no row.
@@ -191,9 +257,15 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, nearest: int
     key = ["label", "dims", "h1", "h2"]
     classes = vectors.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vector").alias("vector"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    count = min(MOST, max(FEWEST, math.ceil(PER_ROOT * math.sqrt(classes.count()))))
+    most, longest = classes.agg(F.count("*"), F.max("dims")).first()
+    count = max(2, min(MOST, max(FEWEST, math.ceil(PER_ROOT * math.sqrt(most))), SAMPLE_BYTES // (8 * SAMPLE * (longest or 1))))
     sample = classes.orderBy(F.xxhash64("h1", "h2"), "h1", "h2", "label").limit(SAMPLE * count).select("dims", "vector").collect()
-    by_dims = {d: choose_pivots(unit_rows(pa.array([bytes(r.vector) for r in sample if r.dims == d]), d), count) for d in {r.dims for r in sample}}
+    by_dims, rules = {}, collections.defaultdict(lambda: Rule(nearest, shared, apart))
+    for d in {r.dims for r in sample}:
+        x = unit_rows(pa.array([bytes(r.vector) for r in sample if r.dims == d]), d)
+        centre = x.mean(0)
+        by_dims[d] = centre, choose_pivots(centred(x, centre), count)
+        rules[d] = settle(x[:TRIED], *by_dims[d], threshold, Rule(nearest, shared, apart))
     held = embeddings.sparkSession.sparkContext.broadcast(by_dims)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +277,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, nearest: int
                 if (p := held.value.get(int(d))) is None:
                     found = np.zeros((len(rows), 1), np.int32)  # no vector of this length in the sample: one list
                 else:
-                    found = nearest_pivots(unit_rows(batch["vector"].take(pa.array(rows)), int(d)), p, nearest)
+                    found = nearest_pivots(centred(unit_rows(batch["vector"].take(pa.array(rows)), int(d)), p[0]), p[1], rules[int(d)].nearest)
                 for i, f in zip(rows, found.tolist(), strict=True):
                     near[i] = f
             yield pa.RecordBatch.from_arrays([batch[c] for c in ("label", "dims", "cid")] + [pa.array(near, pa.list_(pa.int32()))], ["label", "dims", "cid", "near"])
@@ -219,9 +291,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, nearest: int
     entries = entries.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     entries = entries.select(*lists, "cid", "near", "block", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"))
     dealt = entries.repartition(*LIST).sortWithinPartitions(*LIST)
-    kept = materialize(dealt.mapInArrow(trimmed(lambda b: pruned(b, nearest, shared, apart)), dealt.schema), "pruned")
+    kept = materialize(dealt.mapInArrow(trimmed(lambda b: pruned(b, rules)), dealt.schema), "pruned")
     rows = kept.join(classes.select("cid", "size", "vector"), "cid").repartition(*LIST).sortWithinPartitions(*LIST)
-    found = materialize(rows.mapInArrow(trimmed(lambda b: verify_lists(b, threshold, nearest, shared, apart)), FOUND), "links")
+    found = materialize(rows.mapInArrow(trimmed(lambda b: verify_lists(b, threshold, rules)), FOUND), "links")
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     joined = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     about = classes.select(*key, "cid", "rep", "size").join(links.withColumnRenamed("node", "cid"), "cid", "left").join(joined.withColumnRenamed("node", "cid"), "cid", "left")

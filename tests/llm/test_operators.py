@@ -618,6 +618,50 @@ def test_pivot_recall(spark):
     assert 0.99 * want <= found <= want
 
 
+def test_pivots_of_concentrated_vectors(spark):
+    """A common component of mean cosine 0.9: recall of 0.99, and few pairs of all are candidates."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    common = np.random.default_rng(2).normal(size=x.shape[1])
+    x += 3 * common / np.linalg.norm(common)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert 0.88 < (x @ x.T).mean() < 0.92
+    side = np.random.default_rng(6).normal(size=(400, x.shape[1]))
+    side -= (side * x[:400]).sum(1, keepdims=True) * x[:400]
+    x = np.vstack([x, 0.982 * x[:400] + np.sqrt(1 - 0.982**2) * side / np.linalg.norm(side, axis=1, keepdims=True)])
+    df = spark.createDataFrame([(i, [float(v) for v in y], 1) for i, y in enumerate(x)], "vec_id long, embedding array<double>, label long").repartition(3)
+    links = (x @ x.T >= 0.98).sum() - len(x)
+    assert sum(r.n_links for r in pivots.near_duplicates(df).collect()) >= 0.99 * links > 100
+    centre = x.mean(0)
+    y = pivots.centred(x, centre)
+    chosen = pivots.choose_pivots(y, 180)
+    rule = pivots.settle(x, centre, chosen, 0.98, pivots.Rule(pivots.NEAREST, pivots.SHARED, pivots.APART_RANKS))
+    near = pivots.nearest_pivots(y, chosen, rule.nearest)
+    met = sum(pivots.candidates(near[some], p, *rule).sum() for p in range(len(chosen)) if len(some := np.flatnonzero((near == p).any(1))))
+    assert len(chosen) == 180 and met < 0.05 * len(x) ** 2
+
+
+def test_pivots_fall_back_to_nearer_ones():
+    crowd = np.random.default_rng(3).normal(size=(200, 8)) * 0.15 + np.eye(8)[0]
+    crowd /= np.linalg.norm(crowd, axis=1, keepdims=True)
+    assert len(pivots.choose_pivots(crowd, 20)) == 20 and len(pivots.choose_pivots(np.ones((50, 4)) / 2, 20)) == 1
+    x = np.random.default_rng(4).normal(size=(50, 8))
+    assert (pivots.nearest_pivots(x, crowd[:30], 5) == np.argsort(-(x @ crowd[:30].T), axis=1, kind="stable")[:, :5]).all()
+
+
+def test_pivot_lists_in_blocks_and_mixed_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 12))
+    x = [*base, *(base[:30] + 0.01 * rng.normal(size=(30, 12))), *(rng.normal(size=(1, 5)) + 0.01 * rng.normal(size=(6, 5))), rng.normal(size=3)]
+    df = spark.createDataFrame([(i, [float(a) for a in v], 7) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label long").repartition(3)
+    unit = [v / np.linalg.norm(v) for v in x]
+    want = {i: sum(i != j and len(x[j]) == len(v) and unit[j] @ unit[i] >= 0.98 for j in range(len(x))) for i, v in enumerate(x)}
+    assert {r.vec_id: r.n_links for r in pivots.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(pivots, "BLOCK_ROWS", 4)
+    assert {r.vec_id: r.n_links for r in pivots.near_duplicates(df).collect()} == want
+
+
 def test_candidates_count_shared_pivots():
     near = np.array([[1, 2, 3, 4], [2, 1, 4, 3], [1, 9, 8, 7], [0, 1, 2, 3], [1, -1, -1, -1]])
     ok = pivots.candidates(near, 1, 4, 3, 6)
