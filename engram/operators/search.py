@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 from functools import reduce
 from zoneinfo import ZoneInfo
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import age_days, decay, dot, norm, point_ts
+from ..shared import scratch_path
 
 
 def since_epoch(day: str, time_zone: str = "UTC") -> int:
@@ -65,25 +69,87 @@ def search(points: DataFrame, query: Sequence[float], now_ts: float, limit: int
     return best.select(rank.alias("rank"), "id", "final_score", "raw_score", "age_days", "source", "text")
 
 
-def search_batch(points: DataFrame, queries: DataFrame, limit: int = 10, vector: str = "vector", block: int = 20_000) -> DataFrame:
+#: Bytes of queries that are sent to the tasks at once; scores that are in memory at once; what a product's last digits may
+#: be off by.
+BLOCK_BYTES, MOST_SCORES, SLACK = 16 << 20, 1 << 22, 1e-9
+
+
+def search_batch(points: DataFrame, queries: DataFrame, limit: int = 10, vector: str = "vector", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, id, raw_score: the best points for each row of queries (query_id, query), however many.
 
-    Queries are dealt by hash into blocks of about block rows, the most that is broadcast at once; each block is scored
-    against one scan of the points. A task keeps a query's best before the exchange, so no pair leaves its task but a
-    query's limit. Points and queries without a vector or direction, and pairs of different lengths, go; rows of one
-    query_id are queries of their own. Ties by id.
+    Queries go to the tasks in blocks of about block_bytes, each scored against one scan of the points; where there are
+    several, each block's result is written before the next block is fetched. A task multiplies batches of points with the
+    block and keeps each query's best, so pairs are neither sorted nor exchanged, but for a limit a query and task. Points
+    and queries without a vector or direction, and pairs of different lengths, go; rows of one query_id are queries of
+    their own. Ties by id.
     """
-    asked = queries.where(F.col("query").isNotNull()).select("query_id", F.col("query").alias("_query"), norm(F.col("query")).alias("_size"), F.monotonically_increasing_id().alias("_row"))
-    own = F.col(vector)
-    sized = points.where(own.isNotNull()).withColumn("_own", norm(own))
-    rank = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("raw_score"), "id"))
-
-    def best(some: DataFrame) -> DataFrame:
-        pairs = sized.crossJoin(F.broadcast(some))
-        scored = pairs.where(F.size(own) == F.size("_query")).withColumn("raw_score", F.try_divide(dot(own, F.col("_query")), F.col("_own") * F.col("_size")))
-        ranked = scored.where(F.col("raw_score").isNotNull()).select("_row", "query_id", "id", "raw_score").withColumn("rank", rank)
-        return ranked.where(F.col("rank") <= limit).select("query_id", "rank", "id", "raw_score")
-
-    blocks = max(1, -(-queries.count() // block))
-    place = F.pmod(F.xxhash64("_row"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [best(asked.where(place == i) if blocks > 1 else asked) for i in range(blocks)])
+    spark, own = points.sparkSession, F.col(vector)
+    given = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).where("query is not null")
+    rows, longest = given.agg(F.count("*"), F.max(F.size("query"))).first()
+    blocks = max(1, -(-rows * 8 * (longest or 1) // block_bytes))
+    place = F.pmod(F.xxhash64("query_id", "query"), F.lit(blocks))
+    sized = points.where(own.isNotNull()).select("id", own.cast("array<double>").alias("vector"))
+    kinds = {"id": points.schema["id"].dataType.simpleString(), "query_id": queries.schema["query_id"].dataType.simpleString()}
+    rank = F.row_number().over(Window.partitionBy("_query").orderBy(F.desc("raw_score"), "id"))
+
+    def best(asked: pa.Table) -> DataFrame:
+        sent = spark.sparkContext.broadcast(asked)
+        scored = sized.mapInArrow(lambda batches: score_batches(batches, sent.value, limit), f"_query int, query_id {kinds['query_id']}, id {kinds['id']}, raw_score double")
+        return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "id", "raw_score")
+
+    if blocks == 1:
+        return best(given.toArrow())
+    found = []
+    for i in range(blocks):
+        path, part = scratch_path(spark, "batch"), best(given.where(place == i).toArrow())
+        part.write.parquet(path)
+        found.append(spark.read.schema(part.schema).parquet(path))
+    return reduce(DataFrame.unionByName, found)
+
+
+def unit_rows(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length to (row numbers, unit vectors) of the lists that have a direction."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    found = {}
+    for n in np.unique(lengths[lengths > 0]).astype(int):
+        at = np.flatnonzero(lengths == n)
+        x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))
+        fit = np.isfinite(size) & (size > 0)
+        found[n] = at[fit], x[fit] / size[fit, None]
+    return found
+
+
+def score_batches(batches: Iterator[pa.RecordBatch], asked: pa.Table, limit: int) -> Iterator[pa.RecordBatch]:
+    """(_query, query_id, id, raw_score): of a task's points the best for each query, ties by id."""
+    queries, best, waiting = unit_rows(asked["query"]), None, []
+
+    def cut(some: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(some).sort_by([("_query", "ascending"), ("raw_score", "descending"), ("id", "ascending")])
+        q = rows["_query"].to_numpy()
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else q
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        return rows.filter(pa.array(place < limit))
+
+    for batch in batches:
+        for n, (at, x) in unit_rows(batch["vector"]).items():
+            if n not in queries or not len(at) or not len(queries[n][0]):
+                continue
+            numbers, y = queries[n]
+            step = max(1, MOST_SCORES // len(numbers))
+            for i in range(0, len(at), step):
+                part = x[i : i + step]
+                scores = part @ y.T
+                k = min(limit, len(part))
+                least = np.partition(scores, len(part) - k, axis=0)[len(part) - k]
+                p, q = np.nonzero(scores >= least - SLACK)
+                # equal vectors get equal scores here, which a product of matrices doesn't promise
+                exact = np.einsum("ij,ij->i", part[p], y[q])
+                waiting.append(pa.table({"_query": pa.array(numbers[q].astype(np.int32)), "id": batch["id"].take(pa.array(at[i + p])), "raw_score": pa.array(exact)}))
+                if sum(t.num_rows for t in waiting) > max(1 << 16, 4 * limit * len(numbers)):
+                    waiting = [cut(waiting)]
+    if waiting:
+        best = cut(waiting)
+        named = asked["query_id"].take(best["_query"])
+        yield from pa.table([best["_query"], named, best["id"], best["raw_score"]], ["_query", "query_id", "id", "raw_score"]).combine_chunks().to_batches(max_chunksize=100_000)

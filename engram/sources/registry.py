@@ -13,7 +13,7 @@ from . import parsers
 from .files import read_files, skipped_files
 
 #: Literal facts of the last source, as (section, text); a deployment writes its own.
-STATIC = (("infrastructure", "Disk usage is checked before and after installs with df -h /."), ("infrastructure", "Every deployment adds a line to the project's change log."))
+STATIC = (("infrastructure", "Points of this collection are written by one ingest job at a time."), ("infrastructure", "Backups of deleted points are kept as JSON lines beside the collection."))
 
 
 @dataclass(frozen=True)

@@ -187,13 +187,28 @@ def test_search_batch_scans_once(spark):
     queries = spark.createDataFrame([*rows[::4], (500, None), (501, [0.0] * 8)], "query_id long, query array<double>")
     found = search_batch(points, queries, limit=7)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Scan ExistingRDD") == 2 and plan.count("WindowGroupLimit") == 2
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("WindowGroupLimit") == 2
+    assert "NestedLoop" not in plan and "Cartesian" not in plan  # pairs are not rows: what is sorted is a limit a query and task
     got = {(r.query_id, r["rank"]): (r.id, r.raw_score) for r in found.collect()}
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     scores = unit @ unit.T
     assert set(got) == {(q, k) for q in range(0, 200, 4) for k in range(1, 8)}
     for (q, k), (i, score) in got.items():
         assert i == np.argsort(-scores[q])[k - 1] and abs(score - scores[q, i]) < 1e-12
+    blocks = search_batch(points, queries, limit=7, block_bytes=1000)
+    assert {(r.query_id, r["rank"]): (r.id, r.raw_score) for r in blocks.collect()} == got
+
+
+def test_search_batch_ties(spark):
+    """Equal vectors by id; rows of one query_id are queries of their own; lengths that no point has; no rows at all."""
+    from engram.operators.search import search_batch
+
+    rows = [(f"p{i:03d}", [[0.3, 0.7, 0.1], [1.0, 0.0, 0.2], [1.0, 2.0]][i % 3]) for i in range(300)]
+    points = spark.createDataFrame(rows, "id string, vector array<float>").repartition(4)
+    queries = spark.createDataFrame([("a", [0.3, 0.7, 0.1]), ("a", [1.0, 0.0, 0.2]), ("b", [1.0] * 5), (None, [2.0, 4.0])], "query_id string, query array<double>")
+    got = sorted(((r.query_id or "", r.id, r["rank"]) for r in search_batch(points, queries, limit=3).collect()))
+    assert got == sorted([("a", f"p{3 * i:03d}", i + 1) for i in range(3)] + [("a", f"p{3 * i + 1:03d}", i + 1) for i in range(3)] + [("", f"p{3 * i + 2:03d}", i + 1) for i in range(3)])
+    assert search_batch(points, queries.limit(0)).count() == search_batch(points.limit(0), queries).count() == 0
 
 
 def test_versions_are_created_once(engine, spark):
