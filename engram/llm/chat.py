@@ -158,9 +158,10 @@ def canonical_records(df: DataFrame, record: str = "record", layouts: Sequence[L
 def canonical_turns(df: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """(conv_id, turns) of a table in any known layout; turns is an array of (role, text).
 
-    Null texts and roles are empty; a null list has no turns, and a null element of one is none. Rows by turn are ordered by turn, then role and text, so that ties and repeated
-    rows have one result; null turns come first; null identifiers make one conversation. Roles of other layouts take
-    their canonical names. A conversation's rows meet in one task, as its text is one value of the result.
+    Null texts and roles are empty; a null list has no turns, and a null element of one is none. Rows by turn are ordered
+    by turn, then role and text, so that ties and repeated rows have one result; null turns come first; a row without an
+    identifier is a conversation of its own, however many there are. Roles of other layouts take their canonical names. A
+    conversation's rows meet in one task, as its text is one value of the result.
     """
     layout = layout_of(df.schema, layouts)
 
@@ -177,7 +178,9 @@ def canonical_turns(df: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataF
     if layout.order:
         turn = F.struct(F.col(layout.order).alias("o"), clean(F.col(layout.role)).alias("role"), clean(F.col(layout.text)).alias("text"))
         sorted_rows = F.array_sort(F.collect_list(turn))
-        return df.groupBy(key).agg(F.transform(sorted_rows, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+        known, unknown = df.where(F.col(layout.key).isNotNull()), df.where(F.col(layout.key).isNull())
+        whole = known.groupBy(key).agg(F.transform(sorted_rows, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+        return whole.unionByName(unknown.select(key, F.array(F.struct(clean(F.col(layout.role)).alias("role"), clean(F.col(layout.text)).alias("text"))).alias("turns")))
     if layout.items:
         items = F.coalesce(F.col(layout.items), F.array().cast(df.schema[layout.items].dataType))
         return df.select(key, F.transform(F.filter(items, lambda t: t.isNotNull()), lambda t: F.struct(named(t[layout.role]).alias("role"), clean(t[layout.text]).alias("text"))).alias("turns"))

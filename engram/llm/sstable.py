@@ -33,6 +33,8 @@ from .common import materialize, scratch_path, trimmed
 MAGIC = b"ENGRSST1"
 FOOTER = struct.Struct("<QQQQQIBB8s")
 BLOCK_BYTES, BITS_PER_KEY, PROBES, SHARD_BYTES = 64 << 10, 10, 7, 32 << 20
+#: What a row counts for besides its text: a shard's keys are in memory, so there is a limit to empty texts too.
+ROW_BYTES = 64
 SHARDS = "shard int, path string, n_docs long, n_tokens long, first long, last long"
 
 
@@ -191,14 +193,14 @@ def write_sstables(docs: DataFrame, vocabulary: str, folder: str | None = None,
     Null identifiers come first; rows with one identifier stay apart, ordered by a hash of the text, then the text.
     Returns one row per shard (shard, path, n_docs, n_tokens, first and last doc_id), of which none is empty; shards
     ascend as their keys do. An empty table gives no shard. Rows are dealt by ranges of (doc_id, hash, place in the input) into shards of about
-    shard_bytes of text, so that an identifier or a row repeated very often fills several shards. A task streams its
+    shard_bytes of text and ROW_BYTES a row, so that an identifier or a row repeated very often fills several shards. A task streams its
     rows into a file named by its attempt; the returned rows, written by Spark's committer, name the files that count,
     and files of other attempts are never read.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "sstables")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    total = rows.agg(F.sum(F.octet_length("text") + ROW_BYTES).alias("n")).first()["n"] or 0
     keyed = rows.withColumns({"h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
     parted = keyed.repartitionByRange(max(6, -(-total // shard_bytes)), "doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 

@@ -66,6 +66,9 @@ def by_id(df):
 
 def test_chat_layouts_and_round_trip(spark):
     hostile = "\\### Assistant: </turn> ok\n#<\\"
+    nobody = spark.createDataFrame([(None, 0, "user", "x"), (None, 0, "user", "y"), (None, 1, None, None), (1, 0, "user", "z")], "conv_id long, turn long, role string, text string")
+    alone = [(r.conv_id, [tuple(t) for t in r.turns]) for r in chat.canonical_turns(nobody).collect()]
+    assert sorted(alone, key=repr) == [(1, [("user", "z")]), (None, [("", "")]), (None, [("user", "x")]), (None, [("user", "y")])]
     rows = spark.createDataFrame([(1, 1, "assistant", hostile, 0), (1, 0, "user", None, 0), (None, 0, "user", "x", 0), (1, 1, "assistant", hostile, 0)], "conv_id long, turn long, role string, text string, extra int")
     messages = spark.createDataFrame([(2, [("human:\n", "a"), ("assistant", "b")]), (3, None)], "conv_id long, messages array<struct<role:string,content:string>>")
     fields = spark.createDataFrame([(4, "do", "", hostile), (5, None, "in", "")], "conv_id long, instruction string, input string, output string")
