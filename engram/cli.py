@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .config import Config
 from .engine import Change, MemoryEngine
@@ -28,11 +29,11 @@ def parser() -> argparse.ArgumentParser:
             either.add_argument("--yes", action="store_true")
             either.add_argument("--dry-run", action="store_true")
 
-    for name in ("setup", "stats", "sources", "find-dupes"):
+    for name in ("setup", "stats", "sources", "find-dupes", "index"):
         add(name)
     ingest = [("source", {"nargs": "?"}), ("--replace", {"action": "store_true"}), ("--sequential", {"action": "store_true"})]
     add("ingest", *ingest, *[(f"--{x}", {}) for x in ("docs", "changelog", "www-root", "proxy-dir", "unit-dir")])
-    add("search", ("text",), ("limit", {"nargs": "?", "type": int}), ("--all", {"action": "store_true"}), ("--since",), ("--window", {"type": lambda s: float(s.rstrip("d"))}))
+    add("search", ("text",), ("limit", {"nargs": "?", "type": int}), ("--all", {"action": "store_true"}), ("--indexed", {"action": "store_true"}), ("--since",), ("--window", {"type": lambda s: float(s.rstrip("d"))}))
     add("store", ("text",), ("source", {"nargs": "?", "default": "manual"}))
     add("backup", ("path", {"nargs": "?"}))
     add("show", ("id",))
@@ -73,6 +74,46 @@ def _hit(r) -> list[str]:
     return [f"score={r.final_score:.3f} ({age}) ID={r.id}  src={r.source or '?'}", f"    text: {(r.text or '')[:120]}"]
 
 
+def _shown(e: MemoryEngine, point_id: str) -> str:
+    keys = {r.key: r.value for r in e.show(point_id).toLocalIterator()}
+    head, dim = f"ID: {keys.pop('id')} ({keys.pop('id_type')})", keys.pop("dim")
+    return "\n".join([head, *(f"  {k}: {v}" for k, v in keys.items()), f"  vector dim: {dim}"])
+
+
+def _stats(e: MemoryEngine) -> str:
+    rows = e.stats().collect()  # a row for each source
+    if not rows:
+        return ""
+    lines = [f"{'source':22s} {'count':>5s} {'ts_epoch':>9s} {'no_ts':>8s}", *(f"{r.source:22s} {r['count']:5d} {r.with_ts:9d} {r.no_ts:8d}" for r in rows)]
+    return "\n".join([f"Total points: {sum(r['count'] for r in rows)}", *lines])
+
+
+def _listed(e: MemoryEngine, source: str, limit: int) -> str:
+    about, rows = e.list_source_dated(source, limit)
+    lines = [f"Source '{source}': {about.total} points", *(f"  ID={r.id}  date={r.date or '-':12s} {r.text[:80]}" for r in rows.collect())]
+    return "\n".join([*lines, *([f"  ... (+{about.more} more, use --limit)"] if about.more else [])])
+
+
+def _by_file(e: MemoryEngine, path: str) -> str:
+    found = e.find_by_file(path)
+    lines = [f"  [{r.date}] ID={r.id}  {(r.text or '')[:80]}" for r in found.toLocalIterator()]
+    return "\n".join([f"File '{path}': {len(lines)} points", *lines])
+
+
+def _dupes(e: MemoryEngine) -> str:
+    found = e.find_dupes()
+    total = found.agg(F.countDistinct("group").alias("groups"), F.count("*").alias("points")).first()
+    if not total.groups:
+        return "  No duplicates"
+    lines, last = [f"Found {total.groups} duplicate groups ({total.points} points total):"], None
+    for r in found.orderBy("group", "id").toLocalIterator():
+        if r.group != last:
+            lines.append(f"  Group ({r.group_size} points):")
+            last = r.group
+        lines.append(f"    [{r.date}] ID={r.id} src={r.source} {r.head}")
+    return "\n".join(lines)
+
+
 def run(spark: SparkSession, argv: list[str] | None = None) -> str:
     a = parser().parse_args(argv)
     paths = {k: getattr(a, k, None) for k in ("docs", "changelog", "www_root", "proxy_dir", "unit_dir")}
@@ -81,15 +122,16 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> str:
     calls = {
         "setup": lambda: "made" if e.setup() else "exists",
         "ingest": lambda: _ingest(spark, e, a),
-        "search": lambda: "\n".join(line for r in e.search(a.text, a.limit, not a.all, a.since, a.window).collect() for line in _hit(r)),
+        "search": lambda: "\n".join(line for r in e.search(a.text, a.limit, not a.all, a.since, a.window, indexed=a.indexed).collect() for line in _hit(r)),
         "store": lambda: e.store(a.text, a.source),
         "backup": lambda: e.backup(a.path),
-        "show": lambda: "\n".join(f"{r.key}: {r.value}" for r in e.show(a.id).toLocalIterator()),
-        "stats": e.stats,
+        "show": lambda: _shown(e, a.id),
+        "stats": lambda: _stats(e),
         "sources": e.sources,
-        "find-dupes": e.find_dupes,
-        "list-source": lambda: e.list_source(a.source, a.limit),
-        "find-by-file": lambda: e.find_by_file(a.path),
+        "index": lambda: "{} parts got a text index, {} codes of vectors".format(*e.index()),
+        "find-dupes": lambda: _dupes(e),
+        "list-source": lambda: _listed(e, a.source, a.limit),
+        "find-by-file": lambda: _by_file(e, a.path),
         "edit": lambda: e.edit(a.id, a.text),
         "edit-payload": lambda: e.edit_payload(a.id, _pairs(a.pairs, said)),
         "update-vector": lambda: e.update_vector(a.id),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -9,7 +10,11 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Config:
-    """time_aware defaults to whether the collection's name ends in -v2; such vectors carry eight time features."""
+    """time_aware defaults to whether the collection's name ends in -v2; such vectors carry eight time features.
+
+    embedder names what loads the embedding model, as module:function: called without arguments, it gives a function from a
+    list of texts to vectors. Without one, words are hashed.
+    """
 
     collection: str = "memory"
     base_dim: int = 384
@@ -28,6 +33,7 @@ class Config:
     changelog: str = "CHANGELOG.md"
     proxy_dir: str = "/etc/nginx/sites-enabled"
     unit_dir: str = "/etc/systemd/system"
+    embedder: str = ""
 
     def __post_init__(self):
         if not self.collection:
@@ -42,10 +48,11 @@ class Config:
     @classmethod
     def from_settings(cls, spark=None, environ: Mapping[str, str] | None = None, **given) -> Config:
         """Settings given here, else spark.engram.<name> of the session, else ENGRAM_<NAME> of the environment, else
-        the defaults. COLLECTION_NAME names the collection too."""
+        the defaults. COLLECTION_NAME names the collection too. blacklist is a value a line; special_paths and path_map
+        are objects in JSON."""
         environ = os.environ if environ is None else environ
         found: dict[str, object] = {}
-        for name, kind in (("collection", str), ("base_dim", int), ("decay", float), ("limit", int), ("time_zone", str), ("fallback_date", str), ("www_root", str), ("docs", str), ("changelog", str), ("proxy_dir", str), ("unit_dir", str)):
+        for name, kind in (("collection", str), ("base_dim", int), ("decay", float), ("limit", int), ("time_zone", str), ("fallback_date", str), ("www_root", str), ("docs", str), ("changelog", str), ("proxy_dir", str), ("unit_dir", str), ("embedder", str), ("blacklist", lambda v: tuple(filter(None, v.split("\n")))), ("special_paths", json.loads), ("path_map", json.loads)):
             value = (spark.conf.get(f"spark.engram.{name}", None) if spark is not None else None) or environ.get(f"ENGRAM_{name.upper()}")
             if value is None and name == "collection":
                 value = environ.get("COLLECTION_NAME")

@@ -7,12 +7,12 @@ import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
-from .functions.embed import HashingEmbedder, Provider
-from .functions.scalars import content_ts, contains_text, normalize_id, point_id, resolve_path, time_features, with_time
+from .functions.embed import Provider, provider_of
+from .functions.scalars import content_ts, contains_text, normalize_id, point_date, point_id, resolve_path, time_features, with_time
 from .functions.scrub import scrub
 from .operators import audit
 from .operators import search as searching
@@ -20,7 +20,7 @@ from .operators.codes import VectorIndex
 from .operators.store import COLUMNS, MOST_SOURCES, PLACE, Snapshot, Store, append_new, last_wins, touched, with_ids
 from .operators.terms import Need, TextIndex, need_of
 from .operators.vectors import VectorTable
-from .schema import CORE_KEYS
+from .schema import CORE_KEYS, scroll_order
 from .shared import remove_path, scratch_path
 
 #: Points that are written in one task, without an exchange.
@@ -70,7 +70,7 @@ class MemoryEngine:
         self.spark, self.config = spark, config or Config.from_settings(spark)
         spark.conf.set("spark.sql.session.timeZone", self.config.time_zone)
         self.store_ = Store(spark, root, self.config)
-        self.provider = provider or HashingEmbedder(self.config.base_dim)
+        self.provider = provider or provider_of(self.config.embedder, self.config.base_dim)
         self.vectors = VectorTable(spark, root, self.provider)
         self.texts, self.codes = TextIndex(self.store_), VectorIndex(self.store_)
 
@@ -105,6 +105,13 @@ class MemoryEngine:
     def list_source(self, source: str, limit: int = 50) -> DataFrame:
         return audit.list_source(self.points, source, limit)
 
+    def list_source_dated(self, source: str, limit: int = 50) -> tuple[Row, DataFrame]:
+        """(total, more), and the first points of a source with their dates."""
+        points = self.points
+        rows = points.where(F.col("source") == source).orderBy(*scroll_order()).limit(limit)
+        dated = rows.select("id", point_date(F.col("ts_epoch"), F.col("text")).alias("date"), F.coalesce("text", F.lit("")).alias("text"))
+        return audit.source_remaining(points, source, limit).first(), dated
+
     def find_by_file(self, path: str) -> DataFrame:
         return audit.find_by_file(self.points, path)
 
@@ -118,6 +125,11 @@ class MemoryEngine:
     def backup(self, path: str | None = None) -> str:
         return self.store_.backup(self.points, "backup", path)
 
+    def index(self) -> tuple[int, int]:
+        """Brings the text and the vector index up to date; returns the numbers of parts that each gained."""
+        base = self.store_.snapshot()
+        return self.texts.build(base), self.codes.build(base)
+
     def _one(self, point_id: str) -> DataFrame:
         found = self.points.where(F.col("id") == normalize_id(point_id))
         if found.isEmpty():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -54,10 +55,11 @@ class HashingEmbedder:
 
 
 class ModelEmbedder:
-    """Any function from a list of texts to vectors, made once in a worker by load()."""
+    """Any function from a list of texts to vectors, made once in a worker by load(). name tells models apart."""
 
-    def __init__(self, load, dim: int = 384):
+    def __init__(self, load, dim: int = 384, name: str | None = None):
         self.load, self.dim, self._model = load, dim, None
+        self.name = name or f"{getattr(load, '__module__', '')}:{getattr(load, '__qualname__', type(load).__name__)}"
 
     def vector(self, text: str) -> list[float]:
         if self._model is None:
@@ -74,3 +76,14 @@ class ModelEmbedder:
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(run, "array<float>")(text)
+
+
+def provider_of(embedder: str, dim: int) -> Provider:
+    """What a setting names: module:function, which loads a model; nothing: hashed words."""
+    if not embedder:
+        return HashingEmbedder(dim)
+    module, _, function = embedder.partition(":")
+    if not function:
+        raise ValueError(f"an embedder is named module:function, not {embedder}")
+    getattr(importlib.import_module(module), function)  # fails here rather than in a task
+    return ModelEmbedder(lambda: getattr(importlib.import_module(module), function)(), dim, embedder)

@@ -1,9 +1,11 @@
-"""Redaction of secrets before anything is stored: a chain of replacements, one for each documented category."""
+"""Redaction of secrets before anything is stored: known values, then a chain of replacements, one for each documented category."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +23,52 @@ RULES = (
 )
 
 
+#: Values that one regular expression tries at every place of a text; more are found by an automaton.
+MOST_TRIED = 50
+
+
+def redact(text: Column, values: Sequence[str]) -> Column:
+    """Every occurrence of a value replaced by MARK: from the left, of values that start at one place the longest.
+
+    However many values there are, a text is read once, by one node of the plan: a regular expression of a few values, and
+    for more an automaton that each worker makes once, behind an Arrow batch. Empty values count as none; null stays null.
+    """
+    values = sorted({v for v in values if v}, key=lambda v: (-len(v), v))
+    if not values:
+        return text
+    if len(values) <= MOST_TRIED:
+        # \x{...} stands for any character, so no value is read as a pattern
+        return F.regexp_replace(text, "|".join("".join(f"\\x{{{ord(c):x}}}" for c in v) for v in values), MARK)
+    return F.pandas_udf(Redactor(values), "string")(text)
+
+
+class Redactor:
+    """Series of texts to redacted ones; the automaton is made where it is used."""
+
+    def __init__(self, values: Sequence[str]):
+        self.values, self.automaton = list(values), None
+        self.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+
+    def __call__(self, texts: pd.Series) -> pd.Series:
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for v in self.values:
+                self.automaton.add_word(v, len(v))
+            self.automaton.make_automaton()
+        return texts.map(self.redacted, na_action="ignore")
+
+    def redacted(self, text: str) -> str:
+        out, at = [], 0
+        # all occurrences; of those that overlap, the first, and of those that start at one place, the longest
+        for start, less in sorted((end - length + 1, -length) for end, length in self.automaton.iter(text)):
+            if start >= at:
+                out.append(text[at:start])
+                at = start - less
+        return MARK.join([*out, text[at:]]) if out else text
+
+
 def scrub(text: Column, blacklist: Sequence[str] = ()) -> Column:
-    for value in blacklist:
-        text = F.replace(text, F.lit(value), F.lit(MARK))
+    text = redact(text, blacklist)
     for pattern, into in RULES:
         text = F.regexp_replace(text, pattern, into)
     return text

@@ -10,7 +10,7 @@ from datetime import UTC, datetime
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -177,12 +177,12 @@ class Store:
 
     # writing
 
-    def _write(self, points: DataFrame, few: bool = False) -> dict:
+    def _write(self, points: DataFrame, few: bool = False, along: Sequence[Column] = ("source", "id")) -> dict:
         """A new part with its number of rows and bounds of time, taken as it is written."""
         name, seen = self._new(), Observation()
         rows = points.select(*COLUMNS)
         # so that a source of any size is spread; a few rows need no exchange by samples
-        rows = rows.coalesce(1) if few else rows.repartitionByRange("source", "id")
+        rows = rows.coalesce(1) if few else rows.repartitionByRange(*along)
         counted = rows.sortWithinPartitions("source", "id").observe(seen, F.count(F.lit(1)).alias("rows"), F.min("ts_epoch").alias("low"), F.max("ts_epoch").alias("high"))
         options = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.page.row.count.limit": "2000", "parquet.block.size": str(16 << 20)}
         counted.write.options(**options).parquet(f"{self.root}/points/{name}")
@@ -198,7 +198,8 @@ class Store:
             return [*parts, part] if part["rows"] else parts
         small = sorted(parts, key=lambda p: p.get("rows", 0))[: max(2, len(parts) // 2)]
         kept = [p for p in parts if p not in small]
-        return [*kept, self._write(self._read(small).unionByName(points.select(*COLUMNS)))]
+        together = self._read(small).unionByName(points.select(*COLUMNS))
+        return [*kept, self._write(together, along=[curve(together), F.col("id")])]
 
     def publish(self, points: DataFrame, base: Snapshot | None = None) -> int:
         """A version of these points alone."""
@@ -260,6 +261,18 @@ class Store:
         return target
 
 
+def curve(points: DataFrame, bits: int = 6) -> Column:
+    """A place on a space-filling curve over source and time, so that files and row groups of neighbouring places have narrow
+    bounds of both: the bits of a hash of the source and of the time's quantile in turn. A point without time comes first."""
+    edges = sorted(set(points.approxQuantile("ts_epoch", [i / 2**bits for i in range(1, 2**bits)], 0.5 / 2**bits)))
+    edge = F.array(*[F.lit(int(e)) for e in edges]).cast("array<bigint>")
+    at = F.coalesce(F.size(F.filter(edge, lambda e: e <= F.col("ts_epoch"))), F.lit(0))
+    at = F.when(F.col("ts_epoch").isNull(), 0).otherwise(at).cast("long")
+    by = F.pmod(F.xxhash64("source"), F.lit(2**bits))
+    bit = lambda v, i: F.shiftright(v, i).bitwiseAND(F.lit(1).cast("long"))
+    return reduce(lambda a, b: a + b, [F.shiftleft(bit(by, i), 2 * i + 1) + F.shiftleft(bit(at, i), 2 * i) for i in range(bits)])
+
+
 def with_ids(points: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Rows with one of these identifiers: literals that reach the scan if they are few, a join with a table if many."""
     if len(ids) <= MOST_LITERALS:

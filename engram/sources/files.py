@@ -12,13 +12,14 @@ from ..functions.scalars import LINE_BREAK
 FILES = "path string, value string, mtime timestamp"
 
 
-def _files(spark: SparkSession, path: str, pattern: str | None, recursive: bool, exclude: Sequence[str]) -> DataFrame:
-    # a file that goes away or can't be read while the scan runs is left out by Spark, with a warning in its log
+def _files(spark: SparkSession, path: str, pattern: str | None, recursive: bool, exclude: Sequence[str], whole: bool = True) -> DataFrame:
+    # a file that goes away or can't be read while the scan runs is left out by Spark; skipped_files names it
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     plain = F.regexp_replace("path", "^file:/*", "/")
-    files = reader.load(path).select(plain.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("value"), F.col("modificationTime").alias("mtime"))
+    text = [F.try_validate_utf8(F.col("content").cast("string")).alias("value"), F.col("modificationTime").alias("mtime")] if whole else []
+    files = reader.load(path).select(plain.alias("path"), *text)
     for part in exclude:
         files = files.where(~F.contains("path", F.lit(part)))
     return files
@@ -34,9 +35,11 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None, recur
 
 
 def skipped_files(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False, exclude: Sequence[str] = ()) -> DataFrame:
-    """(path, reason) of the files that read_files leaves out."""
-    files = _files(spark, path, pattern, recursive, exclude)
-    return files.where("value is null").select("path", F.lit("no UTF-8 text").alias("reason"))
+    """(path, reason) of the files that read_files leaves out: those that can't be read, and those that hold no text."""
+    files = _files(spark, path, pattern, recursive, exclude).select("path", F.col("value").isNotNull().alias("text"))
+    listed = _files(spark, path, pattern, recursive, exclude, whole=False)  # names alone: no file is opened
+    found = listed.join(files, "path", "left").where("text is null or not text")
+    return found.select("path", F.when(F.col("text").isNull(), "can't be read").otherwise("no UTF-8 text").alias("reason"))
 
 
 def lines(files: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from engram.config import Config
 from engram.engine import MemoryEngine
 from engram.functions import scalars
 from engram.functions.embed import hashed
-from engram.functions.scrub import scrub
+from engram.functions.scrub import redact, scrub
 from engram.operators import search
 from engram.schema import FACT
 from engram.sources import parsers
@@ -150,6 +150,30 @@ def test_scrub_is_idempotent(spark):
     assert column(spark, "my-value x", lambda c: scrub(c, ["my-value"])) == "[REDACTED] x"
 
 
+@pytest.mark.parametrize("n", [3, 40, 10_000])
+def test_known_values_are_redacted(spark, n):
+    """Few or many values: one node of the plan, from the left, the longest of those that start at one place."""
+    import random
+
+    rng = random.Random(n)
+    values = ["".join(rng.choices("ab.*$\\({é ", k=rng.randint(3, 9))) for _ in range(n)] + ["", "aaa", "aaab"]
+    texts = [None, ""] + ["".join(rng.choices(["ab", "a", ".*$", " ", *values[:50]], k=20)) for _ in range(60)]
+    known, longest = set(filter(None, values)), max(map(len, values))
+
+    def plain(text):
+        out, at = "", 0
+        while at < len(text):
+            found = next((k for k in range(longest, 0, -1) if text[at : at + k] in known), 0)
+            out, at = out + ("[REDACTED]" if found else text[at]), at + max(1, found)
+        return out
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = rows.select("i", redact(F.col("text"), values).alias("t"))
+    assert {r.i: r.t for r in got.collect()} == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("regexp_replace") == 1
+
+
 def test_search_candidates_and_time_filter(spark):
     rows = [(str(i), "x", "s", 1_000_000 * i if i else None, [float(i == j) + 0.1 for j in range(4)]) for i in range(4)]
     points = spark.createDataFrame(rows, "id string, text string, source string, ts_epoch long, vector array<float>")
@@ -256,6 +280,8 @@ def test_settings(spark):
         assert Config.from_settings(spark, {}, collection="given").collection == "given"
     finally:
         spark.conf.unset("spark.engram.collection")
+    given = Config.from_settings(spark, {"ENGRAM_BLACKLIST": "one\ntwo words\n", "ENGRAM_PATH_MAP": '{"/a": "/b"}', "ENGRAM_SPECIAL_PATHS": '{"x": "/y"}', "ENGRAM_EMBEDDER": "tests_model:load"})
+    assert (given.blacklist, given.path_map, given.special_paths, given.embedder) == (("one", "two words"), {"/a": "/b"}, {"x": "/y"}, "tests_model:load")
     assert Config.from_settings(spark, {"COLLECTION_NAME": "c"}).collection == "c" and Config.from_settings(spark, {}).collection == "memory"
 
 
@@ -279,3 +305,54 @@ def test_cli_ingests_and_prints(engine, spark, tmp_path):
     told = run(spark, [*root, "edit-payload", one, "section=x", "nonsense", "--yes"])
     assert "nonsense" in told and told.endswith("1 points changed")
     assert "section: x" in run(spark, [*root, "show", one])
+
+
+def test_an_embedder_is_named_by_a_setting(spark, tmp_path, monkeypatch):
+    import sys
+
+    (tmp_path / "tests_model.py").write_text("def load():\n    return lambda texts: [[float(len(t)), 1.0] for t in texts]\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "tests_model.py"))
+    e = MemoryEngine(spark, f"file://{tmp_path}/memory", Config("memory", base_dim=2, embedder="tests_model:load"))
+    e.setup()
+    e.store("four")
+    assert e.points.first().vector == [4.0, 1.0] and e.search("four").first().raw_score > 0.999
+    for wrong in ("tests_model", "tests_model:none", "no_such_module:load"):
+        with pytest.raises((ValueError, AttributeError, ModuleNotFoundError)):
+            MemoryEngine(spark, "file:///tmp/none", Config("memory", embedder=wrong))
+    sys.modules.pop("tests_model", None)
+
+
+def test_files_that_cannot_be_read_are_named(spark, tmp_path):
+    from engram.sources.files import read_files, skipped_files
+
+    for name in ("good", "torn", "bytes"):
+        (tmp_path / name).write_bytes(b"\xff\xfe" if name == "bytes" else b"text")
+    (tmp_path / ".torn.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x01\x02\x03\x04")  # a checksum that doesn't fit
+    assert [r.path.split("/")[-1] for r in read_files(spark, f"file://{tmp_path}").collect()] == ["good"]
+    found = {r.path.split("/")[-1]: r.reason for r in skipped_files(spark, f"file://{tmp_path}").collect()}
+    assert found == {"torn": "can't be read", "bytes": "no UTF-8 text"}
+
+
+def test_reports_on_the_command_line(engine, spark):
+    engine.ingest(facts(spark, ("same", "a", "2026-01-05"), ("same", "b", "2026-01-06"), ("other", "a", "2026-01-07")))
+    root = ["--root", engine.store_.root, "--collection", "memory-v2"]
+    say = lambda *a: run(spark, [*root, *a]).split("\n")
+    assert say("stats") == ["Total points: 3", "source                 count  ts_epoch    no_ts", "a                          2         2        0", "b                          1         1        0"]
+    listed = say("list-source", "a", "--limit", "1")
+    assert listed[0] == "Source 'a': 2 points" and listed[1].startswith("  ID=") and "date=2026-01-0" in listed[1] and listed[2] == "  ... (+1 more, use --limit)"
+    dupes = say("find-dupes")
+    assert dupes[:2] == ["Found 1 duplicate groups (2 points total):", "  Group (2 points):"] and len(dupes) == 4 and all(x.startswith("    [2026-01-0") and x.endswith(" same") for x in dupes[2:])
+    files = say("find-by-file", "/f2")
+    assert files[0] == "File '/f2': 1 points" and files[1].startswith("  [2026-01-07] ID=")
+    one = engine.points.where("text = 'other'").first().id
+    shown = say("show", one)
+    assert shown[0] == f"ID: {one} (int)" and "  text: other" in shown and shown[-1] == "  vector dim: 24"
+    assert say("index") == ["1 parts got a text index, 1 codes of vectors"]
+    spark.conf.set("spark.engram.base_dim", 16)
+    try:
+        assert say("search", "other", "1", "--indexed")[1].strip() == "text: other"
+    finally:
+        spark.conf.unset("spark.engram.base_dim")
+    engine.delete_text("same").commit()
+    assert say("find-dupes") == ["  No duplicates"]

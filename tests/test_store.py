@@ -201,6 +201,24 @@ def test_a_bound_on_time_leaves_parts_closed(spark, tmp_path):
     assert found.count() == 50 and engine.store_.points(since=999_999).count() == 0
 
 
+def test_parts_put_together_lie_along_source_and_time(spark, tmp_path, monkeypatch):
+    """A bound on time or on the source reads a part of the rows, once parts of any order are put together."""
+    monkeypatch.setattr(stores, "MOST_PARTS", 3)
+    engine = engine_at(spark, tmp_path)
+    for i in range(4):
+        engine.store_.append(many(spark, 8000, sources=5, step=10).where(F.col("ts_epoch") / 10 % 4 == i))
+    engine.store_.append(many(spark, 10).withColumns({"id": F.concat(F.lit("u"), "id"), "ts_epoch": F.lit(None).cast("long"), "source": F.lit(None).cast("string")}))
+    assert len(engine.store_.snapshot().parts) <= 3 and engine.points.count() == 8010
+    late = engine.points.where("ts_epoch >= 70000 and ts_epoch < 70010")
+    assert late.count() == 1 and rows_read(late) < 8010 * 0.7
+    places = engine.points.select(stores.curve(engine.points).alias("at"), "ts_epoch", "source").collect()
+    assert all((p.at & 0b010101010101 == 0) for p in places if p.ts_epoch is None)
+    by_source = {}
+    for p in places:
+        by_source.setdefault(p.source, set()).add(p.at >> 1 & 0b010101010101)
+    assert all(len(x) == 1 for x in by_source.values())
+
+
 def test_midnight_is_where_the_time_zone_is(spark, tmp_path):
     zone = "America/New_York"
     assert since_epoch("2026-01-05") - since_epoch("2026-01-05", zone) == -5 * 3600 and since_epoch("2026-07-05", zone) - since_epoch("2026-07-05") == 4 * 3600
