@@ -4,8 +4,8 @@ Each run holds a Lyndon word of the length of its period that reaches to the nex
 words or its reverse. So the Lyndon arrays of both orders, with the length of the match between a suffix and the next
 smaller one, give all runs: a Lyndon word whose match goes on far enough to the right, extended to the left.
 
-The arrays are made in one pass from left to right, by comparing words alone: no suffixes are sorted and no part of a
-text is hashed. A comparison is settled by an earlier one of the same stack where their matches differ, else by the copy
+The arrays are made in one pass from left to right, by comparing words alone: no suffixes are sorted and no stretch of
+words has a fingerprint; single words are numbered by a dictionary, which compares them in full. A comparison is settled by an earlier one of the same stack where their matches differ, else by the copy
 of it inside the match that reaches furthest, and only where that copy ends, words are read on; so each word is read on
 once.
 
