@@ -17,7 +17,7 @@ from .functions.scrub import scrub
 from .operators import audit
 from .operators import search as searching
 from .operators.codes import VectorIndex
-from .operators.store import COLUMNS, MOST_SOURCES, PLACE, Snapshot, Store, append_new, last_wins, touched, with_ids
+from .operators.store import COLUMNS, MOST_SOURCES, PLACE, Snapshot, Store, at_rest, last_numbers, picked, touched, with_ids
 from .operators.terms import Need, TextIndex, need_of
 from .operators.vectors import VectorTable
 from .schema import CORE_KEYS, scroll_order
@@ -52,10 +52,9 @@ class Change:
     def commit(self) -> int:
         """Backs up, marks the rows dead, writes those in their place and returns the number of points touched."""
         path, seen = scratch_path(self.store.spark, "change"), Observation()
-        self.located.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        rows = at_rest(self.located.observe(seen, F.count(F.lit(1)).alias("n")), path)
         n = seen.get["n"]
         if n:
-            rows = self.store.spark.read.schema(self.located.schema).parquet(path)
             self.store.backup(rows, self.name)
             if self.source is not None:
                 self.store.replace([self.source], None, self.base)
@@ -234,9 +233,9 @@ class MemoryEngine:
     # ingest
 
     def named(self, facts: DataFrame) -> DataFrame:
-        """Facts scrubbed and named by content, of equal ones the last."""
+        """Facts scrubbed and named by content; equal ones have one name."""
         named = facts.withColumn("text", scrub(F.col("text"), self.config.blacklist)).withColumn("id_num", point_id(F.col("source"), F.col("text")))
-        return last_wins(named.withColumn("id", F.col("id_num").cast("string")))
+        return named.withColumn("id", F.col("id_num").cast("string"))
 
     def points_of(self, named: DataFrame, mtimes: DataFrame | None = None, few: bool = False) -> DataFrame:
         """Points of named facts, with the times of their content and their vectors."""
@@ -252,24 +251,30 @@ class MemoryEngine:
     def ingest(self, facts: DataFrame, mode: str = "replace", mtimes: DataFrame | None = None) -> int:
         """Stores facts: replace clears the facts' sources first, append adds those that are new. No facts: no change.
 
-        Returns the number of different facts. These are written to the shared folder once, and all that follows reads
-        them there; it ends in a commit on the version that stood when it began, or in none.
+        Returns the number of different facts, of equal ones the last. All are written to the shared folder once, and all
+        that follows reads them there and picks them by number, so texts move only where vectors meet them and where a
+        part is laid out. It ends in a commit on the version that stood when it began, or in none.
         """
-        base, path, seen = self.store_.snapshot(), scratch_path(self.spark, "facts"), Observation()
-        named = self.named(facts).observe(seen, F.count(F.lit(1)).alias("n"))
-        named.write.parquet(path)
-        n = seen.get["n"]
+        base, path, names, seen = self.store_.snapshot(), scratch_path(self.spark, "facts"), scratch_path(self.spark, "names"), Observation()
+        named = at_rest(self.named(facts), path)
+        known = self.store_.points(base).select("id").distinct().withColumn("_known", F.lit(True))
+        last = last_numbers(named).join(known, "id", "left") if mode == "append" else last_numbers(named).withColumn("_known", F.lit(None).cast("boolean"))
+        fresh = F.col("_known").isNull()
+        last.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(fresh).alias("fresh")).write.parquet(names)
+        n, new = seen.get["n"], seen.get["fresh"]
         if n:
-            named, few = self.spark.read.schema(named.schema).parquet(path), n <= FEW
+            few = new <= FEW
+            named = picked(named, self.spark.read.schema(last.schema).parquet(names).where(fresh))
             if mode == "append":
-                self.store_.append(self.points_of(append_new(self.store_.points(base), named), mtimes, few), base, few)
+                self.store_.append(self.points_of(named, mtimes, few) if new else None, base, few)
             else:
                 sources = touched(named)
-                new = self.points_of(named, mtimes, few)
+                points = self.points_of(named, mtimes, few)
                 if len(sources) > MOST_SOURCES:
                     gone = named.select("source").distinct().withColumnRenamed("source", "_s")
-                    self.store_.publish(self.store_.points(base).join(gone, F.col("source").eqNullSafe(F.col("_s")), "left_anti").unionByName(new), base)
+                    self.store_.publish(self.store_.points(base).join(gone, F.col("source").eqNullSafe(F.col("_s")), "left_anti").unionByName(points), base)
                 else:
-                    self.store_.replace(sources, new, base, few)
+                    self.store_.replace(sources, points, base, few)
         remove_path(self.spark, path)
+        remove_path(self.spark, names)
         return n

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..schema import POINT
-from ..shared import age_seconds, create_file, list_names, read_file, remove_path
+from ..shared import age_seconds, create_file, list_names, read_file, remove_path, scratch_path
 
 #: Parts of a version beyond which the next write puts the smaller ones together; sources that a write replaces by name;
 #: sets of dead rows of a part beyond which the next change puts them into one.
@@ -29,6 +29,8 @@ BITMAP_ROWS = 32_768
 
 COLUMNS = [f.split()[0] for f in POINT.split(", ")]
 PLACE = ("_part", "_file", "_row")
+#: The number of a row that is at rest in scratch space.
+NUMBER = "_number"
 DEAD = "file string, bucket long, bits binary"
 
 
@@ -168,12 +170,23 @@ class Store:
     def _alive(self, rows: DataFrame, names: Sequence[str]) -> DataFrame:
         """Rows whose bit is not set; a bitmap is small beside the rows it stands for, the planner sees to the join."""
         bits = self._dead(names).groupBy("file", "bucket").agg(F.bitmap_or_agg("bits").alias("_bits"))
-        bucket, at = F.expr(f"_row div {BITMAP_ROWS}"), F.col("_row") % BITMAP_ROWS
-        byte = F.conv(F.hex(F.substring("_bits", (F.expr(f"(_row % {BITMAP_ROWS}) div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        is_set = F.getbit(byte.cast("long"), (at % 8).cast("int")) == 1
         keyed = bits.withColumnsRenamed({"file": "_dead_file", "bucket": "_dead_bucket"})
-        joined = rows.join(keyed, (F.col("_file") == F.col("_dead_file")) & (bucket == F.col("_dead_bucket")), "left")
-        return joined.where(F.col("_bits").isNull() | ~is_set)
+        joined = rows.join(keyed, (F.col("_file") == F.col("_dead_file")) & (bucket_of("_row") == F.col("_dead_bucket")), "left")
+        return joined.where(F.col("_bits").isNull() | ~is_set("_bits", "_row"))
+
+    def at(self, parts: Sequence[dict], places: DataFrame) -> DataFrame:
+        """Points of parts, with their places, that are at some places (_file, _row).
+
+        The places are written as bitmaps first: small beside the rows, so these needn't be dealt anew, and files without
+        a place, known by their names, a few for each part, aren't opened.
+        """
+        path = scratch_path(self.spark, "places")
+        bitmaps(places).write.parquet(path)
+        bits = self.spark.read.schema(DEAD).parquet(path)
+        rows = self._read(parts, located=True, files={r[0] for r in bits.select("file").distinct().collect()})
+        keyed = bits.withColumnsRenamed({"file": "_at_file", "bucket": "_at_bucket", "bits": "_at_bits"})
+        joined = rows.join(keyed, (F.col("_file") == F.col("_at_file")) & (bucket_of("_row") == F.col("_at_bucket")))
+        return joined.where(is_set("_at_bits", "_row")).select(*COLUMNS, *PLACE)
 
     # writing
 
@@ -206,7 +219,7 @@ class Store:
         base = base or Snapshot(*self._state())
         return self._commit(base.version, [self._write(points)])
 
-    def append(self, points: DataFrame, base: Snapshot | None = None, few: bool = False) -> int:
+    def append(self, points: DataFrame | None, base: Snapshot | None = None, few: bool = False) -> int:
         """A version with points added."""
         base = base or self.snapshot()
         return self._commit(base.version, self._add(base.parts, points, few))
@@ -223,8 +236,7 @@ class Store:
         """A version without the rows of gone (located in base) and with points added."""
         touched = {r[0] for r in gone.select("_part").distinct().collect()}  # parts of a version are few
         name = self._new()
-        at = F.col("_row") % BITMAP_ROWS
-        dead = gone.groupBy(F.col("_file").alias("file"), F.expr(f"_row div {BITMAP_ROWS}").alias("bucket")).agg(F.bitmap_construct_agg(at).alias("bits"))
+        dead = bitmaps(gone)
         old = {p["part"]: p.get("dead", []) for p in base.parts if p["part"] in touched}
         together = any(len(d) >= MOST_DEAD for d in old.values())
         if together:
@@ -261,6 +273,44 @@ class Store:
         return target
 
 
+def bucket_of(row: str) -> Column:
+    return F.expr(f"{row} div {BITMAP_ROWS}")
+
+
+def is_set(bits: str, row: str) -> Column:
+    """Whether the bit of a row is set in its bucket's bitmap."""
+    byte = F.conv(F.hex(F.substring(bits, (F.expr(f"({row} % {BITMAP_ROWS}) div 8") + 1).cast("int"), F.lit(1))), 16, 10)
+    return F.getbit(byte.cast("long"), (F.col(row) % 8).cast("int")) == 1
+
+
+def bitmaps(places: DataFrame) -> DataFrame:
+    """Places (_file, _row) as bitmaps by file and run of rows."""
+    return places.groupBy(F.col("_file").alias("file"), bucket_of("_row").alias("bucket")).agg(F.bitmap_construct_agg(F.col("_row") % BITMAP_ROWS).alias("bits"))
+
+
+def at_rest(rows: DataFrame, path: str) -> DataFrame:
+    """rows, written to scratch space and read there, numbered in NUMBER so that some can be picked."""
+    rows.withColumn(NUMBER, F.monotonically_increasing_id()).write.parquet(path)
+    return rows.sparkSession.read.schema(rows.withColumn(NUMBER, F.lit(0).cast("long")).schema).parquet(path)
+
+
+def picked(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Those rows that are numbered so.
+
+    Of the numbers bitmaps are written, which are small beside the rows: the planner sends them to the rows, and the rows,
+    which may be wide, aren't dealt anew. numbers is read once, then.
+    """
+    path = scratch_path(rows.sparkSession, "picked")
+    numbers.groupBy(bucket_of(NUMBER).alias("_bucket")).agg(F.bitmap_construct_agg(F.col(NUMBER) % BITMAP_ROWS).alias("_bits")).write.parquet(path)
+    bits = rows.sparkSession.read.schema("_bucket long, _bits binary").parquet(path)
+    return rows.join(bits, bucket_of(NUMBER) == F.col("_bucket")).where(is_set("_bits", NUMBER)).select(*rows.columns)
+
+
+def last_numbers(rows: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
+    """(key, NUMBER) of the last of the rows with one key; of those that no order tells apart, any. Only numbers are dealt."""
+    return rows.groupBy(key).agg(F.max_by(NUMBER, F.coalesce(order, F.lit(-(2**63)))).alias(NUMBER))
+
+
 def curve(points: DataFrame, bits: int = 6) -> Column:
     """A place on a space-filling curve over source and time, so that files and row groups of neighbouring places have narrow
     bounds of both: the bits of a hash of the source and of the time's quantile in turn. A point without time comes first."""

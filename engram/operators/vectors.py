@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.embed import Provider
 from ..shared import list_names, remove_path
+from .store import NUMBER, picked
 
 LAYOUT = "key string, made array<float>"
 #: Keys that are looked up as literals, which reach the scan.
@@ -36,10 +37,12 @@ class VectorTable:
         return self.spark.read.schema(LAYOUT).parquet(*[f"{self.path}/{n}" for n in names])
 
     def embed(self, rows: DataFrame, few: bool = False) -> DataFrame:
-        """rows (text and others; cheap to read, as they are read twice) with made, the vector of text; null: of the empty text.
+        """rows (text and others; cheap to read, as they are read again) with made, the vector of text; null: of the empty text.
 
         The provider sees each text that has no vector yet once: different ones are found first, and what it makes is
-        written before anything is joined with it. few: keys of a few rows go to the scan as literals.
+        written before anything is joined with it. few: keys of a few rows go to the scan as literals. Others must be
+        numbered (store.at_rest): one row of each new text is picked by its number and embedded where it is read, so that
+        only keys are dealt to find them.
         """
         keyed = rows.withColumn("_key", self.key(F.col("text")))
         known = self.known()
@@ -47,10 +50,13 @@ class VectorTable:
             keys = [r[0] for r in keyed.select("_key").distinct().limit(MOST_LITERALS + 1).collect()]
             if len(keys) <= MOST_LITERALS:
                 known = known.where(F.col("key").isin(keys))
-        texts = keyed.groupBy(F.col("_key").alias("key")).agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
-        missing = texts.join(known.select("key"), "key", "left_anti")
+        texts = keyed.groupBy(F.col("_key").alias("key"))
         if few:
-            missing = missing.coalesce(1)
+            texts = texts.agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
+            missing = texts.join(known.select("key"), "key", "left_anti").coalesce(1)
+        else:
+            texts = texts.agg(F.min(NUMBER).alias(NUMBER))
+            missing = picked(keyed, texts.join(known.select("key"), "key", "left_anti")).select(F.col("_key").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
         seen, target = Observation(), f"{self.path}/{uuid.uuid4().hex}"
         made = missing.sortWithinPartitions("key").select("key", self.provider.column(F.col("text")).alias("made")).observe(seen, F.count(F.lit(1)).alias("n"))
         made.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(target)

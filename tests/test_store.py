@@ -63,6 +63,26 @@ def rows_read(df):
     return found
 
 
+def moved(spark, work):
+    """Bytes dealt out and bytes written by the stages of some work."""
+    bus, store, gateway = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        bus.waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {s.stageId(): (s.shuffleWriteBytes(), s.outputBytes()) for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    work()
+    new = [v for k, v in stages().items() if k not in before]
+    return tuple(sum(x) for x in zip(*new, strict=True)) if new else (0, 0)
+
+
+def long_texts(spark, n):
+    """n texts of 1,280 characters that don't compress well."""
+    return spark.range(n).select("id", F.concat(*[F.sha2(F.concat("id", F.lit(f"|{i}")), 256) for i in range(20)]).alias("text"))
+
+
 def texts(engine):
     return sorted(r.text or "" for r in engine.points.select("text").collect())
 
@@ -316,3 +336,31 @@ def test_vectors_of_other_models_are_not_taken(spark, tmp_path):
 def test_an_empty_collection_is_read(engine):
     assert engine.points.schema == engine.spark.createDataFrame([], POINT).schema and engine.points.count() == 0
     assert engine.delete_source("x").count() == 0 and engine.dedupe().commit() == 0 and engine.reindex_source("x").commit() == 0
+
+
+# what moves
+
+
+def test_facts_move_no_more_often_than_needed(spark, tmp_path):
+    """Texts move where a part is laid out, and where they don't fit beside their vectors once more."""
+    engine, n = engine_at(spark, tmp_path), 3000
+    rows = long_texts(spark, n)
+    some = rows.unionByName(rows.where("id % 3 = 0")).select(F.monotonically_increasing_id().alias("ord"), "text", F.concat(F.lit("s"), F.col("id") % 4).alias("source"), *[F.lit("").alias(c) for c in ("section", "file_path", "type")], F.lit(None).cast("string").alias("date"))
+    size = n * 1280
+    assert moved(spark, lambda: engine.ingest(some, "append"))[0] < 2.5 * size
+    assert engine.points.count() == n
+    version = engine.store_.version()
+    dealt, written = moved(spark, lambda: engine.ingest(some, "append"))
+    assert dealt < 0.5 * size and written < 2 * size  # facts are put to rest; nothing is new
+    assert engine.points.count() == n and len(engine.store_.snapshot().parts) == 1 and engine.store_.version() > version
+
+
+def test_the_last_of_equal_facts_is_picked(spark, tmp_path):
+    """By order, also where facts are in many runs of rows or have no order."""
+    engine = engine_at(spark, tmp_path)
+    rows = spark.range(200_000, numPartitions=3).select((F.col("id") * 7919 % 200_000).alias("ord"))
+    some = rows.select("ord", F.concat(F.lit("t"), F.col("ord") % 1500).alias("text"), F.lit("s").alias("source"), F.col("ord").cast("string").alias("section"), *[F.lit("").alias(c) for c in ("file_path", "type")], F.lit(None).cast("string").alias("date"))
+    assert engine.ingest(some, "append") == 1500
+    assert all(int(r.section) == 200_000 - 1500 + (int(r.text[1:]) - 200_000) % 1500 for r in engine.points.select("text", "section").collect())
+    assert engine.ingest(some.limit(1400).withColumns({"ord": F.lit(None).cast("long"), "source": F.lit("none")}), "append") > 0
+    assert engine.points.where("text is null or source is null").count() == 0
