@@ -50,12 +50,16 @@ class Change:
         return self.located.count()
 
     def commit(self) -> int:
-        """Backs up, marks the rows dead, writes those in their place and returns the number of points touched."""
+        """Backs up, marks the rows dead, writes those in their place and returns the number of points touched.
+
+        Rows that get others in their place are read several times, so they are put to rest first; of those that only go,
+        the places are, and the backup reads them where they are.
+        """
         path, seen = scratch_path(self.store.spark, "change"), Observation()
-        rows = at_rest(self.located.observe(seen, F.count(F.lit(1)).alias("n")), path)
+        rows = at_rest((self.located if self.renew else self.located.select(*PLACE)).observe(seen, F.count(F.lit(1)).alias("n")), path)
         n = seen.get["n"]
         if n:
-            self.store.backup(rows, self.name)
+            self.store.backup(rows if self.renew else self.store.at(self.base.parts, rows), self.name)
             if self.source is not None:
                 self.store.replace([self.source], None, self.base)
             else:

@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 from re import _constants as ops
 from re import _parser as patterns
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import list_names, remove_path
-from .store import BITMAP_ROWS, COLUMNS, PLACE, Snapshot, Store
+from .store import BITMAP_ROWS, Snapshot, Store
 
 POSTINGS = "gram string, file string, bucket long, rows array<int>"
 #: Strings that a stretch of a pattern may stand for before it is taken apart; trigrams of a pattern that are looked up.
 MOST_STRINGS, MOST_GRAMS = 16, 40
 #: Trigrams of one literal string that are looked up; few enough to reach the scan of the lists one by one.
 MOST_OF_STRING = 8
+#: Bytes of text whose trigrams are told apart at once; pairs of a trigram and a row from which lists are made.
+PIECE_BYTES, MOST_PAIRS = 1 << 21, 4_000_000
 #: Characters that a pattern without case takes for ASCII letters, and these.
 ODD, PLAIN = "\u017f\u0131\u0130\u212a", "siik"
 
@@ -175,8 +180,63 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(F.coalesce(text, F.lit("")), ODD, PLAIN))
 
 
+def pairs_of(texts: pa.Array, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Trigrams of texts with the texts' rows, a pair a number: different ones, sorted, of each piece of the texts' bytes."""
+    texts = texts.cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    for start in range(int(bounds[0]), int(bounds[-1]) - 2, PIECE_BYTES):
+        piece = data[start : min(start + PIECE_BYTES + 2, int(bounds[-1]))]
+        plain = (piece >= 0x20) & (piece <= 0x7E)  # no byte of a character beyond ASCII is
+        at = np.flatnonzero(plain[:-2] & plain[1:-1] & plain[2:])
+        owner = np.searchsorted(bounds, at + start, side="right") - 1
+        whole = at + start + 3 <= bounds[owner + 1]
+        at, code = at[whole], piece.astype(np.int64) - 0x20
+        yield np.unique(((code[at] * 95 + code[at + 1]) * 95 + code[at + 2]) << 32 | rows[owner[whole]])
+
+
+def lists_of(file: str, pairs: Sequence[np.ndarray]) -> pa.RecordBatch:
+    """Posting lists of the pairs of one file's rows, by trigram."""
+    joined = np.unique(np.concatenate(pairs))
+    gram, row = joined >> 32, joined & 0xFFFFFFFF
+    run = gram << 32 | row // BITMAP_ROWS
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    n, gram = len(first), gram[first]
+    letters = (np.stack([gram // 9025, gram // 95 % 95, gram % 95], 1) + 0x20).astype(np.uint8)
+    grams = pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, 3 * n + 1, 3, dtype=np.int32)), pa.py_buffer(letters.tobytes()))
+    rows = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(row.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([grams, pa.array([file]).take(pa.array(np.zeros(n, np.int64))), pa.array(row[first] // BITMAP_ROWS), rows], ["gram", "file", "bucket", "rows"])
+
+
+def posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists of (text, _file, _row): for each file, of as many rows as have MOST_PAIRS pairs."""
+    file, held, n = None, [], 0
+    for batch in batches:
+        names, rows = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        for start, end in pairwise(cuts):
+            if start == end:
+                continue
+            if held and names[start] != file:
+                yield lists_of(file, held)
+                held, n = [], 0
+            file = names[start]
+            for pairs in pairs_of(batch.column(0).slice(start, end - start), rows[start:end]):
+                held.append(pairs)
+                n += len(pairs)
+                if n >= MOST_PAIRS:
+                    yield lists_of(file, held)
+                    held, n = [], 0
+    if held:
+        yield lists_of(file, held)
+
+
 class TextIndex:
-    """Posting lists of a store's parts, under root/terms by part. A part without them is scanned, so results never differ."""
+    """Posting lists of a store's parts, under root/terms by part. A part without them is scanned, so results never differ.
+
+    Lists are made where a stretch of a file is read and stay there, sorted by trigram, so nothing is dealt to make them; a
+    trigram has a list for each stretch, and a lookup reads some pages of each file of lists.
+    """
 
     def __init__(self, store: Store):
         self.store, self.spark, self.path = store, store.spark, f"{store.root}/terms"
@@ -193,12 +253,9 @@ class TextIndex:
         for p in new:
             remove_path(self.spark, f"{self.path}/{p['part']}")
             rows = self.store._read([{"part": p["part"], "without": []}], located=True)
-            # each place in turn is the start of a match that takes nothing: overlapping trigrams, in one pass over a text
-            grams = F.array_distinct(F.regexp_extract_all(folded(F.col("text")), F.lit(r"(?=([\x20-\x7e]{3}))"), F.lit(1)))
-            single = rows.select(F.explode(grams).alias("gram"), F.col("_file").alias("file"), F.col("_row"))
-            lists = single.groupBy("gram", "file", F.expr(f"_row div {BITMAP_ROWS}").alias("bucket")).agg(F.array_sort(F.collect_list(F.col("_row").cast("int"))).alias("rows"))
+            lists = rows.select(folded(F.col("text")).alias("text"), "_file", "_row").mapInArrow(posting_lists, POSTINGS)
             options = {"parquet.page.row.count.limit": "1000", "parquet.bloom.filter.enabled#gram": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
-            lists.repartitionByRange("gram", "file", "bucket").sortWithinPartitions("gram").write.options(**options).parquet(f"{self.path}/{p['part']}")
+            lists.sortWithinPartitions("gram").write.options(**options).parquet(f"{self.path}/{p['part']}")
         return len(new)
 
     def places(self, need: Need, parts: Sequence[str]) -> DataFrame:
@@ -209,16 +266,10 @@ class TextIndex:
         return held.where(need.holds(F.col("has"))).select("_file", "_row")
 
     def located(self, need: Need, base: Snapshot) -> DataFrame:
-        """Points of base, with their places, that may match: candidates of indexed parts, all rows of others.
-
-        Files without a candidate aren't opened: their names, a few for each part, are found first.
-        """
+        """Points of base, with their places, that may match: candidates of indexed parts, all rows of others."""
         known = self.parts() if need != NOTHING else set()
         indexed, others = [p for p in base.parts if p["part"] in known], [p for p in base.parts if p["part"] not in known]
         found = [self.store._read(others, located=True)] if others or not indexed else []
         if indexed:
-            places = self.places(need, [p["part"] for p in indexed])
-            names = {r[0] for r in places.select("_file").distinct().collect()}
-            rows = self.store._read(indexed, located=True, files=names)
-            found.append(rows.join(places, ["_file", "_row"], "left_semi").select(*COLUMNS, *PLACE))
+            found.append(self.store.at(indexed, self.places(need, [p["part"] for p in indexed])))
         return reduce(DataFrame.unionByName, found)

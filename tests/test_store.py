@@ -364,3 +364,16 @@ def test_the_last_of_equal_facts_is_picked(spark, tmp_path):
     assert all(int(r.section) == 200_000 - 1500 + (int(r.text[1:]) - 200_000) % 1500 for r in engine.points.select("text", "section").collect())
     assert engine.ingest(some.limit(1400).withColumns({"ord": F.lit(None).cast("long"), "source": F.lit("none")}), "append") > 0
     assert engine.points.where("text is null or source is null").count() == 0
+
+
+def test_a_text_index_deals_nothing_out(spark, tmp_path):
+    """Nor does a deletion write texts besides its backup."""
+    engine, n = engine_at(spark, tmp_path), 2000
+    points = many(spark, n).drop("text").join(long_texts(spark, n).withColumnRenamed("id", "ts_epoch"), "ts_epoch").withColumn("text", F.when(F.col("ts_epoch") % 2 == 0, F.concat(F.lit("a needle "), "text")).otherwise(F.col("text")))
+    engine.store_.append(points)
+    assert moved(spark, engine.texts.build)[0] == 0
+    change = engine.delete_text("needle")
+    dealt, written = moved(spark, change.commit)
+    backup = sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/memory/backups/*/part-*"))
+    assert n / 2 * 1280 < backup <= written < 1.3 * backup and dealt < 0.2 * backup
+    assert engine.points.count() == n / 2 and engine.delete_text("needle").count() == 0

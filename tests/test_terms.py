@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_store import engine_at, many, rows_read
 
+from engram.operators import terms
 from engram.operators.terms import NOTHING, need_of, need_of_fragment, need_of_pattern
 
 CASES = [
@@ -86,3 +88,17 @@ def test_files_without_a_candidate_are_not_opened(spark, tmp_path):
     assert engine.delete_text("number eight").count() == 0
     assert change.commit() == 11 and engine.points.count() == 3989
     assert engine.delete_text("seven").count() == 989
+
+
+@pytest.mark.parametrize("piece,most", [(1 << 21, 4_000_000), (7, 5), (64, 200)])
+def test_posting_lists_hold_every_trigram(monkeypatch, texts, piece, most):
+    """However pieces, lists, batches and files are cut."""
+    monkeypatch.setattr(terms, "PIECE_BYTES", piece)
+    monkeypatch.setattr(terms, "MOST_PAIRS", most)
+    given = ["", "ab", "abc", "zażółć abc", "a\u20acbcd\U0001f600efg", "\x1f~~~ \x7f   ", "", *texts[1:60], "x" * 300, ""]
+    rows = [(t, "one" if i < 20 else "two", i + 32_768 * (i % 3) + (1 << 30)) for i, t in enumerate(given)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a:b], strict=True)], ["text", "_file", "_row"]) for a, b in ((0, 9), (9, 40), (40, len(rows)))]
+    batches = [batches[0], batches[0].slice(0, 0), batches[1], batches[2].slice(0)]
+    found = [(r["gram"], r["file"], row) for b in terms.posting_lists(iter(batches)) for r in b.to_pylist() for row in r["rows"] if row // 32_768 == r["bucket"]]
+    wanted = {(t[i : i + 3], file, row) for t, file, row in rows for i in range(len(t) - 2) if all(" " <= c <= "~" for c in t[i : i + 3])}
+    assert set(found) == wanted and (most < 4_000_000 or len(found) == len(wanted))
